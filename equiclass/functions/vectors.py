@@ -17,6 +17,15 @@ from pyspark.sql.types import ArrayType
 from .keys import _as_col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``.
+
+    Catalyst inlines projected expressions into lambdas, where they would be evaluated
+    once per array element; binding through a one-element ``transform`` keeps it once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double_array(df: DataFrame, col: str) -> Column:
     """The column as array<double>, converting an ML vector column if needed."""
     dtype = df.schema[col].dataType
@@ -81,11 +90,10 @@ def index_value_map(indices: str | Column, values: str | Column) -> Column:
 def sparse_to_dense(size: int | Column, indices: str | Column, values: str | Column) -> Column:
     """Dense array of ``size`` with the given (0-based) entries, 0.0 elsewhere."""
     n = size if isinstance(size, Column) else F.lit(size)
-    lookup = index_value_map(indices, values)
-    return F.transform(
+    return let(index_value_map(indices, values), lambda lookup: F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda i: F.coalesce(F.element_at(lookup, i), F.lit(0.0)),
-    )
+    ))
 
 
 def dense_to_sparse(x: str | Column) -> tuple[Column, Column]:
@@ -97,7 +105,6 @@ def dense_to_sparse(x: str | Column) -> tuple[Column, Column]:
 def interpolate(x: str | Column, y: str | Column,
                 gap: Callable[[Column], Column]) -> Column:
     """x + gap(i) * (y - x) per position i (0-based); ``gap`` gives a [0, 1) number."""
-    yc = _as_col(y)
-    return F.transform(
+    return let(_as_col(y), lambda yc: F.transform(
         _as_col(x), lambda v, i: v + gap(i) * (F.element_at(yc, i + 1) - v)
-    )
+    ))
