@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import MAX_BROADCAST_ROWS, MAX_LOCAL_CLASSES, P, ensure_checkpoint_dir
 
@@ -54,15 +55,28 @@ class ClassTable:
         return join_on_class(df, self.lookup(info), self.class_col, self.null_safe, how)
 
 
+def local_frame(spark, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A small driver-held table as a ``LocalRelation`` (broadcast without a Spark job).
+
+    Built through pandas + Arrow; falls back to a plain ``createDataFrame`` for types
+    that do not convert.
+    """
+    import pandas as pd
+
+    cols = {f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(schema.fields)}
+    try:
+        return spark.createDataFrame(pd.DataFrame(cols), schema=schema)
+    except Exception:  # noqa: BLE001 - any conversion problem: take the generic path
+        return spark.createDataFrame(rows, schema=schema)
+
+
 def local_table(spark, class_col: str, class_type, rows: list[tuple], null_safe: bool = False) -> ClassTable:
     """A ClassTable from (class, n) pairs the caller already holds (bounded, broadcastable)."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
     schema = StructType([StructField(class_col, class_type), StructField(N, LongType(), False)])
     pairs = [(c, int(n)) for c, n in rows]
     counts = [n for _, n in pairs]
     return ClassTable(
-        frame=spark.createDataFrame(pairs, schema), class_col=class_col, count=len(pairs),
+        frame=local_frame(spark, pairs, schema), class_col=class_col, count=len(pairs),
         total=sum(counts), largest=max(counts, default=0), smallest=min(counts, default=0),
         local=True, null_safe=null_safe, rows=pairs,
     )
@@ -90,7 +104,7 @@ def class_table(df: DataFrame, class_col: str, nulls: str = "drop",
     spark = df.sparkSession
     if len(rows) <= max_local:
         pairs = [(r[0], int(r[1])) for r in rows]
-        frame = spark.createDataFrame(pairs, schema=sizes.schema)
+        frame = local_frame(spark, pairs, sizes.schema)
         counts = [n for _, n in pairs]
         return ClassTable(
             frame=frame, class_col=class_col, count=len(pairs), total=sum(counts),

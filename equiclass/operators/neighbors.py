@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField, StructType)
 
 from ..config import P, TILE_ROWS
-from .classes import N, ClassTable, class_table, join_on_class
+from .classes import N, ClassTable, class_table, join_on_class, local_frame
 
 SB = P + "sb"
 CB = P + "cb"
@@ -147,7 +147,8 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     if isinstance(lay, DataFrame):
         layout = lay
     else:
-        layout = F.broadcast(spark.createDataFrame(
+        layout = F.broadcast(local_frame(
+            spark,
             lay, StructType([StructField(label_col, label_type), StructField(SBN, LongType()),
                              StructField(CBN, LongType())])))
     kc = F.col(k) if isinstance(k, str) else F.lit(int(k))

@@ -35,14 +35,12 @@ def oversample(df: DataFrame, class_col: str, id_cols: list[str], seed: int = 42
         (lit_long(m) % F.col(N)).alias(REM),
     )
     x = table.attach(base, info)
-    if table.local:
-        needing = sum(1 for _, n in table.rows if m % n)
-        if needing == 0:
-            return select_like(base, cols)
-    else:
-        needing = table.count
-    x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True,
-                   classes_needing=needing)
+    needing = sum(1 for _, n in table.rows if m % n) if table.local else table.count
+    if needing:
+        x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True,
+                       classes_needing=needing)
+    else:  # every class size divides M: whole copies only, no ranking needed
+        x = x.withColumn(TAKE, F.lit(False))
     x = x.withColumn(MULT, F.col(COPIES) + F.col(TAKE).cast("long"))
     max_copies = -(-m // table.smallest)
     chunks = 0

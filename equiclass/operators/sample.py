@@ -11,10 +11,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import P
 from ..functions.keys import uniform01
-from .classes import N, ClassTable, class_table, join_on_class, keep_classes, lit_long, select_like
+from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, lit_long,
+                      local_frame, select_like)
 from .ranking import RANK, flag_first, rank_rows
 from .replicate import replicate
 
@@ -29,10 +31,9 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
     c = table.class_col
     if isinstance(sizes, Mapping):
         spark = table.frame.sparkSession
-        wanted = spark.createDataFrame(
-            [(k, int(v)) for k, v in sizes.items()],
-            schema=f"`{c}` {table.frame.schema[c].dataType.simpleString()}, {name} bigint",
-        )
+        schema = StructType([StructField(c, table.frame.schema[c].dataType),
+                             StructField(name, LongType())])
+        wanted = local_frame(spark, [(k, int(v)) for k, v in sizes.items()], schema)
         t = join_on_class(table.frame, F.broadcast(wanted), c, table.null_safe, "left")
         return t.select(c, N, F.coalesce(F.col(name), lit_long(0)).alias(name))
     return table.frame.select(c, N, lit_long(max(int(sizes), 0)).alias(name))

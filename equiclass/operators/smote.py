@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..config import P
 from ..functions.keys import hash_hex, uniform01
 from ..functions.vectors import as_double_array, interpolate
-from .classes import N, class_table, lit_long, local_table
+from .classes import N, class_table, lit_long, local_frame, local_table
 from .neighbors import NID, SID, nearest_neighbors
 from .ranking import RANK, TAKE, flag_first, rank_rows
 
@@ -97,7 +97,8 @@ def _synthesize(spark, base: DataFrame, label_col: str, label_type, deficient: l
                 metric: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
-    info = spark.createDataFrame(
+    info = local_frame(
+            spark,
         [(c, p["n"], p["need"], p["k"], p["r"], p["seeds"]) for c, p in deficient],
         StructType([StructField(label_col, label_type), StructField(N, LongType()),
                     StructField("need", LongType()), StructField("k", LongType()),
