@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..config import MAX_BROADCAST_ROWS, MAX_LOCAL_CLASSES, P, ensure_checkpoint_dir
+from .. import config
+from ..config import P, ensure_checkpoint_dir
 
 N = P + "n"
 
@@ -96,8 +97,9 @@ def join_on_class(left: DataFrame, right: DataFrame, class_col: str, null_safe:
 
 
 def class_table(df: DataFrame, class_col: str, nulls: str = "drop",
-                max_local: int = MAX_LOCAL_CLASSES) -> ClassTable:
+                max_local: int | None = None) -> ClassTable:
     """Count rows per class and size-check the result (one small job)."""
+    max_local = config.MAX_LOCAL_CLASSES if max_local is None else max_local
     base = keep_classes(df, class_col, nulls)
     sizes = base.groupBy(class_col).agg(F.count(F.lit(1)).alias(N))
     rows = sizes.limit(max_local + 1).collect()
@@ -122,8 +124,9 @@ def class_table(df: DataFrame, class_col: str, nulls: str = "drop",
     )
 
 
-def maybe_broadcast(frame: DataFrame, bound: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(frame: DataFrame, bound: int, limit: int | None = None) -> DataFrame:
     """Broadcast a lazily computed lookup only when its row count is bounded by ``limit``."""
+    limit = config.MAX_BROADCAST_ROWS if limit is None else limit
     return F.broadcast(frame) if bound <= limit else frame
 
 

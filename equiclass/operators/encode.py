@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_LOCAL_CLASSES, P, ensure_checkpoint_dir
+from .. import config
+from ..config import P, ensure_checkpoint_dir
 
 PID = P + "pid"
 PCNT = P + "pcnt"
@@ -35,9 +36,10 @@ def _number_distributed(values: DataFrame, col: str, code_col: str) -> DataFrame
 
 
 def nominal_index(df: DataFrame, col: str, code_col: str | None = None,
-                  max_local: int = MAX_LOCAL_CLASSES) -> DataFrame:
+                  max_local: int | None = None) -> DataFrame:
     """Add ``code_col`` (default ``<col>_code``): 0-based rank of the value among distinct values."""
     code_col = code_col or f"{col}_code"
+    max_local = config.MAX_LOCAL_CLASSES if max_local is None else max_local
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
     m = values.limit(max_local + 1).count()
     if m <= max_local:

@@ -78,7 +78,8 @@ def tile_scores(seeds: np.ndarray, cands: np.ndarray, metric: str) -> tuple[np.n
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _tile_fn(label_col: str, metric: str, with_vectors: bool, out_cols: list[str]):
+def _tile_fn(label_col: str, metric: str, with_vectors: bool, out_cols: list[str],
+             carry: list[str]):
     def top_k(s: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if s.empty or c.empty:
             return pd.DataFrame({k: [] for k in out_cols})
@@ -100,6 +101,8 @@ def _tile_fn(label_col: str, metric: str, with_vectors: bool, out_cols: list[str
             "score": score[rows, cols],
             KCOL: s[KCOL].to_numpy()[rows],
         }
+        for name in carry:
+            out[name] = s[name].to_numpy()[rows]
         if with_vectors:
             out["seed_vec"] = list(sv[rows])
             out["neighbor_vec"] = list(cv[cols])
@@ -121,7 +124,8 @@ def _layout_frame(ts: ClassTable, tc: ClassTable, tile: int) -> DataFrame:
 def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, id_col: str,
                       vec_col: str, k: int | str, metric: str = "cosine",
                       tile: int = TILE_ROWS, with_vectors: bool = False,
-                      counts: list[tuple] | None = None) -> DataFrame:
+                      counts: list[tuple] | None = None,
+                      carry: list[str] | None = None) -> DataFrame:
     """Top-k neighbours of every seed among the candidates of its own class (self excluded).
 
     ``seeds`` and ``candidates``: (label, id, vector array<double>); ``k`` a number or a
@@ -129,7 +133,9 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     ``with_vectors``, the two vectors. ``score`` is the cosine similarity (higher is
     nearer) or the Euclidean distance (lower is nearer). ``counts`` — (label, seeds,
     candidates) per class — saves two counting jobs when the caller knows them.
+    ``carry``: integer columns of ``seeds`` passed through to every output row.
     """
+    carry = list(carry or [])
     spark = seeds.sparkSession
     if counts is None:
         ts = class_table(seeds, label_col)
@@ -154,7 +160,8 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     kc = F.col(k) if isinstance(k, str) else F.lit(int(k))
     # Fresh aliases: seeds and candidates may come from one frame (a self cogroup).
     s = join_on_class(seeds.select(F.col(label_col).alias(label_col), F.col(id_col).cast("long").alias(SID),
-                                   F.col(vec_col).alias(VEC), kc.cast("long").alias(KCOL)),
+                                   F.col(vec_col).alias(VEC), kc.cast("long").alias(KCOL),
+                                   *[F.col(x).cast("long").alias(x) for x in carry]),
                       layout, label_col, False)
     s = (s.withColumn(SB, F.pmod(F.xxhash64(SID), F.col(SBN)))
           .withColumn(CB, F.explode(F.sequence(F.lit(0).cast("long"), F.col(CBN) - 1))))
@@ -165,14 +172,14 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
           .withColumn(SB, F.explode(F.sequence(F.lit(0).cast("long"), F.col(SBN) - 1))))
     fields = [StructField(label_col, label_type), StructField(SID, LongType()),
               StructField(NID, LongType()), StructField("score", DoubleType()),
-              StructField(KCOL, LongType())]
+              StructField(KCOL, LongType())] + [StructField(x, LongType()) for x in carry]
     if with_vectors:
         fields += [StructField("seed_vec", ArrayType(DoubleType())),
                    StructField("neighbor_vec", ArrayType(DoubleType()))]
     schema = StructType(fields)
-    fn = _tile_fn(label_col, metric, with_vectors, [f.name for f in fields])
+    fn = _tile_fn(label_col, metric, with_vectors, [f.name for f in fields], carry)
     keys = [label_col, SB, CB]
-    per_tile = (s.select(*keys, SID, VEC, KCOL).groupBy(*keys)
+    per_tile = (s.select(*keys, SID, VEC, KCOL, *carry).groupBy(*keys)
                 .cogroup(c.select(*keys, NID, VEC).groupBy(*keys))
                 .applyInPandas(fn, schema))
     order = F.desc("score") if metric == "cosine" else F.asc("score")
@@ -182,4 +189,4 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     limit = F.col(KCOL) if isinstance(k, str) else F.lit(int(k))
     ranked = ranked.filter(F.col("k_rank") <= limit).drop(KCOL)
     extra = ["seed_vec", "neighbor_vec"] if with_vectors else []
-    return ranked.select(label_col, SID, NID, "k_rank", "score", *extra)
+    return ranked.select(label_col, SID, NID, "k_rank", "score", *carry, *extra)

@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import P
 from ..functions.keys import hash_hex, uniform01
 from ..functions.vectors import as_double_array, interpolate
-from .classes import N, class_table, lit_long, local_frame, local_table
+from .classes import N, ClassTable, class_table, lit_long, local_table
 from .neighbors import NID, SID, nearest_neighbors
 from .ranking import RANK, TAKE, flag_first, rank_rows
 
@@ -64,6 +64,21 @@ def _originals(base: DataFrame, label_col: str, features_col: str) -> DataFrame:
                        F.lit(None).cast("long").alias("neighbor_id"))
 
 
+def plan_columns(n: Column, largest: int, k: int, rate: float, ratio: float) -> list[Column]:
+    """``smote_plan`` as Spark expressions over the class size column ``n``."""
+    target = F.lit(float(largest * ratio))
+    need = F.when(n.cast("double") < target, F.floor(target - n)).otherwise(0).cast("long")
+    kc = F.when(n >= k, F.lit(k)).otherwise(F.floor(n * F.lit(0.5))).cast("long")
+    kc = F.greatest(F.lit(0).cast("long"), F.least(kc, n - 1))
+    r = F.when(kc > 0, F.greatest(F.lit(1).cast("long"),
+                                  F.least(kc, F.floor(kc * F.lit(float(rate)) + F.lit(0.5)).cast("long"))))
+    r = r.otherwise(0).cast("long")
+    return [need.alias("need"), kc.alias("k"), r.alias("r")]
+
+
+SEEDS_SQL = f"CASE WHEN need > 0 AND r > 0 THEN least({N}, (need + r - 1) div r) ELSE 0L END"
+
+
 def smote(df: DataFrame, label_col: str = "label", features_col: str = "features",
           id_col: str = "id", k: int = 5, sampling_rate: float = 0.5, ratio_to_max: float = 0.5,
           seed: int = 42, singleton: str = "drop", metric: str = "cosine") -> DataFrame:
@@ -71,52 +86,49 @@ def smote(df: DataFrame, label_col: str = "label", features_col: str = "features
         raise ValueError("sampling_rate must be in (0, 1]")
     if k < 1:
         raise ValueError("k must be >= 1")
-    spark = df.sparkSession
     base = _base(df, label_col, features_col, id_col)
     table = class_table(base, label_col)
     if table.count == 0:
         return _originals(base, label_col, features_col).limit(0)
-    if not table.local:
-        raise NotImplementedError("smote: more classes than MAX_LOCAL_CLASSES")
-    plans = {c: smote_plan(n, table.largest, k, sampling_rate, ratio_to_max) for c, n in table.rows}
-    kept = [c for c, n in table.rows if n > 1 or singleton == "keep"]
-    label_type = base.schema[label_col].dataType
+    n = F.col(N)
+    info = (table.frame.select(label_col, N, *plan_columns(n, table.largest, k, sampling_rate,
+                                                             ratio_to_max))
+            .withColumn(QUOTA, F.expr(SEEDS_SQL)))
     originals = base
-    if len(kept) < table.count:
-        keep_t = local_table(spark, label_col, label_type, [(c, plans[c]["n"]) for c in kept])
-        originals = keep_t.attach(base).drop(N)
+    if singleton != "keep" and table.smallest <= 1:
+        originals = table.attach(base, info.filter(n > 1).select(label_col))
     out = _originals(originals, label_col, features_col)
-    deficient = [(c, p) for c, p in plans.items() if p["n"] > 1 and p["seeds"] > 0]
-    if not deficient:
-        return out
-    syn = _synthesize(spark, base, label_col, label_type, deficient, seed, metric)
+    deficient = info.filter((n > 1) & (F.col(QUOTA) > 0))
+    counts = None
+    if table.local:
+        plans = [(c, smote_plan(m, table.largest, k, sampling_rate, ratio_to_max))
+                 for c, m in table.rows]
+        plans = [(c, p) for c, p in plans if p["n"] > 1 and p["seeds"] > 0]
+        if not plans:
+            return out
+        counts = [(c, p["seeds"], p["n"]) for c, p in plans]
+    syn = _synthesize(base, table, deficient, label_col, seed, metric, counts)
     return out.unionByName(syn.withColumnRenamed(FEAT, features_col))
 
 
-def _synthesize(spark, base: DataFrame, label_col: str, label_type, deficient: list, seed: int,
-                metric: str) -> DataFrame:
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    info = local_frame(
-            spark,
-        [(c, p["n"], p["need"], p["k"], p["r"], p["seeds"]) for c, p in deficient],
-        StructType([StructField(label_col, label_type), StructField(N, LongType()),
-                    StructField("need", LongType()), StructField("k", LongType()),
-                    StructField("r", LongType()), StructField(QUOTA, LongType())]))
-    table = local_table(spark, label_col, label_type, [(c, p["n"]) for c, p in deficient])
-    rows = table.attach(base, info)                   # deficient classes only, with their plan
+def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_col: str,
+                seed: int, metric: str, counts: list | None) -> DataFrame:
+    rows = table.attach(base, deficient)                # deficient classes only, with their plan
     seeds = flag_first(rows, table, [ID], quota=QUOTA, size=N, seed=seed, keep_rest=False)
-    seeds_table = local_table(spark, label_col, label_type, [(c, p["seeds"]) for c, p in deficient])
-    seeds = rank_rows(seeds.drop(TAKE, N), seeds_table, [ID], seed)      # seed order 1..seeds
+    # Seeds are the first rows in hash order, so their rank among the seeds is their rank
+    # in the class; the bucketed rank keeps a hot class spread over many tasks.
+    seeds_table = ClassTable(
+        frame=deficient.select(label_col, F.col(QUOTA).alias(N)), class_col=label_col,
+        count=len(counts) if counts is not None else table.count,
+        total=sum(c[1] for c in counts) if counts is not None else table.total,
+        largest=table.largest, smallest=1, local=table.local, null_safe=False)
+    seeds = rank_rows(seeds.drop(TAKE, N), seeds_table, [ID], seed)
     nn = nearest_neighbors(
-        seeds.select(label_col, ID, FEAT, "k"), rows.select(label_col, ID, FEAT), label_col, ID,
-        FEAT, k="k", metric=metric, with_vectors=True,
-        counts=[(c, p["seeds"], p["n"]) for c, p in deficient])
-    seed_info = seeds.select(F.col(ID).cast("long").alias(SID), F.col(RANK).alias("seed_rank"),
-                             "need", "r")
-    picks = nn.join(seed_info, SID)
+        seeds.select(label_col, ID, FEAT, "k", F.col(RANK).alias("seed_rank"), "need", "r"),
+        rows.select(label_col, ID, FEAT), label_col, ID, FEAT, k="k", metric=metric,
+        with_vectors=True, counts=counts, carry=["seed_rank", "need", "r"])
     w = Window.partitionBy(label_col, SID).orderBy(hash_hex(seed, [SID, NID]), NID)
-    picks = picks.withColumn(PICK, F.row_number().over(w)).filter(F.col(PICK) <= F.col("r"))
+    picks = nn.withColumn(PICK, F.row_number().over(w)).filter(F.col(PICK) <= F.col("r"))
     picks = picks.filter((F.col("seed_rank") - 1) * F.col("r") + F.col(PICK) <= F.col("need"))
     gap = lambda i: uniform01(seed, [F.col(SID), F.col(NID), i])
     return picks.select(
