@@ -65,4 +65,4 @@ def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str], key, sec
     return select_like(sampled.unionByName(keep_a), cols)
 
 
-__all__ = ["undersample_spread", "undersample_pair", "class_table"]
+

@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The rebalanced-table work this library reproduces has no streaming part: no stream source,
+watermark, window or state. Batch operators apply unchanged to a micro-batch inside a
+caller's ``foreachBatch`` if needed; nothing stream-specific is provided.
+"""
