@@ -51,30 +51,39 @@ def bucket_offsets(hashed: DataFrame, class_col: str) -> DataFrame:
 
 def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str, size: str,
                seed: int | str, keep_rest: bool, digits: int = RANK_BUCKET_DIGITS,
-               classes_needing: int | None = None) -> DataFrame:
+               classes_needing: int | None = None, edge_rank: str | None = None) -> DataFrame:
     """Mark (``TAKE``) the first ``quota`` rows of every class in hash order.
 
     ``df`` already carries the per-class ``quota`` and ``size`` columns. With
-    ``keep_rest=False`` the rows not taken are dropped instead of flagged.
+    ``keep_rest=False`` the rows not taken are dropped instead of flagged. With
+    ``edge_rank`` the bucket holding the quota-th row is always sorted and its rows get
+    their exact rank in that column (null elsewhere): the quota-th row is the one whose
+    ``edge_rank`` equals the quota.
     """
     c = table.class_col
     hashed = add_hash(df, seed, id_cols, digits)
     q, n = F.col(quota), F.col(size)
-    partial = (q > 0) & (q < n)
+    inclusive = edge_rank is not None
+    partial = (q > 0) & ((q <= n) if inclusive else (q < n))
     bound = (classes_needing if classes_needing is not None else table.count) * 16 ** digits
     offsets = maybe_broadcast(bucket_offsets(hashed.filter(partial), c), bound)
     x = join_on_class(hashed, offsets, c, table.null_safe, "left", extra_keys=[B])
     off, cnt = F.col(OFF), F.col(CNT)
     whole = F.when(q >= n, True).when(q <= 0, False).otherwise(off + cnt <= q)
-    edge = partial & (off < q) & (off + cnt > q)
+    edge = partial & (off < q) & ((off + cnt >= q) if inclusive else (off + cnt > q))
     plain = x.filter(~edge)
     if keep_rest:
         plain = plain.withColumn(TAKE, whole)
     else:
         plain = plain.filter(whole).withColumn(TAKE, F.lit(True))
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
-    straddle = x.filter(edge).withColumn(RN, F.row_number().over(w))
-    straddle = straddle.withColumn(TAKE, off + F.col(RN) <= q).drop(RN)
+    straddle = x.filter(edge).withColumn(RN, off + F.row_number().over(w))
+    straddle = straddle.withColumn(TAKE, F.col(RN) <= q)
+    if inclusive:
+        plain = plain.withColumn(edge_rank, F.lit(None).cast("long"))
+        straddle = straddle.withColumnRenamed(RN, edge_rank)
+    else:
+        straddle = straddle.drop(RN)
     if not keep_rest:
         straddle = straddle.filter(F.col(TAKE))
     return plain.unionByName(straddle).drop(H, B, CNT, OFF)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import config
 from ..config import P
 from ..functions.keys import uniform01
 from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, lit_long,
@@ -74,6 +75,10 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
         c, (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long").alias(RANK)
     )
     ranked = rank_rows(base, table, id_cols, seed)
+    # The draws come from the tiny class table, so the planner would estimate them as tiny
+    # and broadcast them; their true count is ``total`` (about the output size): broadcast
+    # only under the bound, else a sort-merge join (spills, splits by (class, rank)).
+    draws = draws.hint("broadcast") if total <= config.MAX_BROADCAST_ROWS else draws.hint("merge")
     return join_on_class(ranked, draws, c, table.null_safe, "inner", extra_keys=[RANK])
 
 

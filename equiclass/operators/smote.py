@@ -33,12 +33,14 @@ from ..functions.keys import hash_hex, uniform01
 from ..functions.vectors import as_double_array, interpolate
 from .classes import N, ClassTable, class_table, lit_long, local_table
 from .neighbors import NID, SID, nearest_neighbors
-from .ranking import RANK, TAKE, flag_first, rank_rows
+from .ranking import TAKE, flag_first
 
 ID = P + "id"
 FEAT = P + "features"
 QUOTA = P + "seeds"
 PICK = P + "pick"
+PICKS = P + "picks"
+LAST = P + "last"
 DRAW = P + "draw"
 
 
@@ -114,22 +116,19 @@ def smote(df: DataFrame, label_col: str = "label", features_col: str = "features
 def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_col: str,
                 seed: int, metric: str, counts: list | None) -> DataFrame:
     rows = table.attach(base, deficient)                # deficient classes only, with their plan
-    seeds = flag_first(rows, table, [ID], quota=QUOTA, size=N, seed=seed, keep_rest=False)
-    # Seeds are the first rows in hash order, so their rank among the seeds is their rank
-    # in the class; the bucketed rank keeps a hot class spread over many tasks.
-    seeds_table = ClassTable(
-        frame=deficient.select(label_col, F.col(QUOTA).alias(N)), class_col=label_col,
-        count=len(counts) if counts is not None else table.count,
-        total=sum(c[1] for c in counts) if counts is not None else table.total,
-        largest=table.largest, smallest=1, local=table.local, null_safe=False)
-    seeds = rank_rows(seeds.drop(TAKE, N), seeds_table, [ID], seed)
+    # Seeds: the first ``seeds`` rows in hash order. Every seed yields r rows except the
+    # last one, which yields what is left of the need: only that seed must be identified.
+    seeds = flag_first(rows, table, [ID], quota=QUOTA, size=N, seed=seed, keep_rest=False,
+                       edge_rank=LAST)
+    is_last = F.coalesce(F.col(LAST) == F.col(QUOTA), F.lit(False))
+    quota_left = F.least(F.col("r"), F.col("need") - (F.col(QUOTA) - 1) * F.col("r"))
+    seeds = seeds.withColumn(PICKS, F.when(is_last, quota_left).otherwise(F.col("r")))
     nn = nearest_neighbors(
-        seeds.select(label_col, ID, FEAT, "k", F.col(RANK).alias("seed_rank"), "need", "r"),
-        rows.select(label_col, ID, FEAT), label_col, ID, FEAT, k="k", metric=metric,
-        with_vectors=True, counts=counts, carry=["seed_rank", "need", "r"])
+        seeds.select(label_col, ID, FEAT, "k", PICKS), rows.select(label_col, ID, FEAT),
+        label_col, ID, FEAT, k="k", metric=metric, with_vectors=True, counts=counts,
+        carry=[PICKS])
     w = Window.partitionBy(label_col, SID).orderBy(hash_hex(seed, [SID, NID]), NID)
-    picks = nn.withColumn(PICK, F.row_number().over(w)).filter(F.col(PICK) <= F.col("r"))
-    picks = picks.filter((F.col("seed_rank") - 1) * F.col("r") + F.col(PICK) <= F.col("need"))
+    picks = nn.withColumn(PICK, F.row_number().over(w)).filter(F.col(PICK) <= F.col(PICKS))
     gap = lambda i: uniform01(seed, [F.col(SID), F.col(NID), i])
     return picks.select(
         label_col, interpolate("seed_vec", "neighbor_vec", gap).alias(FEAT),
@@ -169,11 +168,11 @@ def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "
     nn = nearest_neighbors(seeds.select(label_col, ID, FEAT), rows.select(label_col, ID, FEAT),
                            label_col, ID, FEAT, k=kc, metric=metric, with_vectors=True,
                            counts=[(class_value, n_seeds, n)])
-    draws = (seeds.select(F.col(ID).cast("long").alias(SID))
-             .withColumn(DRAW, F.explode(F.sequence(F.lit(1), F.lit(per_seed))))
-             .withColumn("k_rank", (F.floor(uniform01(seed, [F.col(SID), F.col(DRAW)]) * kc) + 1)
-                         .cast("int")))
-    picked = nn.join(draws, [SID, "k_rank"])
+    # Draw j of a seed takes the neighbour of rank floor(u(seed, j) * k) + 1; each
+    # neighbour row finds the draws that hit it in place, so no join is needed.
+    hits = F.filter(F.sequence(F.lit(1), F.lit(int(per_seed))),
+                    lambda j: F.floor(uniform01(seed, [F.col(SID), j]) * kc) + 1 == F.col("k_rank"))
+    picked = nn.withColumn(DRAW, F.explode(hits))
     gap = lambda i: uniform01(seed, [F.col(SID), F.col(DRAW), i])
     syn = picked.select(
         label_col, interpolate("seed_vec", "neighbor_vec", gap).alias(features_col),

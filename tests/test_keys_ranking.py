@@ -53,3 +53,16 @@ def test_flag_first_equals_rank_cut(spark, keep_rest):
         a = got.select("id")
         b = ranked.filter("want").select("id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_edge_rank_marks_the_quota_th_row(spark):
+    df = _skewed(spark)
+    t = class_table(df, "cls")
+    q = t.frame.select("cls", N, F.least(F.col(N), F.lit(37)).cast("long").alias("q"))
+    x = t.attach(df, q)
+    got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=False, edge_rank="er")
+    last = {r["cls"]: r["id"] for r in got.filter(F.col("er") == F.col("q")).collect()}
+    w = Window.partitionBy("cls").orderBy(hash_hex(3, ["id"]), "id")
+    ranked = x.withColumn("rk", F.row_number().over(w))
+    want = {r["cls"]: r["id"] for r in ranked.filter(F.col("rk") == F.col("q")).collect()}
+    assert last == want and len(want) == t.count
