@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import (BinaryType, BooleanType, DateType, LongType, NumericType, StringType,
+                               StructField, StructType, TimestampNTZType, TimestampType)
 
 from .. import config
 from ..config import P, ensure_checkpoint_dir
@@ -22,6 +23,24 @@ from ..config import P, ensure_checkpoint_dir
 N = P + "n"
 
 
+_ORDERABLE = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType,
+              BinaryType)
+
+
+def row_keys(df: DataFrame, id_cols: list[str] | None) -> list[str]:
+    """Columns that identify a row for hashing and tie-breaks.
+
+    Default: every column of an orderable atomic type, in order (rows equal on all of them
+    are interchangeable). Pass integer or string ids to compare results with another engine.
+    """
+    if id_cols:
+        return list(id_cols)
+    keys = [f.name for f in df.schema.fields if isinstance(f.dataType, _ORDERABLE)]
+    if not keys:
+        raise ValueError("no orderable column identifies the rows: pass id_cols")
+    return keys
+
+
 def keep_classes(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFrame:
     """Apply the null-class policy: ``drop`` removes null-class rows, ``keep`` makes null a class."""
     if nulls == "drop":

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COPY_CHUNK, P
-from .classes import N, class_table, keep_classes, lit_long, select_like
+from .classes import N, class_table, keep_classes, lit_long, row_keys, select_like
 from .ranking import TAKE, flag_first
 from .replicate import replicate
 
@@ -21,8 +21,9 @@ REM = P + "rem"
 MULT = P + "mult"
 
 
-def oversample(df: DataFrame, class_col: str, id_cols: list[str], seed: int = 42,
+def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
                nulls: str = "drop", chunk: int = COPY_CHUNK) -> DataFrame:
+    id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)
     table = class_table(base, class_col, nulls)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import P
-from .classes import N, class_table, keep_classes, select_like
+from .classes import N, class_table, keep_classes, row_keys, select_like
 from .sample import draws_with_replacement
 
 SIZE = P + "size"
@@ -28,9 +28,10 @@ def default_size_percent(largest: int, total: int, classes: int) -> float:
     return math.ceil(majority_pct * classes * 10) / 10
 
 
-def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str], bias: float = 1.0,
+def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None, bias: float = 1.0,
                      size_percent: float | None = None, seed: int = 42,
                      nulls: str = "drop") -> DataFrame:
+    id_cols = row_keys(df, id_cols)
     if not 0.0 <= bias <= 1.0:
         raise ValueError("bias must be in [0, 1]")
     cols = df.columns

@@ -17,7 +17,7 @@ from .. import config
 from ..config import P
 from ..functions.keys import uniform01
 from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, lit_long,
-                      local_frame, select_like)
+                      local_frame, row_keys, select_like)
 from .ranking import RANK, flag_first, rank_rows
 from .replicate import replicate
 
@@ -40,9 +40,10 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
     return table.frame.select(c, N, lit_long(max(int(sizes), 0)).alias(name))
 
 
-def sample_exact(df: DataFrame, class_col: str, id_cols: list[str], sizes: int | Mapping,
+def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes: int | Mapping,
                  seed: int = 42, nulls: str = "drop") -> DataFrame:
     """The first min(n, m) rows of every class in hash order: an exact sample without replacement."""
+    id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)
     table = class_table(base, class_col, nulls)
@@ -54,8 +55,10 @@ def sample_exact(df: DataFrame, class_col: str, id_cols: list[str], sizes: int |
     return select_like(x, cols)
 
 
-def sample_bernoulli(df: DataFrame, id_cols: list[str], fraction: float, seed: int = 42) -> DataFrame:
+def sample_bernoulli(df: DataFrame, id_cols: list[str] | None, fraction: float,
+                     seed: int = 42) -> DataFrame:
     """Keep a row when uniform01(seed, ids) < fraction (fraction clamped to [0, 1]); no shuffle."""
+    id_cols = row_keys(df, id_cols)
     f = min(max(float(fraction), 0.0), 1.0)
     return df.filter(uniform01(seed, id_cols) < F.lit(f))
 
@@ -82,9 +85,10 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     return join_on_class(ranked, draws, c, table.null_safe, "inner", extra_keys=[RANK])
 
 
-def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str],
+def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] | None,
                             sizes: int | Mapping, seed: int = 42, nulls: str = "drop") -> DataFrame:
     """Exactly ``m`` draws per class (or per-class mapping), uniformly with replacement."""
+    id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)
     table = class_table(base, class_col, nulls)

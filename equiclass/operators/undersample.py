@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import P
-from .classes import N, class_table, keep_classes, lit_long, select_like
+from .classes import N, class_table, keep_classes, lit_long, row_keys, select_like
 from .ranking import flag_first
 from .sample import sample_bernoulli, sample_exact
 
 TARGET = P + "target"
 
 
-def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str], spread: float = 1.0,
+def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
+                       spread: float = 1.0,
                        seed: int = 42, nulls: str = "drop") -> DataFrame:
     """Keep at most floor(spread * smallest) rows per class, the first ones in hash order.
 
     ``spread`` >= 1 is the largest allowed ratio between a class and the smallest class;
     1 makes every class as small as the smallest one. Without replacement.
     """
+    id_cols = row_keys(df, id_cols)
     if spread < 1.0:
         raise ValueError("spread must be >= 1")
     cols = df.columns
@@ -40,7 +42,7 @@ def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str], spread
     return select_like(x, cols)
 
 
-def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str], key, second_key,
+def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, key, second_key,
                      ratio: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
     """Keep class ``key`` whole and sample class ``second_key`` to about ``ratio`` x its size.
 
@@ -48,6 +50,7 @@ def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str], key, sec
     least(1, ratio * A / B) on B, or with ``exact`` the first least(B, floor(ratio * A))
     rows of B in hash order. Rows of all other classes are dropped; B = 0 yields A alone.
     """
+    id_cols = row_keys(df, id_cols)
     cols = df.columns
     pair = df.filter(F.col(class_col).isin([key, second_key]))
     counts = {r[0]: int(r[1]) for r in

@@ -98,3 +98,11 @@ def test_documents_flagship(spark, sf001, name):
     counts = dict(out.groupBy("lang").count().collect())
     assert set(counts.values()) == {max(counts.values())}
     assert out.count() == 4 * max(counts.values())
+
+
+def test_default_ids_are_all_orderable_columns(spark):
+    df = _frame(spark, {"a": 9, "b": 4})
+    by_all = oversample(df, "cls", seed=8)
+    explicit = oversample(df, "cls", ["id", "cls", "payload"], seed=8)
+    assert by_all.exceptAll(explicit).count() == 0 and explicit.exceptAll(by_all).count() == 0
+    assert dict(by_all.groupBy("cls").count().collect()) == {"a": 9, "b": 9}
