@@ -26,6 +26,7 @@ from ..operators.smote import smote, smote_percent
 from ..operators.undersample import undersample_pair, undersample_spread
 from ..sources.readers import format_labeled_vectors, parse_labeled_vectors
 from . import oracle
+from .workflows import resampling_report
 
 SEED = 42
 
@@ -166,6 +167,11 @@ def q_parse_vectors(spark, d):
     return _long_form(parsed, "features", ["vec_id", "label"])
 
 
+def q_resampling_report_segment(spark, d):
+    return resampling_report(table(spark, d, "customer"), "c_mktsegment",
+                             ["c_acctbal", "c_nationkey"], "c_custkey", seed=SEED)
+
+
 def q_vector_functions(spark, d):
     e = _vectors(spark, d)
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
@@ -208,6 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_oversample": q_compare_oversample,
     "parse_vectors": q_parse_vectors,
     "vector_functions": q_vector_functions,
+    "resampling_report_segment": q_resampling_report_segment,
 }
 
 
@@ -389,4 +396,21 @@ FROM b, m""",
 SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS value
 FROM (SELECT vec_id, label, embedding, unnest(range(len(embedding))) AS i FROM embeddings) q""",
     "vector_functions": _vector_functions_sql(),
+    "resampling_report_segment": """
+WITH c AS (SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS class_code
+           FROM customer WHERE c_mktsegment IS NOT NULL),
+s AS (SELECT class_code, count(*) AS n FROM c GROUP BY class_code),
+t AS (SELECT min(n) AS mn, CAST(sum(n) AS DOUBLE) AS tot, CAST(count(*) AS DOUBLE) AS k,
+             ceil(CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100.0::DOUBLE * CAST(count(*) AS DOUBLE)
+                  * 10.0::DOUBLE) / 10.0::DOUBLE AS pct FROM s),
+mi AS (SELECT class_code AS mcode FROM s ORDER BY n, class_code LIMIT 1)
+SELECT 'original' AS step, class_code, n FROM s
+UNION ALL
+SELECT 'spread_subsample', class_code, least(n, CAST(floor(1.0::DOUBLE * mn) AS BIGINT)) FROM s, t
+UNION ALL
+SELECT 'smote', class_code, n + CASE WHEN class_code = mcode AND n >= 2 THEN n ELSE 0 END FROM s, mi
+UNION ALL
+SELECT 'resample', class_code,
+       CAST(floor(pct / 100.0::DOUBLE * (0.0::DOUBLE * CAST(n AS DOUBLE) + 1.0::DOUBLE * tot / k)) AS BIGINT)
+FROM s, t""",
 }
