@@ -14,8 +14,9 @@ from pyspark.sql import SparkSession
 MAX_LOCAL_CLASSES = 50_000
 # Largest lazily computed lookup (e.g. per-class hash-bucket offsets) that is broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
-# Hex digits of the hash prefix used as rank bucket: 2 -> 256 buckets per class.
-RANK_BUCKET_DIGITS = 2
+# Rows per hash bucket when ranking inside a class: classes up to this size are sorted
+# whole; bigger ones are cut into 16^d buckets of at most about this many rows.
+RANK_BUCKET_ROWS = 65_536
 # Largest number of copies produced from one input row inside one task.
 COPY_CHUNK = 100_000
 # Rows per side of one neighbour-search tile.

@@ -2,15 +2,18 @@
 
 A row's rank inside its class is its position when the class is sorted by
 ``(md5(seed|ids), ids)``. ``partitionBy(class)`` would put a hot class into one task, so
-the hash prefix splits every class into buckets (256 by default):
-
-1. ``groupBy(class, bucket).count()`` -> per bucket the number of rows of the earlier
-   buckets (``off``); classes x buckets rows, broadcast when that bound is small.
-2. rank = off + row_number() over (partitionBy(class, bucket) orderBy(hash, ids)).
-
-When only "rank <= quota" matters (taking the first q rows), buckets that end before
-the quota are taken whole and buckets that start after it are skipped without any
-window: only the one bucket per class that straddles the quota is sorted.
+a prefix of the hash splits big classes into buckets: a class of n rows uses
+d = ceil(log16(n / RANK_BUCKET_ROWS)) hex digits (0 for small classes: one bucket), so a
+bucket holds about ``RANK_BUCKET_ROWS`` rows at most, whatever the class size. Sorting by
+(bucket, hash) is sorting by hash, so ranks do not depend on the bucket layout.
+
+- ``flag_first`` (the first q rows of each class): bucket counts give, per class, the one
+  bucket that holds the q-th row and the rows before it (one row per class). Rows of
+  earlier buckets are taken and rows of later buckets skipped without any sort; only the
+  edge bucket is shuffled and sorted.
+- ``rank_rows`` (every row's rank): row_number per (class, bucket), then the offsets of
+  the earlier buckets are joined on (class, bucket) *after* the window, so a shuffled join
+  reuses the window's partitioning instead of moving the rows again.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import P, RANK_BUCKET_DIGITS
+from .. import config
+from ..config import P
 from ..functions.keys import hash_hex
 from .classes import ClassTable, join_on_class, maybe_broadcast
 
@@ -26,75 +30,108 @@ H = P + "h"
 B = P + "b"
 CNT = P + "bcnt"
 OFF = P + "boff"
+EB = P + "eb"
+EOFF = P + "eoff"
 RN = P + "rn"
 RANK = P + "rank"
 TAKE = P + "take"
+MAX_DIGITS = 7
+
+
+def bucket_digits(n: Column, bucket_rows: int | None = None) -> Column:
+    """Hex digits of the hash prefix for a class of ``n`` rows."""
+    per = bucket_rows or config.RANK_BUCKET_ROWS
+    d = F.lit(MAX_DIGITS)
+    for k in range(MAX_DIGITS - 1, -1, -1):
+        d = F.when(n <= F.lit(per * 16 ** k), F.lit(k)).otherwise(d)
+    return d
+
 
+def bucket_count(n: int, bucket_rows: int | None = None) -> int:
+    """Upper bound of the buckets of a class of ``n`` rows (driver side)."""
+    per = bucket_rows or config.RANK_BUCKET_ROWS
+    k = 0
+    while k < MAX_DIGITS and n > per * 16 ** k:
+        k += 1
+    return min(n, 16 ** k)
 
-def add_hash(df: DataFrame, seed: int | str, id_cols: list[str],
-             digits: int = RANK_BUCKET_DIGITS) -> DataFrame:
-    h = hash_hex(seed, id_cols)
-    return df.withColumn(H, h).withColumn(B, F.substring(F.col(H), 1, digits))
+
+def _hashed(df: DataFrame, seed: int | str, id_cols: list[str], size: str,
+            bucket_rows: int | None) -> DataFrame:
+    d = bucket_digits(F.col(size), bucket_rows)
+    x = df.withColumn(H, hash_hex(seed, id_cols))
+    # substring(h, 1, 0) is "": a small class is one bucket.
+    return x.withColumn(B, F.substring(F.col(H), F.lit(1), d))
 
 
 def _order(id_cols: list[str]) -> list[Column]:
     return [F.col(H)] + [F.col(c) for c in id_cols]
 
 
-def bucket_offsets(hashed: DataFrame, class_col: str) -> DataFrame:
-    """(class, bucket, rows in bucket, rows in earlier buckets of the class)."""
-    counts = hashed.groupBy(class_col, B).agg(F.count(F.lit(1)).alias(CNT))
-    before = (Window.partitionBy(class_col).orderBy(B)
+def bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., bucket, rows in bucket, rows in earlier buckets of the class)."""
+    counts = hashed.groupBy(*keys, B).agg(F.count(F.lit(1)).alias(CNT))
+    before = (Window.partitionBy(*keys).orderBy(B)
               .rowsBetween(Window.unboundedPreceding, -1))
     return counts.withColumn(OFF, F.coalesce(F.sum(CNT).over(before), F.lit(0)).cast("long"))
 
 
 def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str, size: str,
-               seed: int | str, keep_rest: bool, digits: int = RANK_BUCKET_DIGITS,
-               classes_needing: int | None = None, edge_rank: str | None = None) -> DataFrame:
+               seed: int | str, keep_rest: bool, edge_rank: str | None = None,
+               bucket_rows: int | None = None) -> DataFrame:
     """Mark (``TAKE``) the first ``quota`` rows of every class in hash order.
 
     ``df`` already carries the per-class ``quota`` and ``size`` columns. With
     ``keep_rest=False`` the rows not taken are dropped instead of flagged. With
-    ``edge_rank`` the bucket holding the quota-th row is always sorted and its rows get
-    their exact rank in that column (null elsewhere): the quota-th row is the one whose
-    ``edge_rank`` equals the quota.
+    ``edge_rank`` the rows of the edge bucket get their exact rank in that column (null
+    elsewhere): the quota-th row is the one whose ``edge_rank`` equals the quota.
     """
     c = table.class_col
-    hashed = add_hash(df, seed, id_cols, digits)
+    hashed = _hashed(df, seed, id_cols, size, bucket_rows)
     q, n = F.col(quota), F.col(size)
-    inclusive = edge_rank is not None
-    partial = (q > 0) & ((q <= n) if inclusive else (q < n))
-    bound = (classes_needing if classes_needing is not None else table.count) * 16 ** digits
-    offsets = maybe_broadcast(bucket_offsets(hashed.filter(partial), c), bound)
-    x = join_on_class(hashed, offsets, c, table.null_safe, "left", extra_keys=[B])
-    off, cnt = F.col(OFF), F.col(CNT)
-    whole = F.when(q >= n, True).when(q <= 0, False).otherwise(off + cnt <= q)
-    edge = partial & (off < q) & ((off + cnt >= q) if inclusive else (off + cnt > q))
-    plain = x.filter(~edge)
+    partial = (q > 0) & (q <= n)
+    # One row per partial class: the bucket holding the quota-th row and what precedes it.
+    offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
+    edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
+             .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
+    edges = F.broadcast(edges) if table.local else edges
+    x = join_on_class(hashed, edges, c, table.null_safe, "left")
+    b, eb = F.col(B), F.col(EB)
+    edge = partial & (b == eb)
+    whole = F.when(q >= n, True).when(q <= 0, False).otherwise(b < eb)
+    plain = x.filter(~F.coalesce(edge, F.lit(False)))
     if keep_rest:
         plain = plain.withColumn(TAKE, whole)
     else:
         plain = plain.filter(whole).withColumn(TAKE, F.lit(True))
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
-    straddle = x.filter(edge).withColumn(RN, off + F.row_number().over(w))
+    straddle = x.filter(edge).withColumn(RN, F.col(EOFF) + F.row_number().over(w))
     straddle = straddle.withColumn(TAKE, F.col(RN) <= q)
-    if inclusive:
+    if edge_rank is not None:
         plain = plain.withColumn(edge_rank, F.lit(None).cast("long"))
         straddle = straddle.withColumnRenamed(RN, edge_rank)
     else:
         straddle = straddle.drop(RN)
     if not keep_rest:
         straddle = straddle.filter(F.col(TAKE))
-    return plain.unionByName(straddle).drop(H, B, CNT, OFF)
+    return plain.unionByName(straddle).drop(H, B, EB, EOFF)
 
 
 def rank_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int | str,
-              digits: int = RANK_BUCKET_DIGITS) -> DataFrame:
-    """Add ``RANK`` (1..n) to every row: the exact position in hash order inside its class."""
+              size: str, bucket_rows: int | None = None) -> DataFrame:
+    """Add ``RANK`` (1..n) to every row: the exact position in hash order inside its class.
+
+    ``df`` carries the class size column ``size``.
+    """
     c = table.class_col
-    hashed = add_hash(df, seed, id_cols, digits)
-    offsets = maybe_broadcast(bucket_offsets(hashed, c).drop(CNT), table.count * 16 ** digits)
-    x = join_on_class(hashed, offsets, c, table.null_safe, "inner", extra_keys=[B])
+    hashed = _hashed(df, seed, id_cols, size, bucket_rows)
+    offsets = bucket_offsets(hashed.select(c, B), [c]).drop(CNT)
+    if table.local:
+        bound = sum(bucket_count(n, bucket_rows) for _, n in table.rows)
+    else:
+        bound = table.count + table.total // (bucket_rows or config.RANK_BUCKET_ROWS)
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
-    return x.withColumn(RANK, F.col(OFF) + F.row_number().over(w)).drop(H, B, OFF)
+    ranked = hashed.withColumn(RN, F.row_number().over(w))
+    x = join_on_class(ranked, maybe_broadcast(offsets, bound), c, table.null_safe, "inner",
+                      extra_keys=[B])
+    return x.withColumn(RANK, F.col(OFF) + F.col(RN)).drop(H, B, OFF, RN)

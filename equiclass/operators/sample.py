@@ -77,7 +77,7 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     draws = draws.select(
         c, (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long").alias(RANK)
     )
-    ranked = rank_rows(base, table, id_cols, seed)
+    ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
     # The draws come from the tiny class table, so the planner would estimate them as tiny
     # and broadcast them; their true count is ``total`` (about the output size): broadcast
     # only under the bound, else a sort-merge join (spills, splits by (class, rank)).

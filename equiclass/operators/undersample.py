@@ -37,8 +37,7 @@ def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None
     if needing == 0:
         return select_like(base, cols)
     x = table.attach(base, info)
-    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False,
-                   classes_needing=needing)
+    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False)
     return select_like(x, cols)
 
 

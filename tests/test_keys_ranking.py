@@ -27,23 +27,25 @@ def _skewed(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("digits", [1, 2, 3])
-def test_rank_rows_equals_plain_window(spark, digits):
+@pytest.mark.parametrize("bucket_rows", [4, 40, 100_000])
+def test_rank_rows_equals_plain_window(spark, bucket_rows):
     df = _skewed(spark)
     t = class_table(df, "cls")
-    got = rank_rows(df, t, ["id"], seed=7, digits=digits).select("id", "cls", RANK)
+    x = t.attach(df)
+    got = rank_rows(x, t, ["id"], seed=7, size=N, bucket_rows=bucket_rows).select("id", "cls", RANK)
     w = Window.partitionBy("cls").orderBy(hash_hex(7, ["id"]), "id")
     want = df.select("id", "cls", F.row_number().over(w).cast("long").alias(RANK))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("keep_rest", [True, False])
-def test_flag_first_equals_rank_cut(spark, keep_rest):
+@pytest.mark.parametrize("keep_rest,bucket_rows", [(True, 16), (False, 16), (True, 100_000), (False, 3)])
+def test_flag_first_equals_rank_cut(spark, keep_rest, bucket_rows):
     df = _skewed(spark)
     t = class_table(df, "cls")
     q = t.frame.select("cls", N, F.least(F.col(N), F.floor(F.col(N) / 3 + 5)).cast("long").alias("q"))
     x = t.attach(df, q)
-    got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=keep_rest)
+    got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=keep_rest,
+                     bucket_rows=bucket_rows)
     w = Window.partitionBy("cls").orderBy(hash_hex(3, ["id"]), "id")
     ranked = x.withColumn("rk", F.row_number().over(w)).withColumn("want", F.col("rk") <= F.col("q"))
     if keep_rest:
@@ -60,7 +62,8 @@ def test_edge_rank_marks_the_quota_th_row(spark):
     t = class_table(df, "cls")
     q = t.frame.select("cls", N, F.least(F.col(N), F.lit(37)).cast("long").alias("q"))
     x = t.attach(df, q)
-    got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=False, edge_rank="er")
+    got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=False, edge_rank="er",
+                     bucket_rows=8)
     last = {r["cls"]: r["id"] for r in got.filter(F.col("er") == F.col("q")).collect()}
     w = Window.partitionBy("cls").orderBy(hash_hex(3, ["id"]), "id")
     ranked = x.withColumn("rk", F.row_number().over(w))

@@ -17,6 +17,7 @@ def tiny_limits(monkeypatch):
     def apply():
         monkeypatch.setattr(config, "MAX_LOCAL_CLASSES", 2)
         monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)
+        monkeypatch.setattr(config, "RANK_BUCKET_ROWS", 4)
     return apply
 
 
