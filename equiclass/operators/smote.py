@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..config import P
 from ..functions.keys import hash_hex, uniform01
-from ..functions.vectors import as_double_array, interpolate
+from ..functions.vectors import as_double_array, interpolate, to_ml_vector
 from .classes import N, ClassTable, class_table, lit_long, local_table
 from .neighbors import NID, SID, nearest_neighbors
 from .ranking import TAKE, flag_first
@@ -83,7 +83,20 @@ SEEDS_SQL = f"CASE WHEN need > 0 AND r > 0 THEN least({N}, (need + r - 1) div r)
 
 def smote(df: DataFrame, label_col: str = "label", features_col: str = "features",
           id_col: str = "id", k: int = 5, sampling_rate: float = 0.5, ratio_to_max: float = 0.5,
-          seed: int = 42, singleton: str = "drop", metric: str = "cosine") -> DataFrame:
+          seed: int = 42, singleton: str = "drop", metric: str = "cosine",
+          vector_output: bool = False) -> DataFrame:
+    """SMOTE with a ratio target (see the module text). ``vector_output`` returns the
+    features as an ML vector column instead of array<double>."""
+    out = _smote(df, label_col, features_col, id_col, k, sampling_rate, ratio_to_max, seed,
+                 singleton, metric)
+    if vector_output:
+        return out.withColumn(features_col, to_ml_vector(features_col))
+    return out
+
+
+def _smote(df: DataFrame, label_col: str, features_col: str, id_col: str, k: int,
+           sampling_rate: float, ratio_to_max: float, seed: int, singleton: str,
+           metric: str) -> DataFrame:
     if not 0.0 < sampling_rate <= 1.0:
         raise ValueError("sampling_rate must be in (0, 1]")
     if k < 1:
