@@ -2,7 +2,7 @@
 
 Codes are 0..m-1 in ascending value order (the attribute becomes nominal with one label
 per distinct value); nulls stay null. The distinct-value table is size-checked: up to
-``MAX_LOCAL_CLASSES`` values it is numbered by one small window and broadcast; above
+``MAX_LOCAL_CLASSES`` values they are sorted, numbered on the driver and broadcast; above
 that it is numbered with a range partitioning (per-partition row numbers plus offsets
 of the earlier partitions) and joined back by a shuffle.
 """
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import config
 from ..config import P, ensure_checkpoint_dir
+from .classes import local_frame
 
 PID = P + "pid"
 PCNT = P + "pcnt"
@@ -41,9 +43,11 @@ def nominal_index(df: DataFrame, col: str, code_col: str | None = None,
     code_col = code_col or f"{col}_code"
     max_local = config.MAX_LOCAL_CLASSES if max_local is None else max_local
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    m = values.limit(max_local + 1).count()
-    if m <= max_local:
-        codes = values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).alias(code_col))
+    first = values.orderBy(col).limit(max_local + 1).collect()
+    if len(first) <= max_local:
+        # Bounded: number the sorted values on the driver and broadcast a local table.
+        schema = StructType([values.schema[col], StructField(code_col, IntegerType(), False)])
+        codes = local_frame(df.sparkSession, [(r[0], i) for i, r in enumerate(first)], schema)
         return df.join(F.broadcast(codes), col, "left").select(*df.columns, code_col)
     codes = _number_distributed(values, col, code_col)
     return df.join(codes, col, "left").select(*df.columns, code_col)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..config import P
 from ..functions.keys import hash_hex
-from .classes import ClassTable, join_on_class, maybe_broadcast
+from .classes import ClassTable, join_on_class, local_frame, maybe_broadcast
 
 H = P + "h"
 B = P + "b"
@@ -94,7 +94,11 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
     edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
              .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
-    edges = F.broadcast(edges) if table.local else edges
+    if table.local:
+        # At most one row per class: computed once (a small job) and broadcast to both
+        # branches below, instead of being derived from the rows twice.
+        edges = F.broadcast(local_frame(df.sparkSession, [tuple(r) for r in edges.collect()],
+                                        edges.schema))
     x = join_on_class(hashed, edges, c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
