@@ -158,10 +158,15 @@ def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "
     out = _originals(base, label_col, features_col)
     if table.count == 0 or percent <= 0:
         return out
-    sizes = table.sizes()
-    if class_value is None:
-        class_value = min(table.rows, key=lambda r: (r[1], r[0]))[0]
-    n = sizes.get(class_value, 0)
+    if table.local:
+        if class_value is None:
+            class_value = min(table.rows, key=lambda r: (r[1], r[0]))[0]
+        n = table.sizes().get(class_value, 0)
+    else:  # many classes: look the class up in the checkpointed table
+        pick = (table.frame.orderBy(F.col(N), F.col(label_col)) if class_value is None
+                else table.frame.filter(F.col(label_col) == F.lit(class_value)))
+        row = pick.first()
+        class_value, n = (row[0], int(row[1])) if row else (class_value, 0)
     kc = min(k, n - 1)
     if kc < 1:
         return out

@@ -6,7 +6,7 @@ from equiclass import config
 from equiclass.operators.oversample import oversample
 from equiclass.operators.resample import resample_uniform
 from equiclass.operators.sample import sample_exact
-from equiclass.operators.smote import smote
+from equiclass.operators.smote import smote, smote_percent
 from equiclass.operators.undersample import undersample_spread
 from tests.test_oversample import _frame
 from tests.test_smote_knn import _vectors
@@ -46,3 +46,11 @@ def test_smote_many_classes_path(spark, tiny_limits):
     local.count()
     tiny_limits()
     assert _same(local, smote(df, "label", "features", "id", ratio_to_max=1.0, seed=5))
+
+
+def test_smote_percent_many_classes_path(spark, tiny_limits):
+    df, _ = _vectors(spark, {"a": 30, "b": 12, "c": 7})
+    local = smote_percent(df, "label", "features", "id", percent=200, k=3, seed=5).cache()
+    local.count()
+    tiny_limits()
+    assert _same(local, smote_percent(df, "label", "features", "id", percent=200, k=3, seed=5))
