@@ -28,8 +28,8 @@ def default_size_percent(largest: int, total: int, classes: int) -> float:
     return math.ceil(majority_pct * classes * 10) / 10
 
 
-def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None, bias: float = 1.0,
-                     size_percent: float | None = None, seed: int = 42,
+def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
+                     bias: float = 1.0, size_percent: float | None = None, seed: int = 42,
                      nulls: str = "drop") -> DataFrame:
     id_cols = row_keys(df, id_cols)
     if not 0.0 <= bias <= 1.0:

@@ -16,8 +16,7 @@ TARGET = P + "target"
 
 
 def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
-                       spread: float = 1.0,
-                       seed: int = 42, nulls: str = "drop") -> DataFrame:
+                       spread: float = 1.0, seed: int = 42, nulls: str = "drop") -> DataFrame:
     """Keep at most floor(spread * smallest) rows per class, the first ones in hash order.
 
     ``spread`` >= 1 is the largest allowed ratio between a class and the smallest class;
@@ -65,6 +64,3 @@ def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, k
     else:
         sampled = sample_bernoulli(rest_b, id_cols, min(1.0, ratio * a / b), seed=seed)
     return select_like(sampled.unionByName(keep_a), cols)
-
-
-
