@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import config
 from ..config import P
@@ -90,15 +91,23 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     hashed = _hashed(df, seed, id_cols, size, bucket_rows)
     q, n = F.col(quota), F.col(size)
     partial = (q > 0) & (q <= n)
+    per = bucket_rows or config.RANK_BUCKET_ROWS
     # One row per partial class: the bucket holding the quota-th row and what precedes it.
     offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
     edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
              .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
     if table.local:
-        # At most one row per class: computed once (a small job) and broadcast to both
-        # branches below, instead of being derived from the rows twice.
-        edges = F.broadcast(local_frame(df.sparkSession, [tuple(r) for r in edges.collect()],
-                                        edges.schema))
+        # At most one row per class, computed once and broadcast to both branches below.
+        # A class of at most ``per`` rows is one bucket: its edge is ("", 0) without a job;
+        # only bigger classes need their buckets counted.
+        rows = [(k, "", 0) for k, m in table.rows if m <= per]
+        big = [k for k, m in table.rows if m > per]
+        if big:
+            big_t = local_frame(df.sparkSession, [(k,) for k in big],
+                                StructType([table.frame.schema[c]]))
+            rows += [tuple(r) for r in join_on_class(edges, F.broadcast(big_t), c,
+                                                     table.null_safe).collect()]
+        edges = F.broadcast(local_frame(df.sparkSession, rows, edges.schema))
     x = join_on_class(hashed, edges, c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
@@ -129,13 +138,19 @@ def rank_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int |
     """
     c = table.class_col
     hashed = _hashed(df, seed, id_cols, size, bucket_rows)
+    per = bucket_rows or config.RANK_BUCKET_ROWS
     offsets = bucket_offsets(hashed.select(c, B), [c]).drop(CNT)
-    if table.local:
-        bound = sum(bucket_count(n, bucket_rows) for _, n in table.rows)
+    if table.local and all(m <= per for _, m in table.rows):
+        # Every class is one bucket: offsets are ("", 0), known without counting.
+        offsets = F.broadcast(local_frame(df.sparkSession, [(k, "", 0) for k, _ in table.rows],
+                                          offsets.schema))
+        bound = 0
+    elif table.local:
+        bound = sum(bucket_count(m, bucket_rows) for _, m in table.rows)
     else:
-        bound = table.count + table.total // (bucket_rows or config.RANK_BUCKET_ROWS)
+        bound = table.count + table.total // per
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
     ranked = hashed.withColumn(RN, F.row_number().over(w))
-    x = join_on_class(ranked, maybe_broadcast(offsets, bound), c, table.null_safe, "inner",
-                      extra_keys=[B])
+    x = join_on_class(ranked, offsets if bound == 0 else maybe_broadcast(offsets, bound), c,
+                      table.null_safe, "inner", extra_keys=[B])
     return x.withColumn(RANK, F.col(OFF) + F.col(RN)).drop(H, B, OFF, RN)

@@ -27,7 +27,7 @@ def _skewed(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("bucket_rows", [4, 40, 100_000])
+@pytest.mark.parametrize("bucket_rows", [4, 40, 500, 100_000])
 def test_rank_rows_equals_plain_window(spark, bucket_rows):
     df = _skewed(spark)
     t = class_table(df, "cls")
@@ -38,7 +38,7 @@ def test_rank_rows_equals_plain_window(spark, bucket_rows):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("keep_rest,bucket_rows", [(True, 16), (False, 16), (True, 100_000), (False, 3)])
+@pytest.mark.parametrize("keep_rest,bucket_rows", [(True, 16), (False, 16), (True, 100_000), (False, 3), (True, 500), (False, 500)])
 def test_flag_first_equals_rank_cut(spark, keep_rest, bucket_rows):
     df = _skewed(spark)
     t = class_table(df, "cls")
