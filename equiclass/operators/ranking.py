@@ -39,13 +39,11 @@ TAKE = P + "take"
 MAX_DIGITS = 7
 
 
-def bucket_digits(n: Column, bucket_rows: int | None = None) -> Column:
-    """Hex digits of the hash prefix for a class of ``n`` rows."""
+def bucket_digits(n: str, bucket_rows: int | None = None) -> Column:
+    """Hex digits of the hash prefix for a class of ``n`` rows (``n`` a column name)."""
     per = bucket_rows or config.RANK_BUCKET_ROWS
-    d = F.lit(MAX_DIGITS)
-    for k in range(MAX_DIGITS - 1, -1, -1):
-        d = F.when(n <= F.lit(per * 16 ** k), F.lit(k)).otherwise(d)
-    return d
+    arms = " ".join(f"WHEN {n} <= {per * 16 ** k} THEN {k}" for k in range(MAX_DIGITS))
+    return F.expr(f"CASE {arms} ELSE {MAX_DIGITS} END")
 
 
 def bucket_count(n: int, bucket_rows: int | None = None) -> int:
@@ -59,10 +57,9 @@ def bucket_count(n: int, bucket_rows: int | None = None) -> int:
 
 def _hashed(df: DataFrame, seed: int | str, id_cols: list[str], size: str,
             bucket_rows: int | None) -> DataFrame:
-    d = bucket_digits(F.col(size), bucket_rows)
-    x = df.withColumn(H, hash_hex(seed, id_cols))
+    h = hash_hex(seed, id_cols)
     # substring(h, 1, 0) is "": a small class is one bucket.
-    return x.withColumn(B, F.substring(F.col(H), F.lit(1), d))
+    return df.withColumns({H: h, B: F.substring(h, F.lit(1), bucket_digits(size, bucket_rows))})
 
 
 def _order(id_cols: list[str]) -> list[Column]:
