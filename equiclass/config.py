@@ -17,7 +17,11 @@ MAX_BROADCAST_ROWS = 2_000_000
 # Rows per hash bucket when ranking inside a class: classes up to this size are sorted
 # whole; bigger ones are cut into 16^d buckets of at most about this many rows.
 RANK_BUCKET_ROWS = 65_536
-# Largest number of copies produced from one input row inside one task.
+# Rows copied at least this many times are spread over more tasks before expanding ...
+HEAVY_COPIES = 8
+# ... when their total output exceeds this many rows (one task's worth of output).
+ROWS_PER_TASK = 1_000_000
+# Largest number of copies of one input row produced inside one task.
 COPY_CHUNK = 100_000
 # Rows per side of one neighbour-search tile.
 TILE_ROWS = 1024

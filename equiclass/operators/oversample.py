@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import COPY_CHUNK, P
+from .. import config
+from ..config import P
 from .classes import N, class_table, keep_classes, lit_long, row_keys, select_like
 from .ranking import TAKE, flag_first
 from .replicate import replicate
@@ -22,7 +23,7 @@ MULT = P + "mult"
 
 
 def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
-               nulls: str = "drop", chunk: int = COPY_CHUNK) -> DataFrame:
+               nulls: str = "drop", chunk: int | None = None) -> DataFrame:
     id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)
@@ -43,11 +44,8 @@ def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
         x = x.withColumn(TAKE, F.lit(False))
     x = x.withColumn(MULT, F.col(COPIES) + F.col(TAKE).cast("long"))
     max_copies = -(-m // table.smallest)
-    chunks = 0
-    if table.local and max_copies > chunk:
-        for _, n in table.rows:
-            per_row = -(-m // n)
-            chunks += n * -(-per_row // chunk)
-    elif max_copies > chunk:
-        chunks = table.total
-    return select_like(replicate(x, MULT, max_copies, chunks, chunk), cols)
+    if table.local:
+        heavy_out = sum(n * (m // n + 1) for _, n in table.rows if m // n + 1 >= config.HEAVY_COPIES)
+    else:
+        heavy_out = table.count * m
+    return select_like(replicate(x, MULT, max_copies, heavy_out, chunk), cols)

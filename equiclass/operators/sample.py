@@ -72,8 +72,8 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     (class, rank), which spreads a hot class over many tasks.
     """
     c = table.class_col
-    draws = replicate(info.select(c, N, size_col), size_col, max_size,
-                      total_chunks=-(-total // 100_000), index_col=DRAW)
+    draws = replicate(info.select(c, N, size_col), size_col, max_size, heavy_out=total,
+                      index_col=DRAW)
     draws = draws.select(
         c, (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long").alias(RANK)
     )

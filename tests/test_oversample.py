@@ -79,13 +79,28 @@ def test_deterministic_under_repartition(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_chunked_copies_match_plain(spark):
-    df = _frame(spark, {"a": 1000, "b": 3})
-    plain = oversample(df, "cls", ["id"], seed=2)
+def test_spread_copies_match_plain(spark, monkeypatch):
+    from equiclass import config
+    df = _frame(spark, {"a": 1000, "b": 3, "c": 300})
+    plain = oversample(df, "cls", ["id"], seed=2).cache()
+    plain.count()
+    monkeypatch.setattr(config, "ROWS_PER_TASK", 50)   # force the spread path
     chunked = oversample(df, "cls", ["id"], seed=2, chunk=16)
+    assert "RoundRobinPartitioning" in chunked._jdf.queryExecution().executedPlan().toString()
     assert plain.exceptAll(chunked).count() == 0 and chunked.exceptAll(plain).count() == 0
 
 
+def test_spread_draws_match_plain(spark, monkeypatch):
+    from equiclass import config
+    from equiclass.operators.sample import sample_with_replacement
+    df = _frame(spark, {"a": 30, "b": 3})
+    plain = sample_with_replacement(df, "cls", ["id"], 500, seed=4).cache()
+    plain.count()
+    monkeypatch.setattr(config, "ROWS_PER_TASK", 40)
+    spread = sample_with_replacement(df, "cls", ["id"], 500, seed=4)
+    assert plain.exceptAll(spread).count() == 0 and spread.exceptAll(plain).count() == 0
+
+
 def test_tie_for_max(spark):
     out = oversample(_frame(spark, {"a": 6, "b": 6, "c": 2}), "cls", ["id"])
     assert dict(out.groupBy("cls").count().collect()) == {"a": 6, "b": 6, "c": 6}
