@@ -36,6 +36,10 @@ EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 CONV = ["conv_id", "turn", "role", "text"]
 LABELS = ["doc_id", "quality", "toxic"]
 LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+# lineitem has no key column; these integer and string columns identify a row.
+LINEITEM_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +85,14 @@ def q_oversample_nation(spark, d):
     return oversample(table(spark, d, "customer"), "c_nationkey", ["c_custkey"], seed=SEED)
 
 
+def q_oversample_lineitem(spark, d):
+    return oversample(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, seed=SEED)
+
+
+def q_sample_exact_lineitem(spark, d):
+    return sample_exact(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, 15000, seed=SEED)
+
+
 def q_sample_exact_role(spark, d):
     return sample_exact(table(spark, d, "conversations"), "role", ["conv_id", "turn"], 100, seed=SEED)
 
@@ -195,6 +207,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oversample_brand25": q_oversample_brand25,
     "oversample_users": q_oversample_users,
     "oversample_nation": q_oversample_nation,
+    "oversample_lineitem": q_oversample_lineitem,
+    "sample_exact_lineitem": q_sample_exact_lineitem,
     "sample_exact_role": q_sample_exact_role,
     "sample_bernoulli_events": q_sample_bernoulli_events,
     "sample_replace_lang": q_sample_replace_lang,
@@ -346,6 +360,9 @@ FROM s, t""",
     "oversample_nation": oracle.oversample(
         "customer", "c_nationkey", ["c_custkey"],
         ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "oversample_lineitem": oracle.oversample("lineitem", "l_returnflag", LINEITEM_IDS, LINEITEM),
+    "sample_exact_lineitem": oracle.sample_exact("lineitem", "l_returnflag", LINEITEM_IDS, LINEITEM,
+                                                 15000),
     "sample_exact_role": oracle.sample_exact("conversations", "role", ["conv_id", "turn"], CONV, 100),
     "sample_bernoulli_events":
         f"SELECT * FROM events WHERE {sql_uniform01(SEED, ['event_id'])} < 0.1::DOUBLE",
