@@ -56,10 +56,20 @@ def bucket_count(n: int, bucket_rows: int | None = None) -> int:
 
 
 def _hashed(df: DataFrame, seed: int | str, id_cols: list[str], size: str,
-            bucket_rows: int | None) -> DataFrame:
+            bucket_rows: int | None, when: Column | None = None,
+            with_hash: bool = True) -> DataFrame:
+    """Add the bucket ``B`` (and, with ``with_hash``, the full hash ``H``).
+
+    A class of one bucket gets "" without hashing; with ``when`` only those rows are
+    hashed, the others also get "" (their bucket is never looked at).
+    """
     h = hash_hex(seed, id_cols)
-    # substring(h, 1, 0) is "": a small class is one bucket.
-    return df.withColumns({H: h, B: F.substring(h, F.lit(1), bucket_digits(size, bucket_rows))})
+    d = bucket_digits(size, bucket_rows)
+    need = d > 0 if when is None else (d > 0) & when
+    cols = {B: F.when(need, F.substring(h, F.lit(1), d)).otherwise(F.lit(""))}
+    if with_hash:
+        cols[H] = h
+    return df.withColumns(cols)
 
 
 def _order(id_cols: list[str]) -> list[Column]:
@@ -85,11 +95,12 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     elsewhere): the quota-th row is the one whose ``edge_rank`` equals the quota.
     """
     c = table.class_col
-    hashed = _hashed(df, seed, id_cols, size, bucket_rows)
     q, n = F.col(quota), F.col(size)
     partial = (q > 0) & (q <= n)
+    # Buckets only matter for classes cut somewhere inside; the full hash (to sort) only
+    # for the rows of the edge bucket, computed after the filter below.
+    hashed = _hashed(df, seed, id_cols, size, bucket_rows, when=partial, with_hash=False)
     per = bucket_rows or config.RANK_BUCKET_ROWS
-    # One row per partial class: the bucket holding the quota-th row and what precedes it.
     offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
     edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
              .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
@@ -115,8 +126,9 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     else:
         plain = plain.filter(whole).withColumn(TAKE, F.lit(True))
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
-    straddle = x.filter(edge).withColumn(RN, F.col(EOFF) + F.row_number().over(w))
-    straddle = straddle.withColumn(TAKE, F.col(RN) <= q)
+    straddle = (x.filter(edge).withColumn(H, hash_hex(seed, id_cols))
+                .withColumn(RN, F.col(EOFF) + F.row_number().over(w)))
+    straddle = straddle.withColumn(TAKE, F.col(RN) <= q).drop(H)
     if edge_rank is not None:
         plain = plain.withColumn(edge_rank, F.lit(None).cast("long"))
         straddle = straddle.withColumnRenamed(RN, edge_rank)
@@ -124,7 +136,7 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
         straddle = straddle.drop(RN)
     if not keep_rest:
         straddle = straddle.filter(F.col(TAKE))
-    return plain.unionByName(straddle).drop(H, B, EB, EOFF)
+    return plain.unionByName(straddle).drop(B, EB, EOFF)
 
 
 def rank_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int | str,
