@@ -24,7 +24,6 @@ from .replicate import replicate
 QUOTA = P + "quota"
 SIZE = P + "size"
 DRAW = P + "draw"
-TARGET = P + "target"
 
 
 def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataFrame:
