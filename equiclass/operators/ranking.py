@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import config
-from ..config import P
+from ..config import P, ensure_checkpoint_dir
 from ..functions.keys import hash_hex
 from .classes import ClassTable, join_on_class, local_frame, maybe_broadcast
 
@@ -116,6 +116,11 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
             rows += [tuple(r) for r in join_on_class(edges, F.broadcast(big_t), c,
                                                      table.null_safe).collect()]
         edges = F.broadcast(local_frame(df.sparkSession, rows, edges.schema))
+    else:
+        # More classes than a broadcast allows: materialize the edges once (both branches
+        # below read them) in the shared checkpoint folder; they are joined by a shuffle.
+        ensure_checkpoint_dir(df.sparkSession)
+        edges = edges.checkpoint(eager=True)
     x = join_on_class(hashed, edges, c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
