@@ -10,8 +10,10 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Largest class table (one row per class) that is collected and broadcast.
+# Largest class table (one row per class) that is collected and broadcast, in rows and in
+# (approximate) bytes of class values.
 MAX_LOCAL_CLASSES = 50_000
+MAX_LOCAL_BYTES = 64 * 1024 * 1024
 # Largest lazily computed lookup (e.g. per-class hash-bucket offsets) that is broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
 # Rows per hash bucket when ranking inside a class: classes up to this size are sorted

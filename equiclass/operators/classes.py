@@ -115,6 +115,10 @@ def join_on_class(left: DataFrame, right: DataFrame, class_col: str, null_safe:
     return out.drop(*[P + "r_" + k for k in keys])
 
 
+def _approx_bytes(rows: list) -> int:
+    return sum(len(str(r[0])) + 16 for r in rows)
+
+
 def class_table(df: DataFrame, class_col: str, nulls: str = "drop",
                 max_local: int | None = None) -> ClassTable:
     """Count rows per class and size-check the result (one small job)."""
@@ -123,7 +127,7 @@ def class_table(df: DataFrame, class_col: str, nulls: str = "drop",
     sizes = base.groupBy(class_col).agg(F.count(F.lit(1)).alias(N))
     rows = sizes.limit(max_local + 1).collect()
     spark = df.sparkSession
-    if len(rows) <= max_local:
+    if len(rows) <= max_local and _approx_bytes(rows) <= config.MAX_LOCAL_BYTES:
         pairs = [(r[0], int(r[1])) for r in rows]
         frame = local_frame(spark, pairs, sizes.schema)
         counts = [n for _, n in pairs]

@@ -54,3 +54,12 @@ def test_smote_percent_many_classes_path(spark, tiny_limits):
     local.count()
     tiny_limits()
     assert _same(local, smote_percent(df, "label", "features", "id", percent=200, k=3, seed=5))
+
+
+def test_byte_bound_sends_wide_classes_to_the_shuffled_path(spark, monkeypatch):
+    from equiclass.operators.classes import class_table
+    df = _frame(spark, {"a" * 50: 4, "b" * 50: 2})
+    assert class_table(df, "cls").local
+    monkeypatch.setattr(config, "MAX_LOCAL_BYTES", 100)
+    t = class_table(df, "cls")
+    assert not t.local and t.count == 2 and t.largest == 4
