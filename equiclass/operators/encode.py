@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import config
 from ..config import P, ensure_checkpoint_dir
-from .classes import local_frame
+from .classes import _approx_bytes, local_frame
 
 PID = P + "pid"
 PCNT = P + "pcnt"
@@ -44,7 +44,7 @@ def nominal_index(df: DataFrame, col: str, code_col: str | None = None,
     max_local = config.MAX_LOCAL_CLASSES if max_local is None else max_local
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
     first = values.orderBy(col).limit(max_local + 1).collect()
-    if len(first) <= max_local:
+    if len(first) <= max_local and _approx_bytes(first) <= config.MAX_LOCAL_BYTES:
         # Bounded: number the sorted values on the driver and broadcast a local table.
         schema = StructType([values.schema[col], StructField(code_col, IntegerType(), False)])
         codes = local_frame(df.sparkSession, [(r[0], i) for i, r in enumerate(first)], schema)
