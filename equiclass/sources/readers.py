@@ -48,13 +48,19 @@ def parse_labeled_vectors(df: DataFrame, value_col: str = "value", size: int | N
 
     Adds ``label_col`` (string), ``indices`` (array<int>, 0-based: token index minus
     ``index_base``), ``values`` (array<double>) and, with ``size``, the dense
-    ``features_col``. Tokens are split on any run of whitespace.
+    ``features_col``. Tokens are split on any run of whitespace; malformed tokens are skipped.
     """
     tokens = F.split(F.trim(F.col(value_col)), r"\s+")
     pairs = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    parsed = F.transform(pairs, lambda t: F.split(t, ":"))
-    indices = F.transform(parsed, lambda p: F.trim(p[0]).cast("int") - F.lit(index_base))
-    values = F.transform(parsed, lambda p: F.trim(p[1]).cast("double"))
+    # ``idx:value`` tokens; a token without both parts as numbers is skipped (ANSI-safe).
+    parsed = F.filter(
+        F.transform(pairs, lambda t: F.struct(
+            F.trim(F.substring_index(t, ":", 1)).try_cast("int").alias("i"),
+            F.when(F.instr(t, ":") > 0, F.trim(F.substring_index(t, ":", -1)))
+            .try_cast("double").alias("v"))),
+        lambda p: p["i"].isNotNull() & p["v"].isNotNull())
+    indices = F.transform(parsed, lambda p: p["i"] - F.lit(index_base))
+    values = F.transform(parsed, lambda p: p["v"])
     out = (df.withColumn(label_col, tokens[0])
            .withColumn("indices", indices)
            .withColumn("values", values))

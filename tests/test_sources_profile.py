@@ -67,6 +67,12 @@ def test_labeled_lines(spark, files):
     assert got["lonely"] == ([], [], [0.0, 0.0, 0.0, 0.0])
 
 
+def test_malformed_tokens_are_skipped(spark):
+    df = spark.createDataFrame([("a 1:0.5 junk 3:x 2:1e-3 :4",)], "value string")
+    r = parse_labeled_vectors(df, size=3).first()
+    assert r["label"] == "a" and r["indices"] == [0, 1] and r["features"] == [0.5, 0.001, 0.0]
+
+
 def test_format_parse_round_trip(spark):
     df = spark.createDataFrame([(1, "a", [0.25, 0.0, -3.5e-7]), (2, "b", [1.0, 2.0, 3.0])],
                                "id int, label string, v array<double>")
