@@ -70,7 +70,7 @@ def feature_stats(df: DataFrame, cols: list[str], digits: int | None = None) ->
     """
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = F.col(c).try_cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.var_samp(x).alias(f"v{i}"), F.count_if(x != 0.0).alias(f"z{i}")]
     one = df.agg(*aggs)

@@ -61,7 +61,7 @@ def resampling_report(df: DataFrame, class_col: str, feature_cols: list[str], id
     from the coded original rows.
     """
     coded = nominal_index(df, class_col, "class_code").filter(F.col("class_code").isNotNull())
-    with_vec = coded.withColumn("features", F.array(*[F.col(c).cast("double") for c in feature_cols]))
+    with_vec = coded.withColumn("features", F.array(*[F.col(c).try_cast("double") for c in feature_cols]))
     steps = [
         ("original", coded),
         ("spread_subsample", undersample_spread(coded, "class_code", [id_col], spread, seed=seed)),
