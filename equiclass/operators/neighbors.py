@@ -135,41 +135,38 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     candidates) per class — saves two counting jobs when the caller knows them.
     ``carry``: integer columns of ``seeds`` passed through to every output row.
     """
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
     carry = list(carry or [])
     spark = seeds.sparkSession
-    if counts is None:
-        ts = class_table(seeds, label_col)
-        tc = class_table(candidates, label_col)
-        small = ts.local and tc.local
-        counts = [(lb, ns, tc.sizes().get(lb, 0)) for lb, ns in ts.rows] if small else None
-    else:
-        small = True
-    if counts is None:
-        lay = _layout_frame(ts, tc, tile)
-    else:
-        lay = [(lb, max(1, math.ceil(ns / tile)), max(1, math.ceil(nc / tile)))
-               for lb, ns, nc in counts if ns and nc]
     label_type = seeds.schema[label_col].dataType
-    if isinstance(lay, DataFrame):
-        layout = lay
+    if counts is None:
+        ts, tc = class_table(seeds, label_col), class_table(candidates, label_col)
+        if ts.local and tc.local:
+            sizes_c = tc.sizes()
+            counts = [(lb, ns, sizes_c.get(lb, 0)) for lb, ns in ts.rows]
+    if counts is not None:   # bounded: one row per class, broadcast
+        blocks = [(lb, math.ceil(ns / tile), math.ceil(nc / tile)) for lb, ns, nc in counts
+                  if ns and nc]
+        schema = StructType([StructField(label_col, label_type), StructField(SBN, LongType()),
+                             StructField(CBN, LongType())])
+        layout = F.broadcast(local_frame(spark, blocks, schema))
     else:
-        layout = F.broadcast(local_frame(
-            spark,
-            lay, StructType([StructField(label_col, label_type), StructField(SBN, LongType()),
-                             StructField(CBN, LongType())])))
+        layout = _layout_frame(ts, tc, tile)
     kc = F.col(k) if isinstance(k, str) else F.lit(int(k))
+    zero = F.lit(0).cast("long")
     # Fresh aliases: seeds and candidates may come from one frame (a self cogroup).
-    s = join_on_class(seeds.select(F.col(label_col).alias(label_col), F.col(id_col).cast("long").alias(SID),
-                                   F.col(vec_col).alias(VEC), kc.cast("long").alias(KCOL),
-                                   *[F.col(x).cast("long").alias(x) for x in carry]),
-                      layout, label_col, False)
-    s = (s.withColumn(SB, F.pmod(F.xxhash64(SID), F.col(SBN)))
-          .withColumn(CB, F.explode(F.sequence(F.lit(0).cast("long"), F.col(CBN) - 1))))
-    c = join_on_class(candidates.select(F.col(label_col).alias(label_col), F.col(id_col).cast("long").alias(NID),
-                                        F.col(vec_col).alias(VEC)),
-                      layout, label_col, False)
-    c = (c.withColumn(CB, F.pmod(F.xxhash64(NID, F.lit(7)), F.col(CBN)))
-          .withColumn(SB, F.explode(F.sequence(F.lit(0).cast("long"), F.col(SBN) - 1))))
+    s = seeds.select(F.col(label_col).alias(label_col), F.col(id_col).cast("long").alias(SID),
+                     F.col(vec_col).alias(VEC), kc.cast("long").alias(KCOL),
+                     *[F.col(x).cast("long").alias(x) for x in carry])
+    s = (join_on_class(s, layout, label_col, False)
+         .withColumn(SB, F.pmod(F.xxhash64(SID), F.col(SBN)))
+         .withColumn(CB, F.explode(F.sequence(zero, F.col(CBN) - 1))))
+    c = candidates.select(F.col(label_col).alias(label_col),
+                          F.col(id_col).cast("long").alias(NID), F.col(vec_col).alias(VEC))
+    c = (join_on_class(c, layout, label_col, False)
+         .withColumn(CB, F.pmod(F.xxhash64(NID, F.lit(7)), F.col(CBN)))
+         .withColumn(SB, F.explode(F.sequence(zero, F.col(SBN) - 1))))
     fields = [StructField(label_col, label_type), StructField(SID, LongType()),
               StructField(NID, LongType()), StructField("score", DoubleType()),
               StructField(KCOL, LongType())] + [StructField(x, LongType()) for x in carry]
