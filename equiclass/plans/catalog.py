@@ -35,6 +35,8 @@ PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 CONV = ["conv_id", "turn", "role", "text"]
 LABELS = ["doc_id", "quality", "toxic"]
+ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -184,6 +186,34 @@ def q_resampling_report_segment(spark, d):
                              ["c_acctbal", "c_nationkey"], "c_custkey", seed=SEED)
 
 
+def q_oversample_orders_priority(spark, d):
+    return oversample(table(spark, d, "orders"), "o_orderpriority", ["o_orderkey"], seed=SEED)
+
+
+def q_undersample_spread_orders_status(spark, d):
+    return undersample_spread(table(spark, d, "orders"), "o_orderstatus", ["o_orderkey"], 1.0,
+                              seed=SEED)
+
+
+def q_sample_exact_events_type(spark, d):
+    return sample_exact(table(spark, d, "events"), "event_type", ["event_id"], 1500, seed=SEED)
+
+
+def q_sample_bernoulli_documents(spark, d):
+    return sample_bernoulli(table(spark, d, "documents"), ["doc_id"], 0.3, seed=7)
+
+
+def q_resample_uniform_segment(spark, d):
+    return resample_uniform(table(spark, d, "customer"), "c_mktsegment", ["c_custkey"], bias=0.0,
+                            size_percent=50.0, seed=SEED)
+
+
+def q_smote_embeddings_euclidean(spark, d):
+    out = smote(table(spark, d, "embeddings"), "label", "embedding", "vec_id", k=4,
+                sampling_rate=1.0, ratio_to_max=0.9, seed=7, metric="euclidean")
+    return _vector_long(out)
+
+
 def q_vector_functions(spark, d):
     e = _vectors(spark, d)
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
@@ -229,6 +259,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_vectors": q_parse_vectors,
     "vector_functions": q_vector_functions,
     "resampling_report_segment": q_resampling_report_segment,
+    "oversample_orders_priority": q_oversample_orders_priority,
+    "undersample_spread_orders_status": q_undersample_spread_orders_status,
+    "sample_exact_events_type": q_sample_exact_events_type,
+    "sample_bernoulli_documents": q_sample_bernoulli_documents,
+    "resample_uniform_segment": q_resample_uniform_segment,
+    "smote_embeddings_euclidean": q_smote_embeddings_euclidean,
 }
 
 
@@ -263,23 +299,29 @@ def _originals_long(min_rows: int) -> str:
             f"(SELECT e.*, unnest(range(len(e.v))) AS i FROM e JOIN sz USING (label) WHERE sz.n >= {min_rows}) o")
 
 
-def _smote_sql() -> str:
-    h_seed = sql_hash_hex(SEED, ["e.vec_id"])
-    h_pick = sql_hash_hex(SEED, ["seed_id", "neighbor_id"])
-    gap = sql_uniform01(SEED, ["seed_id", "neighbor_id", "i"])
-    cos = (f"CASE WHEN a.nv <> 0 AND b.nv <> 0 THEN {oracle.dot('a.v', 'b.v')} / (a.nv * b.nv) "
-           f"ELSE 0.0::DOUBLE END")
+def _smote_sql(metric: str = "cosine", k: int = 5, rate: float = 0.5, ratio: float = 1.0,
+               seed: int = SEED) -> str:
+    h_seed = sql_hash_hex(seed, ["e.vec_id"])
+    h_pick = sql_hash_hex(seed, ["seed_id", "neighbor_id"])
+    gap = sql_uniform01(seed, ["seed_id", "neighbor_id", "i"])
+    if metric == "cosine":
+        score = (f"CASE WHEN a.nv <> 0 AND b.nv <> 0 THEN {oracle.dot('a.v', 'b.v')} / (a.nv * b.nv) "
+                 f"ELSE 0.0::DOUBLE END")
+        order = "score DESC, neighbor_id"
+    else:
+        score = f"sqrt({oracle.sqdist('a.v', 'b.v')})"
+        order = "score, neighbor_id"
     return f"""
 WITH e AS ({_E}),
 sz AS (SELECT label, count(*) AS n FROM e GROUP BY label),
 mx AS (SELECT max(n) AS m FROM sz),
 p0 AS (SELECT label, n,
-              CASE WHEN CAST(n AS DOUBLE) < m * 1.0::DOUBLE
-                   THEN CAST(trunc(m * 1.0::DOUBLE - n) AS BIGINT) ELSE 0 END AS need,
-              greatest(0, least(CASE WHEN n >= 5 THEN 5 ELSE CAST(trunc(n * 0.5::DOUBLE) AS BIGINT) END,
+              CASE WHEN CAST(n AS DOUBLE) < m * {ratio!r}::DOUBLE
+                   THEN CAST(trunc(m * {ratio!r}::DOUBLE - n) AS BIGINT) ELSE 0 END AS need,
+              greatest(0, least(CASE WHEN n >= {k} THEN {k} ELSE CAST(trunc(n * 0.5::DOUBLE) AS BIGINT) END,
                                 n - 1)) AS kc
        FROM sz, mx WHERE n > 1),
-p1 AS (SELECT *, CASE WHEN kc > 0 THEN greatest(1, least(kc, CAST(floor(kc * 0.5::DOUBLE + 0.5::DOUBLE)
+p1 AS (SELECT *, CASE WHEN kc > 0 THEN greatest(1, least(kc, CAST(floor(kc * {rate!r}::DOUBLE + 0.5::DOUBLE)
                   AS BIGINT))) ELSE 0 END AS r FROM p0),
 pl AS (SELECT *, CASE WHEN need > 0 AND r > 0 THEN least(n, (need + r - 1) // r) ELSE 0 END AS seeds
        FROM p1),
@@ -288,10 +330,10 @@ rk AS (SELECT e.*, pl.need, pl.kc, pl.r, pl.seeds,
        FROM e JOIN pl USING (label) WHERE pl.seeds > 0),
 en AS (SELECT *, sqrt({oracle.dot('v', 'v')}) AS nv FROM rk),
 pr AS (SELECT a.label, a.vec_id AS seed_id, b.vec_id AS neighbor_id, a.seed_rank, a.need, a.kc, a.r,
-              a.v AS x, b.v AS y, {cos} AS score
+              a.v AS x, b.v AS y, {score} AS score
        FROM en a JOIN en b ON a.label = b.label AND a.vec_id <> b.vec_id
        WHERE a.seed_rank <= a.seeds),
-nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, neighbor_id)
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY {order})
                              AS k_rank FROM pr) q WHERE k_rank <= kc),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY {h_pick}, neighbor_id)
                              AS pick FROM nn) q
@@ -401,6 +443,7 @@ FROM range(64) r LEFT JOIN k ON k.p_size_code = r.range""",
     "knn_cosine": _knn_sql("cosine"),
     "knn_euclidean": _knn_sql("euclidean"),
     "smote_embeddings": _smote_sql(),
+    "smote_embeddings_euclidean": _smote_sql("euclidean", k=4, rate=1.0, ratio=0.9, seed=7),
     "smote_percent": _smote_percent_sql(),
     "compare_oversample": """
 WITH s AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang),
@@ -413,6 +456,16 @@ FROM b, m""",
 SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS value
 FROM (SELECT vec_id, label, embedding, unnest(range(len(embedding))) AS i FROM embeddings) q""",
     "vector_functions": _vector_functions_sql(),
+    "oversample_orders_priority": oracle.oversample("orders", "o_orderpriority", ["o_orderkey"], ORDERS),
+    "undersample_spread_orders_status": oracle.undersample_spread(
+        "orders", "o_orderstatus", ["o_orderkey"], ORDERS, 1.0),
+    "sample_exact_events_type": oracle.sample_exact("events", "event_type", ["event_id"], EVENTS, 1500),
+    "sample_bernoulli_documents":
+        f"SELECT * FROM documents WHERE {sql_uniform01(7, ['doc_id'])} < 0.3::DOUBLE",
+    "resample_uniform_segment": oracle.draws_join(
+        "customer", "c_mktsegment", ["c_custkey"], CUSTOMER,
+        "CAST(floor(50.0::DOUBLE / 100 * (1.0::DOUBLE * CAST(s.n AS DOUBLE) + t.u)) AS BIGINT)",
+        SEED, ",\nt AS (SELECT 0.0::DOUBLE * CAST(sum(n) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS u FROM s)"),
     "resampling_report_segment": """
 WITH c AS (SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS class_code
            FROM customer WHERE c_mktsegment IS NOT NULL),
