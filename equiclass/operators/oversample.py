@@ -23,7 +23,8 @@ MULT = P + "mult"
 
 
 def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
-               nulls: str = "drop", chunk: int | None = None) -> DataFrame:
+               nulls: str = "drop", chunk: int | None = None,
+               unique_ids: bool = False) -> DataFrame:
     id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)
@@ -39,7 +40,8 @@ def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
     x = table.attach(base, info)
     needing = sum(1 for _, n in table.rows if m % n) if table.local else table.count
     if needing:
-        x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True)
+        x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True,
+                       unique_ids=unique_ids)
     else:  # every class size divides M: whole copies only, no ranking needed
         x = x.withColumn(TAKE, F.lit(False))
     x = x.withColumn(MULT, F.col(COPIES) + F.col(TAKE).cast("long"))

@@ -33,6 +33,8 @@ CNT = P + "bcnt"
 OFF = P + "boff"
 EB = P + "eb"
 EOFF = P + "eoff"
+ECNT = P + "ecnt"
+ER = P + "er"
 RN = P + "rn"
 RANK = P + "rank"
 TAKE = P + "take"
@@ -86,13 +88,19 @@ def bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
 
 def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str, size: str,
                seed: int | str, keep_rest: bool, edge_rank: str | None = None,
-               bucket_rows: int | None = None) -> DataFrame:
+               bucket_rows: int | None = None, unique_ids: bool = False) -> DataFrame:
     """Mark (``TAKE``) the first ``quota`` rows of every class in hash order.
 
     ``df`` already carries the per-class ``quota`` and ``size`` columns. With
     ``keep_rest=False`` the rows not taken are dropped instead of flagged. With
     ``edge_rank`` the rows of the edge bucket get their exact rank in that column (null
     elsewhere): the quota-th row is the one whose ``edge_rank`` equals the quota.
+
+    Two plans. By default the rows decided by their bucket alone and the edge-bucket rows
+    (sorted) are two branches of a union, each reading the input. With ``unique_ids`` (the
+    caller guarantees the id columns identify a row) and a bounded number of edge rows, the
+    edge rows are ranked from a narrow (class, ids) read and their verdicts broadcast back
+    by id into a single full-width pass.
     """
     c = table.class_col
     q, n = F.col(quota), F.col(size)
@@ -103,37 +111,49 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     per = bucket_rows or config.RANK_BUCKET_ROWS
     offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
     edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
-             .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
+             .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF), F.col(CNT).alias(ECNT)))
+    edge_rows = None
     if table.local:
         # At most one row per class, computed once and broadcast to both branches below.
         # A class of at most ``per`` rows is one bucket: its edge is ("", 0) without a job;
         # only bigger classes need their buckets counted.
-        rows = [(k, "", 0) for k, m in table.rows if m <= per]
+        rows = [(k, "", 0, m) for k, m in table.rows if m <= per]
         big = [k for k, m in table.rows if m > per]
         if big:
             big_t = local_frame(df.sparkSession, [(k,) for k in big],
                                 StructType([table.frame.schema[c]]))
             rows += [tuple(r) for r in join_on_class(edges, F.broadcast(big_t), c,
                                                      table.null_safe).collect()]
+        edge_rows = sum(r[3] for r in rows)        # rows that may need sorting, at most
         edges = F.broadcast(local_frame(df.sparkSession, rows, edges.schema))
     else:
         # More classes than a broadcast allows: materialize the edges once (both branches
         # below read them) in the shared checkpoint folder; they are joined by a shuffle.
         ensure_checkpoint_dir(df.sparkSession)
         edges = edges.checkpoint(eager=True)
-    x = join_on_class(hashed, edges, c, table.null_safe, "left")
+    x = join_on_class(hashed, edges.drop(ECNT), c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
     whole = F.when(q >= n, True).when(q <= 0, False).otherwise(b < eb)
+    w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
+    ranked = (x.filter(edge).withColumn(H, hash_hex(seed, id_cols))
+              .withColumn(RN, F.col(EOFF) + F.row_number().over(w)))
+    if unique_ids and edge_rows is not None and edge_rows <= config.MAX_BROADCAST_ROWS:
+        keys = [c] + [k for k in id_cols if k != c]
+        verdicts = ranked.select(*keys, F.col(RN).alias(ER))
+        y = join_on_class(x, F.broadcast(verdicts), c, True, "left",
+                          extra_keys=keys[1:])
+        y = y.withColumn(TAKE, F.when(F.col(ER).isNotNull(), F.col(ER) <= q).otherwise(whole))
+        if not keep_rest:
+            y = y.filter(F.col(TAKE))
+        y = y.withColumnRenamed(ER, edge_rank) if edge_rank is not None else y.drop(ER)
+        return y.drop(B, EB, EOFF)
     plain = x.filter(~F.coalesce(edge, F.lit(False)))
     if keep_rest:
         plain = plain.withColumn(TAKE, whole)
     else:
         plain = plain.filter(whole).withColumn(TAKE, F.lit(True))
-    w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
-    straddle = (x.filter(edge).withColumn(H, hash_hex(seed, id_cols))
-                .withColumn(RN, F.col(EOFF) + F.row_number().over(w)))
-    straddle = straddle.withColumn(TAKE, F.col(RN) <= q).drop(H)
+    straddle = ranked.withColumn(TAKE, F.col(RN) <= q).drop(H)
     if edge_rank is not None:
         plain = plain.withColumn(edge_rank, F.lit(None).cast("long"))
         straddle = straddle.withColumnRenamed(RN, edge_rank)

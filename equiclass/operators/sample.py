@@ -40,7 +40,7 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
 
 
 def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes: int | Mapping,
-                 seed: int = 42, nulls: str = "drop") -> DataFrame:
+                 seed: int = 42, nulls: str = "drop", unique_ids: bool = False) -> DataFrame:
     """The first min(n, m) rows of every class in hash order: an exact sample without replacement."""
     id_cols = row_keys(df, id_cols)
     cols = df.columns
@@ -50,7 +50,8 @@ def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes
         return df.limit(0)
     info = per_class_value(table, sizes, QUOTA)
     x = table.attach(base, info.withColumn(QUOTA, F.least(F.col(N), F.col(QUOTA))))
-    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False)
+    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False,
+                   unique_ids=unique_ids)
     return select_like(x, cols)
 
 

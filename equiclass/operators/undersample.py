@@ -16,7 +16,8 @@ TARGET = P + "target"
 
 
 def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
-                       spread: float = 1.0, seed: int = 42, nulls: str = "drop") -> DataFrame:
+                       spread: float = 1.0, seed: int = 42, nulls: str = "drop",
+                       unique_ids: bool = False) -> DataFrame:
     """Keep at most floor(spread * smallest) rows per class, the first ones in hash order.
 
     ``spread`` >= 1 is the largest allowed ratio between a class and the smallest class;
@@ -36,12 +37,14 @@ def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None
     if needing == 0:
         return select_like(base, cols)
     x = table.attach(base, info)
-    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False)
+    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False,
+                   unique_ids=unique_ids)
     return select_like(x, cols)
 
 
 def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, key, second_key,
-                     ratio: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
+                     ratio: float = 1.0, seed: int = 42, exact: bool = False,
+                     unique_ids: bool = False) -> DataFrame:
     """Keep class ``key`` whole and sample class ``second_key`` to about ``ratio`` x its size.
 
     With A = rows of ``key`` and B = rows of ``second_key``: Bernoulli fraction
@@ -60,7 +63,7 @@ def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, k
         return select_like(keep_a, cols)
     if exact:
         m = min(b, math.floor(ratio * a))
-        sampled = sample_exact(rest_b, class_col, id_cols, m, seed=seed)
+        sampled = sample_exact(rest_b, class_col, id_cols, m, seed=seed, unique_ids=unique_ids)
     else:
         sampled = sample_bernoulli(rest_b, id_cols, min(1.0, ratio * a / b), seed=seed)
     return select_like(sampled.unionByName(keep_a), cols)

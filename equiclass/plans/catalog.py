@@ -72,31 +72,38 @@ def q_class_profile_quality(spark, d):
 
 
 def q_oversample_lang(spark, d):
-    return oversample(table(spark, d, "documents"), "lang", ["doc_id"], seed=SEED)
+    return oversample(table(spark, d, "documents"), "lang", ["doc_id"], seed=SEED,
+                      unique_ids=True)
 
 
 def q_oversample_brand25(spark, d):
-    return oversample(table(spark, d, "part"), "p_brand", ["p_partkey"], seed=SEED)
+    return oversample(table(spark, d, "part"), "p_brand", ["p_partkey"], seed=SEED,
+                      unique_ids=True)
 
 
 def q_oversample_users(spark, d):
-    return oversample(table(spark, d, "events"), "user_id", ["event_id"], seed=SEED)
+    return oversample(table(spark, d, "events"), "user_id", ["event_id"], seed=SEED,
+                      unique_ids=True)
 
 
 def q_oversample_nation(spark, d):
-    return oversample(table(spark, d, "customer"), "c_nationkey", ["c_custkey"], seed=SEED)
+    return oversample(table(spark, d, "customer"), "c_nationkey", ["c_custkey"], seed=SEED,
+                      unique_ids=True)
 
 
 def q_oversample_lineitem(spark, d):
-    return oversample(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, seed=SEED)
+    return oversample(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, seed=SEED,
+                      unique_ids=True)
 
 
 def q_sample_exact_lineitem(spark, d):
-    return sample_exact(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, 15000, seed=SEED)
+    return sample_exact(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, 15000, seed=SEED,
+                        unique_ids=True)
 
 
 def q_sample_exact_role(spark, d):
-    return sample_exact(table(spark, d, "conversations"), "role", ["conv_id", "turn"], 100, seed=SEED)
+    return sample_exact(table(spark, d, "conversations"), "role", ["conv_id", "turn"], 100, seed=SEED,
+                        unique_ids=True)
 
 
 def q_sample_bernoulli_events(spark, d):
@@ -108,7 +115,8 @@ def q_sample_replace_lang(spark, d):
 
 
 def q_undersample_spread_lang(spark, d):
-    return undersample_spread(table(spark, d, "documents"), "lang", ["doc_id"], 1.0, seed=SEED)
+    return undersample_spread(table(spark, d, "documents"), "lang", ["doc_id"], 1.0, seed=SEED,
+                              unique_ids=True)
 
 
 def q_undersample_spread_segment(spark, d):
@@ -122,7 +130,7 @@ def q_undersample_pair_toxic(spark, d):
 
 def q_undersample_pair_exact(spark, d):
     return undersample_pair(table(spark, d, "labels"), "toxic", ["doc_id"], 1, 0, 1.0, seed=SEED,
-                            exact=True)
+                            exact=True, unique_ids=True)
 
 
 def q_resample_uniform_quality(spark, d):
@@ -187,7 +195,8 @@ def q_resampling_report_segment(spark, d):
 
 
 def q_oversample_orders_priority(spark, d):
-    return oversample(table(spark, d, "orders"), "o_orderpriority", ["o_orderkey"], seed=SEED)
+    return oversample(table(spark, d, "orders"), "o_orderpriority", ["o_orderkey"], seed=SEED,
+                      unique_ids=True)
 
 
 def q_undersample_spread_orders_status(spark, d):
@@ -196,7 +205,8 @@ def q_undersample_spread_orders_status(spark, d):
 
 
 def q_sample_exact_events_type(spark, d):
-    return sample_exact(table(spark, d, "events"), "event_type", ["event_id"], 1500, seed=SEED)
+    return sample_exact(table(spark, d, "events"), "event_type", ["event_id"], 1500, seed=SEED,
+                        unique_ids=True)
 
 
 def q_sample_bernoulli_documents(spark, d):

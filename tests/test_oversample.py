@@ -121,3 +121,13 @@ def test_default_ids_are_all_orderable_columns(spark):
     explicit = oversample(df, "cls", ["id", "cls", "payload"], seed=8)
     assert by_all.exceptAll(explicit).count() == 0 and explicit.exceptAll(by_all).count() == 0
     assert dict(by_all.groupBy("cls").count().collect()) == {"a": 9, "b": 9}
+
+
+@pytest.mark.parametrize("unique_ids", [False, True])
+def test_unique_ids_single_scan_same_rows(spark, unique_ids):
+    df = _frame(spark, {"a": 70, "b": 23, "c": 9, "d": 1}, nulls=3)
+    base = oversample(df, "cls", ["id"], seed=6)
+    other = oversample(df, "cls", ["id"], seed=6, unique_ids=unique_ids)
+    assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
+    plan = other._jdf.queryExecution().executedPlan().toString()
+    assert ("Union" in plan) != unique_ids      # one pass over the input with unique ids

@@ -20,13 +20,15 @@ def _frame(spark, sizes):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(sizes=sizes_st, frac=st.floats(min_value=0.0, max_value=1.0),
-       bucket_rows=st.sampled_from([1, 2, 5, 1000]), seed=st.integers(0, 10_000))
-def test_flag_first_property(spark, sizes, frac, bucket_rows, seed):
+       bucket_rows=st.sampled_from([1, 2, 5, 1000]), seed=st.integers(0, 10_000),
+       unique_ids=st.booleans())
+def test_flag_first_property(spark, sizes, frac, bucket_rows, seed, unique_ids):
     df = _frame(spark, sizes)
     t = class_table(df, "cls")
     x = t.attach(df, t.frame.select("cls", N, F.floor(F.col(N) * frac).cast("long").alias("q")))
     got = {r["id"]: r[TAKE] for r in flag_first(x, t, ["id"], "q", N, seed, keep_rest=True,
-                                                 bucket_rows=bucket_rows).collect()}
+                                                 bucket_rows=bucket_rows,
+                                                 unique_ids=unique_ids).collect()}
     w = Window.partitionBy("cls").orderBy(hash_hex(seed, ["id"]), "id")
     want = {r["id"]: r["f"] for r in x.select("id", (F.row_number().over(w) <= F.col("q")).alias("f")).collect()}
     assert got == want
