@@ -132,7 +132,7 @@ def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_
     # Seeds: the first ``seeds`` rows in hash order. Every seed yields r rows except the
     # last one, which yields what is left of the need: only that seed must be identified.
     seeds = flag_first(rows, table, [ID], quota=QUOTA, size=N, seed=seed, keep_rest=False,
-                       edge_rank=LAST, unique_ids=True)      # SMOTE ids identify a row
+                       edge_rank=LAST)
     is_last = F.coalesce(F.col(LAST) == F.col(QUOTA), F.lit(False))
     quota_left = F.least(F.col("r"), F.col("need") - (F.col(QUOTA) - 1) * F.col("r"))
     seeds = seeds.withColumn(PICKS, F.when(is_last, quota_left).otherwise(F.col("r")))
@@ -182,7 +182,7 @@ def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "
     seeds = rows
     if n_seeds < n:
         seeds = flag_first(rows.withColumn(QUOTA, lit_long(n_seeds)), table1, [ID], quota=QUOTA,
-                           size=N, seed=seed, keep_rest=False, unique_ids=True).drop(TAKE, QUOTA)
+                           size=N, seed=seed, keep_rest=False).drop(TAKE, QUOTA)
     nn = nearest_neighbors(seeds.select(label_col, ID, FEAT), rows.select(label_col, ID, FEAT),
                            label_col, ID, FEAT, k=kc, metric=metric, with_vectors=True,
                            counts=[(class_value, n_seeds, n)])
