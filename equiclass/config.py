@@ -33,11 +33,16 @@ P = "_ec_"
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's checkpoint folder; only a local session may get a temporary one."""
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no SparkContext here
+        if conf_dir:
+            return conf_dir
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder")
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()

@@ -24,7 +24,7 @@ POFF = P + "poff"
 
 def _number_distributed(values: DataFrame, col: str, code_col: str) -> DataFrame:
     spark = values.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     ranged = values.repartitionByRange(parts, col).withColumn(PID, F.spark_partition_id())
     # Both uses below must see the same range split: materialize it once.
     ensure_checkpoint_dir(spark)
