@@ -7,6 +7,7 @@
 - ``parse_labeled_vectors``: ``label idx:value idx:value ...`` lines -> label, sparse
   (indices, values) and, with ``size``, a dense array<double>; native functions only.
 - ``format_labeled_vectors``: the inverse, a dense vector back to such a line.
+- ``read_libsvm``: the same lines with numeric labels through Spark's ``libsvm`` source.
 """
 
 from __future__ import annotations
@@ -41,6 +42,21 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return df.filter(F.col("value").isNotNull() & (F.trim(F.col("value")) != ""))
 
 
+def read_libsvm(spark: SparkSession, paths: str | Sequence[str], num_features: int | None = None,
+                label_col: str = "label", features_col: str = "features") -> DataFrame:
+    """Numeric-label ``label i:v ...`` lines through Spark's ``libsvm`` source (1-based
+    indices): (label double, features as array<double>)."""
+    from pyspark.ml.functions import vector_to_array
+
+    reader = spark.read.format("libsvm")
+    if num_features is not None:
+        reader = reader.option("numFeatures", str(int(num_features)))
+    src = [paths] if isinstance(paths, str) else list(paths)
+    df = reader.load(src if len(src) > 1 else src[0])
+    return df.select(F.col("label").alias(label_col),
+                     vector_to_array(F.col("features")).alias(features_col))
+
+
 def parse_labeled_vectors(df: DataFrame, value_col: str = "value", size: int | None = None,
                           index_base: int = 1, label_col: str = "label",
                           features_col: str = "features") -> DataFrame:

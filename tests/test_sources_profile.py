@@ -67,6 +67,17 @@ def test_labeled_lines(spark, files):
     assert got["lonely"] == ([], [], [0.0, 0.0, 0.0, 0.0])
 
 
+def test_libsvm_matches_own_parser(spark):
+    from equiclass.sources.readers import read_libsvm
+    d = tempfile.mkdtemp(prefix="equiclass-libsvm-")
+    p = os.path.join(d, "v.txt")
+    with open(p, "w") as fh:
+        fh.write("1 1:0.5 3:1.5\n0 2:2.0 4:1\n")
+    a = read_libsvm(spark, p, num_features=4).orderBy("label").collect()
+    b = parse_labeled_vectors(read_lines(spark, p), size=4).orderBy("label").collect()
+    assert [(x["label"], x["features"]) for x in a] == [(float(y["label"]), y["features"]) for y in b]
+
+
 def test_malformed_tokens_are_skipped(spark):
     df = spark.createDataFrame([("a 1:0.5 junk 3:x 2:1e-3 :4",)], "value string")
     r = parse_labeled_vectors(df, size=3).first()
