@@ -190,3 +190,58 @@ def rank_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int |
     x = join_on_class(ranked, offsets if bound == 0 else maybe_broadcast(offsets, bound), c,
                       table.null_safe, "inner", extra_keys=[B])
     return x.withColumn(RANK, F.col(OFF) + F.col(RN)).drop(H, B, OFF, RN)
+
+
+PAY = P + "pay"
+TYPE = P + "type"
+LR = P + "lr"
+BLK = P + "blk"
+
+
+def draw_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int | str, size: str,
+              draws: DataFrame, rank: str, payload: list[str],
+              bucket_rows: int | None = None) -> DataFrame:
+    """One row per draw: the row whose hash rank in its class equals the draw's ``rank``.
+
+    A single shuffle: every draw is first placed in the (class, bucket) holding its rank (a
+    join of the draws with the bucket offsets cut into rank blocks, so a draw meets only the
+    few buckets overlapping its block) and then travels in the same exchange as the rows.
+    Inside a (class, bucket) partition one window numbers the rows, a second one (same
+    partitioning, no new shuffle) hands every draw the payload of the row at its local rank.
+    ``df`` carries the class size column ``size``; ``payload`` are the columns returned.
+    """
+    c = table.class_col
+    per = bucket_rows or config.RANK_BUCKET_ROWS
+    hashed = _hashed(df, seed, id_cols, size, bucket_rows)
+    t = F.col(rank)
+    if table.local and all(m <= per for _, m in table.rows):
+        placed = draws.select(c, F.lit("").alias(B), t.alias(LR))     # one bucket per class
+    else:
+        offs = bucket_offsets(hashed.select(c, B), [c])
+        blocks = offs.withColumn(BLK, F.explode(F.sequence(
+            F.floor(F.col(OFF) / per), F.floor((F.col(OFF) + F.col(CNT) - 1) / per))))
+        if table.local:
+            bound = 3 * sum(bucket_count(m, bucket_rows) for _, m in table.rows)
+        else:
+            bound = 3 * (table.count + table.total // per)
+        keyed = draws.withColumn(BLK, F.floor((t - 1) / per))
+        placed = (join_on_class(keyed, maybe_broadcast(blocks, bound), c, table.null_safe,
+                                "inner", extra_keys=[BLK])
+                  .filter((F.col(OFF) < t) & (t <= F.col(OFF) + F.col(CNT)))
+                  .select(c, B, (t - F.col(OFF)).alias(LR)))
+    schema = hashed.schema
+    pay = F.struct(*[F.col(x) for x in payload])
+    rows = hashed.select(c, B, H, *[F.col(x).alias(P + "id_" + x) for x in id_cols],
+                         pay.alias(PAY), F.lit(0).alias(TYPE), F.lit(None).cast("long").alias(LR))
+    pay_type = rows.schema[PAY].dataType
+    marks = placed.select(c, B, F.lit(None).cast("string").alias(H),
+                          *[F.lit(None).cast(schema[x].dataType).alias(P + "id_" + x) for x in id_cols],
+                          F.lit(None).cast(pay_type).alias(PAY), F.lit(1).alias(TYPE), LR)
+    both = rows.unionByName(marks)
+    order = [F.col(TYPE), F.col(H)] + [F.col(P + "id_" + x) for x in id_cols]
+    numbered = both.withColumn(RN, F.row_number().over(Window.partitionBy(c, B).orderBy(*order)))
+    key = F.when(F.col(TYPE) == 0, F.col(RN)).otherwise(F.col(LR))
+    w = (Window.partitionBy(c, B).orderBy(key, F.col(TYPE))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = numbered.withColumn(PAY + "_hit", F.last(PAY, ignorenulls=True).over(w))
+    return hit.filter(F.col(TYPE) == 1).select(f"{PAY}_hit.*")

@@ -18,7 +18,7 @@ from ..config import P
 from ..functions.keys import uniform01
 from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, lit_long,
                       local_frame, row_keys, select_like)
-from .ranking import RANK, flag_first, rank_rows
+from .ranking import RANK, draw_rows, flag_first, rank_rows
 from .replicate import replicate
 
 QUOTA = P + "quota"
@@ -67,9 +67,8 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
                            id_cols: list[str], seed: int, max_size: int, total: int) -> DataFrame:
     """``size_col`` uniform draws with replacement per class of ``info``.
 
-    Draw j of class c hits rank floor(uniform01(seed, c, j) * n) + 1; ranks come from the
-    bucketed exact rank, and the draws meet the ranked rows in one equi-join on
-    (class, rank), which spreads a hot class over many tasks.
+    Draw j of class c hits rank floor(uniform01(seed, c, j) * n) + 1 in the class's hash
+    order (the bucketed exact rank): a hot class is spread over its buckets.
     """
     c = table.class_col
     draws = replicate(info.select(c, N, size_col), size_col, max_size, heavy_out=total,
@@ -77,12 +76,14 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     draws = draws.select(
         c, (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long").alias(RANK)
     )
-    ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
-    # The draws come from the tiny class table, so the planner would estimate them as tiny
-    # and broadcast them; their true count is ``total`` (about the output size): broadcast
-    # only under the bound, else a sort-merge join (spills, splits by (class, rank)).
-    draws = draws.hint("broadcast") if total <= config.MAX_BROADCAST_ROWS else draws.hint("merge")
-    return join_on_class(ranked, draws, c, table.null_safe, "inner", extra_keys=[RANK])
+    if total <= config.MAX_BROADCAST_ROWS:
+        # Few draws: rank the rows (one shuffle) and broadcast the draws onto them. The hint
+        # is explicit: the planner would call the draws tiny whatever their number.
+        ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
+        return join_on_class(ranked, draws.hint("broadcast"), c, table.null_safe, "inner",
+                             extra_keys=[RANK])
+    # Many draws: they travel with the rows in the rank's own (class, bucket) exchange.
+    return draw_rows(table.attach(base), table, id_cols, seed, N, draws, RANK, base.columns)
 
 
 def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] | None,

@@ -63,4 +63,6 @@ def test_draws_join_is_not_broadcast_beyond_the_bound(spark, monkeypatch):
     assert re.search(r"BroadcastHashJoin \[cls#\d+, _ec_rank", small) or "BroadcastHashJoin" in small
     monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)
     big = _plan(sample_with_replacement(df, "cls", ["id"], 50))
-    assert "SortMergeJoin" in big
+    # beyond the bound the draws travel with the rows: no broadcast of draws, no second shuffle
+    assert "SortMergeJoin" not in big and "Union" in big
+    assert len(re.findall(r"Exchange hashpartitioning\(cls#\d+, _ec_b", big)) == 1

@@ -77,3 +77,17 @@ def test_resample_formula(spark):
     out = resample_uniform(df, "cls", ["id"], bias=0.5, size_percent=50.0)
     want = {c: math.floor(0.5 * (0.5 * n + 0.5 * 60 / 3)) for c, n in {"a": 40, "b": 10, "c": 10}.items()}
     assert dict(out.groupBy("cls").count().collect()) == want
+
+
+@pytest.mark.parametrize("bucket_rows", [65_536, 4])
+def test_many_draws_single_shuffle_path(spark, monkeypatch, bucket_rows):
+    from equiclass import config
+    df = _frame(spark, {"a": 40, "b": 9, "c": 2})
+    ref = sample_with_replacement(df, "cls", ["id"], 25, seed=3).cache()
+    ref.count()
+    monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)      # too many draws to broadcast
+    monkeypatch.setattr(config, "RANK_BUCKET_ROWS", bucket_rows)
+    got = sample_with_replacement(df, "cls", ["id"], 25, seed=3)
+    assert ref.exceptAll(got).count() == 0 and got.exceptAll(ref).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(cls#") >= 1
