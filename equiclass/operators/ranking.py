@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import config
 from ..config import P, ensure_checkpoint_dir
@@ -111,9 +111,14 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
     # for the rows of the edge bucket, computed after the filter below.
     hashed = _hashed(df, seed, id_cols, size, bucket_rows, when=partial, with_hash=False)
     per = bucket_rows or config.RANK_BUCKET_ROWS
-    offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
-    edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
-             .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF), F.col(CNT).alias(ECNT)))
+
+    def counted_edges() -> DataFrame:
+        offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
+        return (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
+                .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF), F.col(CNT).alias(ECNT)))
+
+    edge_schema = StructType([table.frame.schema[c], StructField(EB, StringType()),
+                              StructField(EOFF, LongType()), StructField(ECNT, LongType())])
     edge_rows = None
     if table.local:
         # At most one row per class, computed once and broadcast to both branches below.
@@ -124,15 +129,15 @@ def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str,
         if big:
             big_t = local_frame(df.sparkSession, [(k,) for k in big],
                                 StructType([table.frame.schema[c]]))
-            rows += [tuple(r) for r in join_on_class(edges, F.broadcast(big_t), c,
+            rows += [tuple(r) for r in join_on_class(counted_edges(), F.broadcast(big_t), c,
                                                      table.null_safe).collect()]
         edge_rows = sum(r[3] for r in rows)        # rows that may need sorting, at most
-        edges = F.broadcast(local_frame(df.sparkSession, rows, edges.schema))
+        edges = F.broadcast(local_frame(df.sparkSession, rows, edge_schema))
     else:
         # More classes than a broadcast allows: materialize the edges once (both branches
         # below read them) in the shared checkpoint folder; they are joined by a shuffle.
         ensure_checkpoint_dir(df.sparkSession)
-        edges = edges.checkpoint(eager=True)
+        edges = counted_edges().checkpoint(eager=True)
     x = join_on_class(hashed, edges.drop(ECNT), c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
