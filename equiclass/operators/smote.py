@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import P
+from ..config import P, ensure_checkpoint_dir
 from ..functions.keys import hash_hex, uniform01
 from ..functions.vectors import as_double_array, interpolate, to_ml_vector
 from .classes import N, ClassTable, class_table, lit_long, local_table
@@ -42,6 +42,7 @@ PICK = P + "pick"
 PICKS = P + "picks"
 LAST = P + "last"
 DRAW = P + "draw"
+ROWID = P + "rowid"
 
 
 def smote_plan(n: int, largest: int, k: int, rate: float, ratio: float) -> dict:
@@ -55,7 +56,14 @@ def smote_plan(n: int, largest: int, k: int, rate: float, ratio: float) -> dict:
     return {"n": n, "need": need, "k": kc, "r": r, "seeds": seeds}
 
 
-def _base(df: DataFrame, label_col: str, features_col: str, id_col: str) -> DataFrame:
+def _base(df: DataFrame, label_col: str, features_col: str, id_col: str | None) -> DataFrame:
+    if id_col is None:
+        # No id: number the rows once and keep that numbering in the checkpoint folder, so
+        # every branch of the plan (and any retried task) sees the same ids.
+        ensure_checkpoint_dir(df.sparkSession)
+        df = (df.select(label_col, features_col)
+              .withColumn(ROWID, F.monotonically_increasing_id()).checkpoint(eager=True))
+        id_col = ROWID
     return (df.where(F.col(label_col).isNotNull())
             .select(F.col(id_col).alias(ID), label_col, as_double_array(df, features_col).alias(FEAT)))
 
@@ -82,11 +90,13 @@ SEEDS_SQL = f"CASE WHEN need > 0 AND r > 0 THEN least({N}, (need + r - 1) div r)
 
 
 def smote(df: DataFrame, label_col: str = "label", features_col: str = "features",
-          id_col: str = "id", k: int = 5, sampling_rate: float = 0.5, ratio_to_max: float = 0.5,
+          id_col: str | None = "id", k: int = 5, sampling_rate: float = 0.5,
+          ratio_to_max: float = 0.5,
           seed: int = 42, singleton: str = "drop", metric: str = "cosine",
           vector_output: bool = False) -> DataFrame:
-    """SMOTE with a ratio target (see the module text). ``vector_output`` returns the
-    features as an ML vector column instead of array<double>."""
+    """SMOTE with a ratio target (see the module text). ``id_col`` must identify a row;
+    ``None`` numbers the rows (kept in the checkpoint folder, so ids are stable but depend
+    on the input layout). ``vector_output`` returns ML vectors instead of array<double>."""
     out = _smote(df, label_col, features_col, id_col, k, sampling_rate, ratio_to_max, seed,
                  singleton, metric)
     if vector_output:
@@ -94,7 +104,7 @@ def smote(df: DataFrame, label_col: str = "label", features_col: str = "features
     return out
 
 
-def _smote(df: DataFrame, label_col: str, features_col: str, id_col: str, k: int,
+def _smote(df: DataFrame, label_col: str, features_col: str, id_col: str | None, k: int,
            sampling_rate: float, ratio_to_max: float, seed: int, singleton: str,
            metric: str) -> DataFrame:
     if not 0.0 < sampling_rate <= 1.0:
@@ -150,7 +160,7 @@ def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_
 
 
 def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "features",
-                  id_col: str = "id", percent: int = 100, k: int = 5, seed: int = 42,
+                  id_col: str | None = "id", percent: int = 100, k: int = 5, seed: int = 42,
                   class_value=None, metric: str = "euclidean") -> DataFrame:
     spark = df.sparkSession
     base = _base(df, label_col, features_col, id_col)

@@ -135,3 +135,14 @@ def test_plan_columns_equal_python_plan(spark):
     for i, args in enumerate(cases):
         p = smote_plan(*args)
         assert got[i] == (p["need"], p["k"], p["r"], p["seeds"]), args
+
+
+def test_smote_without_id_column(spark):
+    df, _ = _vectors(spark, {"a": 20, "b": 6})
+    no_id = df.select("label", "features")
+    out = smote(no_id, "label", "features", None, ratio_to_max=1.0)
+    counts = {(r["label"], r["is_synthetic"]): r["count"] for r in out.groupBy("label", "is_synthetic").count().collect()}
+    assert counts == {("a", False): 20, ("b", False): 6, ("b", True): 14}
+    assert out.filter("is_synthetic").count() == out.filter("is_synthetic").count()   # stable ids
+    pct = smote_percent(no_id, "label", "features", None, percent=100, k=3)
+    assert pct.filter("is_synthetic").count() == 6
