@@ -16,6 +16,7 @@ the smaller neighbour id.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -23,9 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField, StructType)
 
+from pyspark import cloudpickle
+
 from ..config import P, TILE_ROWS
 from .classes import N, ClassTable, class_table, join_on_class, local_frame
 
+# The tile scorer runs in Python workers, which need not have this package installed:
+# ship this module's functions by value with each task instead of by import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SB = P + "sb"
 CB = P + "cb"
 SBN = P + "sbn"
