@@ -36,7 +36,7 @@ def test_every_class_reaches_majority(spark):
     assert all(per_row[r] == 1 for r, c in cls_of.items() if c == "a")
 
 
-def test_pima_like_counts(spark):
+def test_two_class_counts(spark):
     out = oversample(_frame(spark, {"0": 500, "1": 268}), "cls", ["id"])
     assert out.count() == 1000
 

@@ -64,7 +64,7 @@ def test_pair_undersample(spark):
     assert dict(only_a.groupBy("cls").count().collect()) == {"a": 30}
 
 
-def test_resample_default_percent_pima(spark):
+def test_resample_default_percent_two_classes(spark):
     assert default_size_percent(500, 768, 2) == 130.3
     df = _frame(spark, {"0": 500, "1": 268})
     out = resample_uniform(df, "cls", ["id"], bias=1.0)

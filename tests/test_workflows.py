@@ -2,14 +2,14 @@ import os
 import tempfile
 
 from equiclass.plans.workflows import rebalance_csv, resampling_report, smote_lines
-from tests.test_sources_profile import PIMA_ROWS
+from tests.test_sources_profile import F1_ROWS
 
 
 def test_rebalance_csv_headerless(spark):
     d = tempfile.mkdtemp(prefix="equiclass-wf-")
-    p = os.path.join(d, "pima.csv")
+    p = os.path.join(d, "f1.csv")
     with open(p, "w") as fh:
-        fh.write("\n".join(PIMA_ROWS + PIMA_ROWS[:1]))   # a duplicate line is a separate row
+        fh.write("\n".join(F1_ROWS + F1_ROWS[:1]))   # a duplicate line is a separate row
     r = rebalance_csv(spark, p)
     assert r.class_col == "_c8"
     assert dict(r.before.collect()) == {"1": 4, "0": 2}
