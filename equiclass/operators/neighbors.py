@@ -148,7 +148,8 @@ def nearest_neighbors(seeds: DataFrame, candidates: DataFrame, label_col: str, i
     spark = seeds.sparkSession
     label_type = seeds.schema[label_col].dataType
     if counts is None:
-        ts, tc = class_table(seeds, label_col), class_table(candidates, label_col)
+        ts = class_table(seeds, label_col)
+        tc = ts if candidates is seeds else class_table(candidates, label_col)
         if ts.local and tc.local:
             sizes_c = tc.sizes()
             counts = [(lb, ns, sizes_c.get(lb, 0)) for lb, ns in ts.rows]
