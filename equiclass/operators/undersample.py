@@ -51,6 +51,8 @@ def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, k
     least(1, ratio * A / B) on B, or with ``exact`` the first least(B, floor(ratio * A))
     rows of B in hash order. Rows of all other classes are dropped; B = 0 yields A alone.
     """
+    if key == second_key:
+        raise ValueError("key and second_key must be different classes")
     id_cols = row_keys(df, id_cols)
     cols = df.columns
     pair = df.filter(F.col(class_col).isin([key, second_key]))

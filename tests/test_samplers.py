@@ -59,6 +59,8 @@ def test_pair_undersample(spark):
     # B larger than needed -> fraction clamped at 1: all of b kept
     allb = undersample_pair(df, "cls", ["id"], "b", "a", ratio=1.0)
     assert dict(allb.groupBy("cls").count().collect()) == {"a": 30, "b": 200}
+    with pytest.raises(ValueError):
+        undersample_pair(df, "cls", ["id"], "a", "a")
     # B absent
     only_a = undersample_pair(df, "cls", ["id"], "a", "zzz")
     assert dict(only_a.groupBy("cls").count().collect()) == {"a": 30}
