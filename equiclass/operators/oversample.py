@@ -25,6 +25,12 @@ MULT = P + "mult"
 def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
                nulls: str = "drop", chunk: int | None = None,
                unique_ids: bool = False) -> DataFrame:
+    """Every class to exactly the majority size M: each row ``M div n`` times, plus the first
+    ``M mod n`` rows of the class in hash order of (``seed``, ``id_cols``) once more.
+
+    ``id_cols`` identify a row (default: all orderable columns); ``nulls`` is "drop" or
+    "keep"; ``unique_ids`` allows the single-pass plan (see ``ranking.flag_first``).
+    """
     id_cols = row_keys(df, id_cols)
     cols = df.columns
     base = keep_classes(df, class_col, nulls)

@@ -31,6 +31,7 @@ def default_size_percent(largest: int, total: int, classes: int) -> float:
 def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
                      bias: float = 1.0, size_percent: float | None = None, seed: int = 42,
                      nulls: str = "drop") -> DataFrame:
+    """Draw ``size_c`` rows with replacement per class (formula in the module text)."""
     id_cols = row_keys(df, id_cols)
     if not 0.0 <= bias <= 1.0:
         raise ValueError("bias must be in [0, 1]")

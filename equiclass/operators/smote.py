@@ -162,6 +162,8 @@ def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_
 def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "features",
                   id_col: str | None = "id", percent: int = 100, k: int = 5, seed: int = 42,
                   class_value=None, metric: str = "euclidean") -> DataFrame:
+    """SMOTE with a percent target on the minority class (or ``class_value``); see the
+    module text. Originals of every class are returned with the synthetic rows."""
     spark = df.sparkSession
     base = _base(df, label_col, features_col, id_col)
     table = class_table(base, label_col)
