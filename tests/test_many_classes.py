@@ -63,3 +63,18 @@ def test_byte_bound_sends_wide_classes_to_the_shuffled_path(spark, monkeypatch):
     monkeypatch.setattr(config, "MAX_LOCAL_BYTES", 100)
     t = class_table(df, "cls")
     assert not t.local and t.count == 2 and t.largest == 4
+
+
+@pytest.mark.parametrize("op", ["oversample", "sample_exact", "resample"])
+def test_null_class_kept_on_checkpointed_path(spark, tiny_limits, op):
+    df = _frame(spark, {"a": 20, "b": 7, "c": 3}, nulls=5)
+    run = {
+        "oversample": lambda: oversample(df, "cls", ["id"], seed=4, nulls="keep"),
+        "sample_exact": lambda: sample_exact(df, "cls", ["id"], 4, seed=4, nulls="keep"),
+        "resample": lambda: resample_uniform(df, "cls", ["id"], bias=0.5, seed=4, nulls="keep"),
+    }[op]
+    local = run().cache()
+    local.count()
+    assert local.filter("cls is null").count() > 0
+    tiny_limits()
+    assert _same(local, run())
