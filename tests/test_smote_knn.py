@@ -124,17 +124,20 @@ def test_plan_columns_equal_python_plan(spark):
     from functools import reduce
     from equiclass.operators.classes import N
     from equiclass.operators.smote import QUOTA, SEEDS_SQL, plan_columns
-    cases = [(n, m, k, rate, ratio) for n in (1, 2, 3, 5, 9, 40, 268) for m in (268, 500)
-             for k in (1, 5) for rate in (0.2, 0.5, 1.0) for ratio in (0.5, 1.0) if n <= m]
+    sizes = [1, 2, 3, 5, 9, 40, 268]
+    combos = [(m, k, rate, ratio) for m in (268, 500) for k in (1, 5) for rate in (0.2, 0.5, 1.0)
+              for ratio in (0.5, 1.0)]
     frames = []
-    for i, (n, m, k, rate, ratio) in enumerate(cases):
-        df = spark.createDataFrame([(i, n)], f"case int, {N} long")
-        frames.append(df.select("case", N, *plan_columns(F.col(N), m, k, rate, ratio))
+    for i, (m, k, rate, ratio) in enumerate(combos):
+        df = spark.createDataFrame([(i, n) for n in sizes if n <= m], f"combo int, {N} long")
+        frames.append(df.select("combo", N, *plan_columns(F.col(N), m, k, rate, ratio))
                       .withColumn(QUOTA, F.expr(SEEDS_SQL)))
-    got = {r["case"]: (r["need"], r["k"], r["r"], r[QUOTA]) for r in reduce(lambda a, b: a.unionByName(b), frames).collect()}
-    for i, args in enumerate(cases):
-        p = smote_plan(*args)
-        assert got[i] == (p["need"], p["k"], p["r"], p["seeds"]), args
+    rows = reduce(lambda a, b: a.unionByName(b), frames).collect()
+    assert len(rows) == sum(1 for m, *_ in combos for n in sizes if n <= m)
+    for r in rows:
+        p = smote_plan(r[N], *combos[r["combo"]])
+        assert (r["need"], r["k"], r["r"], r[QUOTA]) == (p["need"], p["k"], p["r"], p["seeds"]), \
+            (r[N], combos[r["combo"]])
 
 
 def test_smote_without_id_column(spark):
