@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .bitplanes import read_tokens, write_tokens
 from .common import table, work_path
+from .ppm import ppm_scores
+from .toxicity import toxicity_scores
 
 
 def tokenizer_file() -> str:
@@ -26,8 +28,18 @@ def op1_bitplane_tokens(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_ppm_scores(spark: SparkSession, d: str) -> DataFrame:
+    return ppm_scores(table(spark, d, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
+    "op2_ppm_scores": op2_ppm_scores,
+    "op3_toxicity": op3_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
