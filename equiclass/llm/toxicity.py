@@ -192,8 +192,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     fit_rows = saved(texts.join(F.broadcast(sample), "doc_id").select("turn", "toxic", "text")
                      .repartition(FIT_TASKS), "toxicity-sample")
 
-    sums = (fit_rows.select("toxic", "text").mapInArrow(_counts, "piece int, counts binary")
-            .groupBy("piece").applyInArrow(_summed, "piece int, counts binary").collect())
+    sums = (fit_rows.select("toxic", "text").mapInArrow(_counts, "piece bigint, counts binary")
+            .groupBy("piece").applyInArrow(_summed, "piece bigint, counts binary").collect())
     table = np.zeros((2, 1 << BITS), dtype=np.int64)
     width = (1 << BITS) // PIECES
     for r in sums:
