@@ -49,7 +49,7 @@ HOT_WORDS = 300_000
 HOT_WINDOWS = 1_000_000
 #: A task hands on its counts when it holds so many words, or so many bytes of windows.
 FLUSH_WORDS = 1_000_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 START, END = 9, 10  # neither is part of a word, and the model's texts hold no other white space
 END_WORD = b"\n"
 
