@@ -223,3 +223,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
                        F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(model), "doc_id bigint, held_out boolean, score double").withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                  **fit) -> DataFrame:
+    """The rows of ``docs`` whose score is under 0.5, with their columns as they are."""
+    weights, bias = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col, **fit)
+    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(b.schema.get_field_index(text_col))
+            scored = next(_scorer(model)(iter([pa.RecordBatch.from_arrays([text] * 3, names=["a", "b", "c"])])))
+            yield b.filter(pa.array([s < 0.5 for s in scored.column("score").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
