@@ -1,7 +1,7 @@
 """equiclass: class rebalancing as lazy Spark DataFrame plans."""
 
 from .functions.keys import hash_hex, uniform01
-from .operators.classes import class_table
+from .operators.classes import class_rows, class_table
 from .operators.encode import nominal_index
 from .operators.neighbors import nearest_neighbors
 from .operators.oversample import oversample
@@ -15,7 +15,7 @@ from .sources.readers import (format_labeled_vectors, parse_labeled_vectors, rea
                               read_lines, read_table)
 
 __all__ = [
-    "hash_hex", "uniform01", "class_table", "nominal_index", "nearest_neighbors", "oversample",
+    "hash_hex", "uniform01", "class_rows", "class_table", "nominal_index", "nearest_neighbors", "oversample",
     "class_counts", "class_profile", "code_counts", "compare_profiles", "feature_stats",
     "vector_stats", "resample_uniform", "sample_bernoulli", "sample_exact",
     "sample_with_replacement", "smote", "smote_percent", "undersample_pair", "undersample_spread",

@@ -1,8 +1,9 @@
 """Repeatable randomness from row keys.
 
 Every random choice in the library is a function of (seed, keys): the hex MD5 of the
-keys joined by ``|``. The first 8 hex digits read as an unsigned 32-bit integer and
-divided by 2**32 give a uniform number in [0, 1). Results therefore do not depend on
+keys joined by ``|``. The first 13 hex digits read as an unsigned 52-bit integer and
+divided by 2**52 give a uniform number in [0, 1): fine enough to reach every rank of a class
+of 10**12 rows, and exact as a double. Results therefore do not depend on
 partitioning, task order or retries, and any SQL engine with ``md5`` can recompute them
 (see ``sql_uniform01``). Only integer and string keys should be hashed: the text form
 of floating point numbers differs between engines.
@@ -15,9 +16,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values shared with the SQL oracle: key separator and 2**32.
+# Fixed values shared with the SQL oracle: key separator, hex digits of a uniform number, 16**digits.
 KEY_SEPARATOR = "|"
-TWO_POW_32 = 4294967296.0
+UNIT_DIGITS = 13
+UNIT_RANGE = 4503599627370496.0
 
 
 def _as_col(c: str | Column) -> Column:
@@ -31,8 +33,8 @@ def hash_hex(seed: int | str, keys: Iterable[str | Column]) -> Column:
 
 
 def unit_from_hex(h: Column) -> Column:
-    """Uniform [0, 1) double from the first 8 hex digits of a hash."""
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    """Uniform [0, 1) double from the first hex digits of a hash."""
+    return F.conv(F.substring(h, 1, UNIT_DIGITS), 16, 10).cast("double") / F.lit(UNIT_RANGE)
 
 
 def uniform01(seed: int | str, keys: Iterable[str | Column]) -> Column:
@@ -53,4 +55,4 @@ def sql_hash_hex(seed: int | str, keys: Iterable[str]) -> str:
 
 def sql_uniform01(seed: int | str, keys: Iterable[str]) -> str:
     h = sql_hash_hex(seed, keys)
-    return f"(CAST(('0x' || substr({h}, 1, 8)) AS UBIGINT)::DOUBLE / {TWO_POW_32}::DOUBLE)"
+    return f"(CAST(('0x' || substr({h}, 1, {UNIT_DIGITS})) AS UBIGINT)::DOUBLE / {UNIT_RANGE}::DOUBLE)"

@@ -88,12 +88,26 @@ def index_value_map(indices: str | Column, values: str | Column) -> Column:
 
 
 def sparse_to_dense(size: int | Column, indices: str | Column, values: str | Column) -> Column:
-    """Dense array of ``size`` with the given (0-based) entries, 0.0 elsewhere."""
+    """Dense array of ``size`` with the given (0-based, distinct) entries, 0.0 elsewhere.
+
+    One pass over the sorted entries: the zeros of each gap, then the value.
+    An index that is negative, given twice or not under ``size`` fails the job.
+    """
     n = size if isinstance(size, Column) else F.lit(size)
-    return let(index_value_map(indices, values), lambda lookup: F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.coalesce(F.element_at(lookup, i), F.lit(0.0)),
-    ))
+    entries = F.array_sort(F.zip_with(_as_col(indices), _as_col(values), lambda i, v: F.struct(
+        i.alias("i"), v.alias("v"))))
+
+    def zeros(count: Column) -> Column:
+        return F.when(count >= 0, F.array_repeat(F.lit(0.0), count.cast("int"))).otherwise(
+            F.raise_error(F.lit("index out of range or given twice")))
+
+    def dense(own: Column) -> Column:
+        before = lambda k: F.when(k == 0, -1).otherwise(F.get(own, k - 1)["i"])
+        parts = F.transform(own, lambda p, k: F.concat(zeros(p["i"] - before(k) - 1), F.array(p["v"])))
+        last = F.coalesce(F.try_element_at(own, F.lit(-1))["i"], F.lit(-1))
+        return F.concat(F.flatten(parts), zeros(n - 1 - last))
+
+    return let(entries, dense)
 
 
 def dense_to_sparse(x: str | Column) -> tuple[Column, Column]:

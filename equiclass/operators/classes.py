@@ -50,6 +50,11 @@ def keep_classes(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFram
     raise ValueError(f"nulls must be 'drop' or 'keep', not {nulls!r}")
 
 
+def class_rows(df: DataFrame, class_col: str, value) -> DataFrame:
+    """The rows of one class (``None``: the rows without a class)."""
+    return df.filter(F.col(class_col).eqNullSafe(F.lit(value)))
+
+
 @dataclass
 class ClassTable:
     frame: DataFrame          # class_col, _ec_n

@@ -19,22 +19,20 @@ def class_counts(df: DataFrame, class_col: str, count_col: str = "n") -> DataFra
 
 
 def code_counts(df: DataFrame, code_col: str, codes: int, count_col: str = "n") -> DataFrame:
-    """Rows per integer code 0..codes-1, zero-filled for codes that do not occur."""
-    spark = df.sparkSession
-    counts = df.groupBy(code_col).agg(F.count(F.lit(1)).alias(count_col))
-    all_codes = spark.range(codes).select(F.col("id").cast(df.schema[code_col].dataType).alias(code_col))
-    return (F.broadcast(all_codes).join(counts, code_col, "left")
-            .select(code_col, F.coalesce(F.col(count_col), lit_long(0)).alias(count_col))
-            .orderBy(code_col))
+    """Rows per integer code: 0..codes-1, zero-filled, and any other code that occurs (null first)."""
+    code = F.col(code_col)
+    zeros = df.sparkSession.range(codes).select(
+        F.col("id").cast(df.schema[code_col].dataType).alias(code_col), lit_long(0).alias(count_col))
+    counts = df.groupBy(code).agg(F.count(F.lit(1)).alias(count_col))
+    return (counts.unionByName(zeros).groupBy(code).agg(F.sum(count_col).alias(count_col))
+            .orderBy(code.asc_nulls_first()))
 
 
 def class_profile(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFrame:
     """Per class: n, share in %, and the table-wide size, count, max, min, majority % and
     imbalance ratio (largest / smallest)."""
     t = class_table(df, class_col, nulls)
-    if t.count == 0:
-        return t.frame.select(class_col, F.col(N).alias("n")).limit(0)
-    total = float(t.total)
+    total, smallest = float(t.total or 1), t.smallest or 1   # of an empty table: no row shows them
     return t.frame.select(
         class_col,
         F.col(N).alias("n"),
@@ -44,7 +42,7 @@ def class_profile(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFra
         lit_long(t.largest).alias("n_max"),
         lit_long(t.smallest).alias("n_min"),
         F.lit(t.largest / total * 100.0).alias("majority_pct"),
-        F.lit(t.largest / t.smallest).alias("imbalance_ratio"),
+        F.lit(t.largest / smallest).alias("imbalance_ratio"),
     )
 
 

@@ -8,9 +8,11 @@ bucket holds about ``RANK_BUCKET_ROWS`` rows at most, whatever the class size. S
 (bucket, hash) is sorting by hash, so ranks do not depend on the bucket layout.
 
 - ``flag_first`` (the first q rows of each class): bucket counts give, per class, the one
-  bucket that holds the q-th row and the rows before it (one row per class). Rows of
-  earlier buckets are taken and rows of later buckets skipped without any sort; only the
-  edge bucket is shuffled and sorted.
+  bucket that holds the q-th row and the rows before it; that bucket's (class, ids) alone
+  are shuffled and sorted to find the q-th row's (hash, ids), the class's cut. One row per
+  class goes back, and a single wide pass compares each row with its class's cut: no wide
+  row is shuffled or sorted. Only where several rows have exactly the cut's hash and ids
+  (no ids given and equal rows, say) are the edge bucket's rows sorted whole.
 - ``rank_rows`` (every row's rank): row_number per (class, bucket), then the offsets of
   the earlier buckets are joined on (class, bucket) *after* the window, so a shuffled join
   reuses the window's partitioning instead of moving the rows again.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import config
-from ..config import P, ensure_checkpoint_dir
+from ..config import P
 from ..functions.keys import hash_hex
 from .classes import ClassTable, join_on_class, local_frame, maybe_broadcast
 
@@ -33,8 +35,9 @@ CNT = P + "bcnt"
 OFF = P + "boff"
 EB = P + "eb"
 EOFF = P + "eoff"
-ECNT = P + "ecnt"
-ER = P + "er"
+NEXT = P + "next"
+CUT = P + "cut"
+TIED = P + "tied"
 RN = P + "rn"
 RANK = P + "rank"
 TAKE = P + "take"
@@ -88,73 +91,85 @@ def bucket_offsets(hashed: DataFrame, keys: list[str]) -> DataFrame:
 
 def flag_first(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str, size: str,
                seed: int | str, keep_rest: bool, edge_rank: str | None = None,
-               bucket_rows: int | None = None, unique_ids: bool = False) -> DataFrame:
+               bucket_rows: int | None = None) -> DataFrame:
     """Mark (``TAKE``) the first ``quota`` rows of every class in hash order.
 
     ``df`` already carries the per-class ``quota`` and ``size`` columns. With
     ``keep_rest=False`` the rows not taken are dropped instead of flagged. With
-    ``edge_rank`` the rows of the edge bucket get their exact rank in that column (null
-    elsewhere): the quota-th row is the one whose ``edge_rank`` equals the quota.
-
-    Two plans. By default the rows decided by their bucket alone and the edge-bucket rows
-    (sorted) are two branches of a union, each reading the input; they run side by side.
-    With ``unique_ids`` (the caller guarantees the id columns identify a row) and a bounded
-    number of edge rows, the edge rows are ranked from a narrow (class, ids) read and their
-    verdicts broadcast back by id into a single full-width pass: one wide read less, for a
-    hash probe per row and a wait on the broadcast. Worth it for wide rows (long text) on
-    large inputs; measured slower on the narrow sf0.1 tables, so it is opt-in.
+    ``edge_rank`` the quota-th row of a class gets its rank in that column (others null, or
+    their own rank).
     """
     c = table.class_col
     q, n = F.col(quota), F.col(size)
     partial = (q > 0) & (q <= n)
+    per = bucket_rows or config.RANK_BUCKET_ROWS
     # Buckets only matter for classes cut somewhere inside; the full hash (to sort) only
     # for the rows of the edge bucket, computed after the filter below.
-    hashed = _hashed(df, seed, id_cols, size, bucket_rows, when=partial, with_hash=False)
-    per = bucket_rows or config.RANK_BUCKET_ROWS
-
-    def counted_edges() -> DataFrame:
-        offs = bucket_offsets(hashed.filter(partial).select(c, quota, B), [c, quota])
-        return (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
-                .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF), F.col(CNT).alias(ECNT)))
-
+    keys = [c] + [k for k in id_cols if k != c]
+    narrow = _hashed(df.select(*keys, quota, size).filter(partial), seed, id_cols, size, bucket_rows,
+                     with_hash=False)
+    offs = bucket_offsets(narrow.select(c, quota, B), [c, quota])
+    edges = (offs.filter((F.col(OFF) < q) & (F.col(OFF) + F.col(CNT) >= q))
+             .select(c, F.col(B).alias(EB), F.col(OFF).alias(EOFF)))
     edge_schema = StructType([table.frame.schema[c], StructField(EB, StringType()),
-                              StructField(EOFF, LongType()), StructField(ECNT, LongType())])
-    edge_rows = None
+                              StructField(EOFF, LongType())])
     if table.local:
-        # At most one row per class, computed once and broadcast to both branches below.
-        # A class of at most ``per`` rows is one bucket: its edge is ("", 0) without a job;
-        # only bigger classes need their buckets counted.
-        rows = [(k, "", 0, m) for k, m in table.rows if m <= per]
+        # At most one row per class. A class of at most ``per`` rows is one bucket: its edge
+        # is ("", 0) without a job; only bigger classes need their buckets counted.
+        rows = [(k, "", 0) for k, m in table.rows if m <= per]
         big = [k for k, m in table.rows if m > per]
         if big:
             big_t = local_frame(df.sparkSession, [(k,) for k in big],
                                 StructType([table.frame.schema[c]]))
-            rows += [tuple(r) for r in join_on_class(counted_edges(), F.broadcast(big_t), c,
+            rows += [tuple(r) for r in join_on_class(edges, F.broadcast(big_t), c,
                                                      table.null_safe).collect()]
-        edge_rows = sum(r[3] for r in rows)        # rows that may need sorting, at most
         edges = F.broadcast(local_frame(df.sparkSession, rows, edge_schema))
+    w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
+    key = F.struct(F.col(H), *[F.col(k) for k in id_cols])
+    ranked = (join_on_class(narrow, edges, c, table.null_safe).filter(F.col(B) == F.col(EB))
+              .withColumn(H, hash_hex(seed, id_cols))
+              .withColumns({RN: F.col(EOFF) + F.row_number().over(w), NEXT: F.lead(key).over(w)}))
+    cuts = ranked.filter(F.col(RN) == q).select(
+        c, key.alias(CUT), F.coalesce(key == F.col(NEXT), F.lit(False)).alias(TIED))
+    if table.local:
+        found = cuts.collect()                 # one row per cut class
+        if any(r[TIED] for r in found):
+            return _flag_first_sorted(df, table, id_cols, quota, size, seed, keep_rest, edge_rank, bucket_rows,
+                                      edges)
+        cuts = F.broadcast(local_frame(df.sparkSession, [tuple(r)[:2] for r in found],
+                                               cuts.drop(TIED).schema))
+    elif not cuts.filter(TIED).isEmpty():
+        return _flag_first_sorted(df, table, id_cols, quota, size, seed, keep_rest, edge_rank, bucket_rows, edges)
     else:
-        # More classes than a broadcast allows: materialize the edges once (both branches
-        # below read them) in the shared checkpoint folder; they are joined by a shuffle.
-        ensure_checkpoint_dir(df.sparkSession)
-        edges = counted_edges().checkpoint(eager=True)
-    x = join_on_class(hashed, edges.drop(ECNT), c, table.null_safe, "left")
+        cuts = cuts.drop(TIED)
+    x = join_on_class(df, cuts, c, table.null_safe, "left")
+    own = F.struct(F.when(partial & (q < n), hash_hex(seed, id_cols)).alias(H), *[F.col(k) for k in id_cols])
+    if edge_rank is not None:
+        own = F.struct(F.when(partial, hash_hex(seed, id_cols)).alias(H), *[F.col(k) for k in id_cols])
+    x = x.withColumn(TAKE, F.when(q >= n, True).when(q <= 0, False).otherwise(own <= F.col(CUT)))
+    if edge_rank is not None:
+        x = x.withColumn(edge_rank, F.when(partial & (own == F.col(CUT)), q))
+    return (x if keep_rest else x.filter(F.col(TAKE))).drop(CUT)
+
+
+def _flag_first_sorted(df: DataFrame, table: ClassTable, id_cols: list[str], quota: str, size: str,
+                       seed: int | str, keep_rest: bool, edge_rank: str | None, bucket_rows: int | None,
+                       edges: DataFrame) -> DataFrame:
+    """``flag_first`` where rows with equal hash and ids meet the cut: the edge buckets are sorted whole.
+
+    Rows decided by their bucket and rows of the edge buckets are two branches of a union.
+    """
+    c = table.class_col
+    q, n = F.col(quota), F.col(size)
+    partial = (q > 0) & (q <= n)
+    hashed = _hashed(df, seed, id_cols, size, bucket_rows, when=partial, with_hash=False)
+    x = join_on_class(hashed, edges, c, table.null_safe, "left")
     b, eb = F.col(B), F.col(EB)
     edge = partial & (b == eb)
     whole = F.when(q >= n, True).when(q <= 0, False).otherwise(b < eb)
     w = Window.partitionBy(c, B).orderBy(*_order(id_cols))
     ranked = (x.filter(edge).withColumn(H, hash_hex(seed, id_cols))
               .withColumn(RN, F.col(EOFF) + F.row_number().over(w)))
-    if unique_ids and edge_rows is not None and edge_rows <= config.MAX_BROADCAST_ROWS:
-        keys = [c] + [k for k in id_cols if k != c]
-        verdicts = ranked.select(*keys, F.col(RN).alias(ER))
-        y = join_on_class(x, F.broadcast(verdicts), c, True, "left",
-                          extra_keys=keys[1:])
-        y = y.withColumn(TAKE, F.when(F.col(ER).isNotNull(), F.col(ER) <= q).otherwise(whole))
-        if not keep_rest:
-            y = y.filter(F.col(TAKE))
-        y = y.withColumnRenamed(ER, edge_rank) if edge_rank is not None else y.drop(ER)
-        return y.drop(B, EB, EOFF)
     plain = x.filter(~F.coalesce(edge, F.lit(False)))
     if keep_rest:
         plain = plain.withColumn(TAKE, whole)
@@ -195,58 +210,3 @@ def rank_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int |
     x = join_on_class(ranked, offsets if bound == 0 else maybe_broadcast(offsets, bound), c,
                       table.null_safe, "inner", extra_keys=[B])
     return x.withColumn(RANK, F.col(OFF) + F.col(RN)).drop(H, B, OFF, RN)
-
-
-PAY = P + "pay"
-TYPE = P + "type"
-LR = P + "lr"
-BLK = P + "blk"
-
-
-def draw_rows(df: DataFrame, table: ClassTable, id_cols: list[str], seed: int | str, size: str,
-              draws: DataFrame, rank: str, payload: list[str],
-              bucket_rows: int | None = None) -> DataFrame:
-    """One row per draw: the row whose hash rank in its class equals the draw's ``rank``.
-
-    A single shuffle: every draw is first placed in the (class, bucket) holding its rank (a
-    join of the draws with the bucket offsets cut into rank blocks, so a draw meets only the
-    few buckets overlapping its block) and then travels in the same exchange as the rows.
-    Inside a (class, bucket) partition one window numbers the rows, a second one (same
-    partitioning, no new shuffle) hands every draw the payload of the row at its local rank.
-    ``df`` carries the class size column ``size``; ``payload`` are the columns returned.
-    """
-    c = table.class_col
-    per = bucket_rows or config.RANK_BUCKET_ROWS
-    hashed = _hashed(df, seed, id_cols, size, bucket_rows)
-    t = F.col(rank)
-    if table.local and all(m <= per for _, m in table.rows):
-        placed = draws.select(c, F.lit("").alias(B), t.alias(LR))     # one bucket per class
-    else:
-        offs = bucket_offsets(hashed.select(c, B), [c])
-        blocks = offs.withColumn(BLK, F.explode(F.sequence(
-            F.floor(F.col(OFF) / per), F.floor((F.col(OFF) + F.col(CNT) - 1) / per))))
-        if table.local:
-            bound = 3 * sum(bucket_count(m, bucket_rows) for _, m in table.rows)
-        else:
-            bound = 3 * (table.count + table.total // per)
-        keyed = draws.withColumn(BLK, F.floor((t - 1) / per))
-        placed = (join_on_class(keyed, maybe_broadcast(blocks, bound), c, table.null_safe,
-                                "inner", extra_keys=[BLK])
-                  .filter((F.col(OFF) < t) & (t <= F.col(OFF) + F.col(CNT)))
-                  .select(c, B, (t - F.col(OFF)).alias(LR)))
-    schema = hashed.schema
-    pay = F.struct(*[F.col(x) for x in payload])
-    rows = hashed.select(c, B, H, *[F.col(x).alias(P + "id_" + x) for x in id_cols],
-                         pay.alias(PAY), F.lit(0).alias(TYPE), F.lit(None).cast("long").alias(LR))
-    pay_type = rows.schema[PAY].dataType
-    marks = placed.select(c, B, F.lit(None).cast("string").alias(H),
-                          *[F.lit(None).cast(schema[x].dataType).alias(P + "id_" + x) for x in id_cols],
-                          F.lit(None).cast(pay_type).alias(PAY), F.lit(1).alias(TYPE), LR)
-    both = rows.unionByName(marks)
-    order = [F.col(TYPE), F.col(H)] + [F.col(P + "id_" + x) for x in id_cols]
-    numbered = both.withColumn(RN, F.row_number().over(Window.partitionBy(c, B).orderBy(*order)))
-    key = F.when(F.col(TYPE) == 0, F.col(RN)).otherwise(F.col(LR))
-    w = (Window.partitionBy(c, B).orderBy(key, F.col(TYPE))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hit = numbered.withColumn(PAY + "_hit", F.last(PAY, ignorenulls=True).over(w))
-    return hit.filter(F.col(TYPE) == 1).select(f"{PAY}_hit.*")

@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .. import config
 from ..config import P
 from ..functions.keys import uniform01
 from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, lit_long,
                       local_frame, row_keys, select_like)
-from .ranking import RANK, draw_rows, flag_first, rank_rows
+from .ranking import RANK, flag_first, rank_rows
 from .replicate import replicate
 
 QUOTA = P + "quota"
 SIZE = P + "size"
 DRAW = P + "draw"
+TIMES = P + "times"
 
 
 def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
 
 
 def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes: int | Mapping,
-                 seed: int = 42, nulls: str = "drop", unique_ids: bool = False) -> DataFrame:
+                 seed: int = 42, nulls: str = "drop") -> DataFrame:
     """The first min(n, m) rows of every class in hash order: an exact sample without replacement."""
     id_cols = row_keys(df, id_cols)
     cols = df.columns
@@ -50,17 +50,27 @@ def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes
         return df.limit(0)
     info = per_class_value(table, sizes, QUOTA)
     x = table.attach(base, info.withColumn(QUOTA, F.least(F.col(N), F.col(QUOTA))))
-    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False,
-                   unique_ids=unique_ids)
+    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False)
     return select_like(x, cols)
 
 
 def sample_bernoulli(df: DataFrame, id_cols: list[str] | None, fraction: float,
                      seed: int = 42) -> DataFrame:
-    """Keep a row when uniform01(seed, ids) < fraction (fraction clamped to [0, 1]); no shuffle."""
-    id_cols = row_keys(df, id_cols)
+    """Keep a row when uniform01(seed, ids) < fraction (fraction clamped to [0, 1]); no shuffle.
+
+    Without ids, equal rows are told apart by a number: distinct rows are counted, and each of
+    a row's copies is decided for itself (needs columns that can all be grouped by).
+    """
     f = min(max(float(fraction), 0.0), 1.0)
-    return df.filter(uniform01(seed, id_cols) < F.lit(f))
+    if id_cols:
+        return df.filter(uniform01(seed, id_cols) < F.lit(f))
+    keys = row_keys(df, None)
+    if keys != df.columns:
+        raise ValueError("rows with array, map or struct columns need id_cols")
+    total = df.count()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(SIZE))
+    copies = replicate(counts, SIZE, total, heavy_out=total, index_col=DRAW)
+    return copies.filter(uniform01(seed, [*keys, DRAW]) < F.lit(f)).select(*keys)
 
 
 def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame, size_col: str,
@@ -68,22 +78,18 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     """``size_col`` uniform draws with replacement per class of ``info``.
 
     Draw j of class c hits rank floor(uniform01(seed, c, j) * n) + 1 in the class's hash
-    order (the bucketed exact rank): a hot class is spread over its buckets.
+    order (the bucketed exact rank). Draws are counted by (class, rank) before anything is
+    joined, with partial sums per task, so what meets a row is one number however often it
+    is drawn; ``replicate`` then spreads the copies over tasks.
     """
     c = table.class_col
     draws = replicate(info.select(c, N, size_col), size_col, max_size, heavy_out=total,
                       index_col=DRAW)
-    draws = draws.select(
-        c, (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long").alias(RANK)
-    )
-    if total <= config.MAX_BROADCAST_ROWS:
-        # Few draws: rank the rows (one shuffle) and broadcast the draws onto them. The hint
-        # is explicit: the planner would call the draws tiny whatever their number.
-        ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
-        return join_on_class(ranked, draws.hint("broadcast"), c, table.null_safe, "inner",
-                             extra_keys=[RANK])
-    # Many draws: they travel with the rows in the rank's own (class, bucket) exchange.
-    return draw_rows(table.attach(base), table, id_cols, seed, N, draws, RANK, base.columns)
+    rank = (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long")
+    times = draws.select(c, rank.alias(RANK)).groupBy(c, RANK).agg(F.count(F.lit(1)).alias(TIMES))
+    ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
+    drawn = join_on_class(ranked, times, c, table.null_safe, "inner", extra_keys=[RANK])
+    return replicate(drawn, TIMES, max_size, heavy_out=total)
 
 
 def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] | None,

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import P
-from .classes import N, class_table, keep_classes, lit_long, row_keys, select_like
+from ..functions.keys import uniform01
+from .classes import (N, class_table, keep_classes, lit_long, local_table, row_keys,
+                      select_like)
 from .ranking import flag_first
-from .sample import sample_bernoulli, sample_exact
+from .sample import sample_bernoulli
 
 TARGET = P + "target"
 
 
 def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
-                       spread: float = 1.0, seed: int = 42, nulls: str = "drop",
-                       unique_ids: bool = False) -> DataFrame:
+                       spread: float = 1.0, seed: int = 42, nulls: str = "drop") -> DataFrame:
     """Keep at most floor(spread * smallest) rows per class, the first ones in hash order.
 
     ``spread`` >= 1 is the largest allowed ratio between a class and the smallest class;
@@ -37,35 +38,37 @@ def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None
     if needing == 0:
         return select_like(base, cols)
     x = table.attach(base, info)
-    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False,
-                   unique_ids=unique_ids)
+    x = flag_first(x, table, id_cols, quota=TARGET, size=N, seed=seed, keep_rest=False)
     return select_like(x, cols)
 
 
 def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, key, second_key,
-                     ratio: float = 1.0, seed: int = 42, exact: bool = False,
-                     unique_ids: bool = False) -> DataFrame:
+                     ratio: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
     """Keep class ``key`` whole and sample class ``second_key`` to about ``ratio`` x its size.
 
     With A = rows of ``key`` and B = rows of ``second_key``: Bernoulli fraction
     least(1, ratio * A / B) on B, or with ``exact`` the first least(B, floor(ratio * A))
     rows of B in hash order. Rows of all other classes are dropped; B = 0 yields A alone.
+    One read of the whole rows: a predicate on class and hash.
     """
     if key == second_key:
         raise ValueError("key and second_key must be different classes")
-    id_cols = row_keys(df, id_cols)
     cols = df.columns
     pair = df.filter(F.col(class_col).isin([key, second_key]))
     counts = {r[0]: int(r[1]) for r in
               pair.groupBy(class_col).agg(F.count(F.lit(1))).collect()}
     a, b = counts.get(key, 0), counts.get(second_key, 0)
-    keep_a = pair.filter(F.col(class_col) == F.lit(key))
-    rest_b = pair.filter(F.col(class_col) == F.lit(second_key))
+    first, second = F.col(class_col) == F.lit(key), F.col(class_col) == F.lit(second_key)
     if b == 0:
-        return select_like(keep_a, cols)
+        return select_like(pair.filter(first), cols)
     if exact:
-        m = min(b, math.floor(ratio * a))
-        sampled = sample_exact(rest_b, class_col, id_cols, m, seed=seed, unique_ids=unique_ids)
-    else:
-        sampled = sample_bernoulli(rest_b, id_cols, min(1.0, ratio * a / b), seed=seed)
-    return select_like(sampled.unionByName(keep_a), cols)
+        table = local_table(df.sparkSession, class_col, df.schema[class_col].dataType, list(counts.items()))
+        quota = F.when(second, lit_long(min(b, math.floor(ratio * a)))).otherwise(F.col(N))
+        x = table.attach(pair, table.frame.withColumn(TARGET, quota))
+        return select_like(flag_first(x, table, row_keys(df, id_cols), quota=TARGET, size=N, seed=seed,
+                                      keep_rest=False), cols)
+    fraction = min(1.0, ratio * a / b)
+    if id_cols:
+        return select_like(pair.filter(first | (uniform01(seed, id_cols) < F.lit(fraction))), cols)
+    rest = sample_bernoulli(pair.filter(second), None, fraction, seed=seed)
+    return select_like(rest.unionByName(pair.filter(first)), cols)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.vectors import sparse_to_dense
+from ..functions.vectors import let, sparse_to_dense
 
 
 def read_table(spark: SparkSession, paths: str | Sequence[str], header: bool = False,
@@ -59,30 +59,64 @@ def read_libsvm(spark: SparkSession, paths: str | Sequence[str], num_features: i
 
 def parse_labeled_vectors(df: DataFrame, value_col: str = "value", size: int | None = None,
                           index_base: int = 1, label_col: str = "label",
-                          features_col: str = "features") -> DataFrame:
+                          features_col: str = "features", errors: str = "raise",
+                          error_col: str = "parse_error") -> DataFrame:
     """Parse ``label i:v i:v ...``; other columns pass through.
 
     Adds ``label_col`` (string), ``indices`` (array<int>, 0-based: token index minus
     ``index_base``), ``values`` (array<double>) and, with ``size``, the dense
-    ``features_col``. Tokens are split on any run of whitespace; malformed tokens are skipped.
+    ``features_col``. Tokens are split on any run of whitespace. A token that isn't
+    ``integer:number``, an index that occurs twice, or one outside ``size`` is an error: the
+    job fails (``errors="raise"``), or with ``errors="column"`` the line keeps its label,
+    gets null vectors and the reason in ``error_col`` (null on good lines).
     """
+    if errors not in ("raise", "column"):
+        raise ValueError("errors must be 'raise' or 'column'")
+    top = F.lit(2 ** 31 - 1 if size is None else size)
+
+    def entry(token: Column) -> Column:
+        parts = F.split(token, ":")
+        return F.when(F.size(parts) == 2, F.struct(
+            (parts[0].try_cast("int") - F.lit(index_base)).alias("i"), parts[1].try_cast("double").alias("v")))
+
+    def checked(tokens: Column, pairs: Column) -> Column:
+        bad = F.filter(F.arrays_zip(tokens.alias("t"), pairs.alias("p")), lambda z: z["p"]["i"].isNull()
+                       | z["p"]["v"].isNull())
+        indices = F.transform(pairs, lambda p: p["i"])
+        reason = (F.when(F.size(bad) > 0, F.concat(F.lit("malformed token "), bad[0]["t"]))
+                  .when(F.size(F.array_distinct(indices)) < F.size(indices), F.lit("index given twice"))
+                  .when(F.exists(indices, lambda i: (i < 0) | (i >= top)), F.lit("index out of range")))
+        return F.struct(reason.alias("reason"), indices.alias("indices"),
+                        F.transform(pairs, lambda p: p["v"]).alias("values"))
+
+    def parsed(tokens: Column) -> Column:
+        rest = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+        return let(rest, lambda r: let(F.transform(r, entry), lambda pairs: F.struct(
+            tokens[0].alias("label"), checked(r, pairs).alias("body"))))
+
     tokens = F.split(F.trim(F.col(value_col)), r"\s+")
-    pairs = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    # ``idx:value`` tokens; a token without both parts as numbers is skipped (ANSI-safe).
-    parsed = F.filter(
-        F.transform(pairs, lambda t: F.struct(
-            F.trim(F.substring_index(t, ":", 1)).try_cast("int").alias("i"),
-            F.when(F.instr(t, ":") > 0, F.trim(F.substring_index(t, ":", -1)))
-            .try_cast("double").alias("v"))),
-        lambda p: p["i"].isNotNull() & p["v"].isNotNull())
-    indices = F.transform(parsed, lambda p: p["i"] - F.lit(index_base))
-    values = F.transform(parsed, lambda p: p["v"])
-    out = (df.withColumn(label_col, tokens[0])
-           .withColumn("indices", indices)
-           .withColumn("values", values))
+    out = df.withColumn("_ec_parsed", let(tokens, parsed))
+    reason = F.col("_ec_parsed.body.reason")
+    good = reason.isNull()
+    if errors == "raise":
+        line = F.concat(reason, F.lit(" in line: "), F.substring(F.col(value_col), 1, 200))
+        stop = F.raise_error(line)
+    else:
+        stop = F.lit(None)
+    out = (out.withColumn("indices", F.when(good, F.col("_ec_parsed.body.indices")).otherwise(
+                stop.cast("array<int>") if errors == "column" else stop))
+           .withColumn("values", F.when(good, F.col("_ec_parsed.body.values")).otherwise(
+                stop.cast("array<double>") if errors == "column" else stop)))
+    found = {label_col: F.col("_ec_parsed.label")}
+    if errors == "column":
+        found[error_col] = reason
+    elif size is None:
+        found[label_col] = F.when(good, found[label_col]).otherwise(stop)
+    out = out.withColumns(found)
     if size is not None:
         out = out.withColumn(features_col, sparse_to_dense(size, "indices", "values"))
-    return out.drop(value_col) if value_col not in (label_col, features_col) else out
+    keep = value_col in (label_col, features_col)
+    return out.drop("_ec_parsed") if keep else out.drop("_ec_parsed", value_col)
 
 
 def format_labeled_vectors(label: str | Column, vector: str | Column, index_base: int = 1,

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as se
+from equiclass.plans.catalog import ORACLE, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -30,15 +30,15 @@ def con(sf001):
 
 
 def test_every_query_has_sql():
-    assert set(se.queries()) == set(se.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, sf001, name):
-    df = se.queries()[name](spark, sf001)
+    df = QUERIES[name](spark, sf001)
     cols = sorted(df.columns)
     got = sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
-    rel = con.execute(se.oracle_sql()[name])
+    rel = con.execute(ORACLE[name])
     names = [d[0] for d in rel.description]
     order = sorted(range(len(names)), key=lambda i: names[i])
     want = sorted(tuple(_norm(r[i]) for i in order) for r in rel.fetchall())

@@ -38,15 +38,14 @@ def test_rank_rows_equals_plain_window(spark, bucket_rows):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("unique_ids", [False, True])
 @pytest.mark.parametrize("keep_rest,bucket_rows", [(True, 16), (False, 16), (True, 100_000), (False, 3), (True, 500), (False, 500)])
-def test_flag_first_equals_rank_cut(spark, keep_rest, bucket_rows, unique_ids):
+def test_flag_first_equals_rank_cut(spark, keep_rest, bucket_rows):
     df = _skewed(spark)
     t = class_table(df, "cls")
     q = t.frame.select("cls", N, F.least(F.col(N), F.floor(F.col(N) / 3 + 5)).cast("long").alias("q"))
     x = t.attach(df, q)
     got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=keep_rest,
-                     bucket_rows=bucket_rows, unique_ids=unique_ids)
+                     bucket_rows=bucket_rows)
     w = Window.partitionBy("cls").orderBy(hash_hex(3, ["id"]), "id")
     ranked = x.withColumn("rk", F.row_number().over(w)).withColumn("want", F.col("rk") <= F.col("q"))
     if keep_rest:
@@ -58,14 +57,13 @@ def test_flag_first_equals_rank_cut(spark, keep_rest, bucket_rows, unique_ids):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-@pytest.mark.parametrize("unique_ids", [False, True])
-def test_edge_rank_marks_the_quota_th_row(spark, unique_ids):
+def test_edge_rank_marks_the_quota_th_row(spark):
     df = _skewed(spark)
     t = class_table(df, "cls")
     q = t.frame.select("cls", N, F.least(F.col(N), F.lit(37)).cast("long").alias("q"))
     x = t.attach(df, q)
     got = flag_first(x, t, ["id"], quota="q", size=N, seed=3, keep_rest=False, edge_rank="er",
-                     bucket_rows=8, unique_ids=unique_ids)
+                     bucket_rows=8)
     last = {r["cls"]: r["id"] for r in got.filter(F.col("er") == F.col("q")).collect()}
     w = Window.partitionBy("cls").orderBy(hash_hex(3, ["id"]), "id")
     ranked = x.withColumn("rk", F.row_number().over(w))

@@ -123,11 +123,14 @@ def test_default_ids_are_all_orderable_columns(spark):
     assert dict(by_all.groupBy("cls").count().collect()) == {"a": 9, "b": 9}
 
 
-@pytest.mark.parametrize("unique_ids", [False, True])
-def test_unique_ids_single_scan_same_rows(spark, unique_ids):
-    df = _frame(spark, {"a": 70, "b": 23, "c": 9, "d": 1}, nulls=3)
-    base = oversample(df, "cls", ["id"], seed=6)
-    other = oversample(df, "cls", ["id"], seed=6, unique_ids=unique_ids)
-    assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
-    plan = other._jdf.queryExecution().executedPlan().toString()
-    assert ("Union" in plan) != unique_ids      # one pass over the input with unique ids
+def test_one_wide_read_and_no_wide_shuffle(spark, sf001):
+    from equiclass.plans.catalog import QUERIES
+    plan = QUERIES["oversample_lang"](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_equal_rows_at_the_cut(spark):
+    # no ids and equal rows: the cut falls among rows that nothing tells apart
+    df = spark.createDataFrame([("a", 1)] * 30 + [("b", 2)] * 23 + [("b", 3)] * 2, "cls string, v int")
+    out = oversample(df, "cls", seed=1)
+    assert dict(out.groupBy("cls").count().collect()) == {"a": 30, "b": 30}

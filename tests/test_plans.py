@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as se
 from equiclass import config
 from equiclass.operators.sample import sample_with_replacement
+from equiclass.plans.catalog import QUERIES
 from tests.test_oversample import _frame
 
 
@@ -16,7 +17,7 @@ def _plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark, sf001):
-    return {name: _plan(q(spark, sf001)) for name, q in se.queries().items()}
+    return {name: _plan(q(spark, sf001)) for name, q in QUERIES.items()}
 
 
 def test_no_pairs_or_cross_joins(plans):
@@ -52,17 +53,25 @@ def test_offset_stages_read_only_class_and_ids(spark, sf001, monkeypatch):
 
 
 def test_oversample_moves_no_bulk_rows(plans):
-    # the only shuffles of oversample are keyed by (class, bucket) or the tiny aggregates
-    for part in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plans["oversample_users"]):
-        assert "user_id" in part, part
+    # the cut of each class is found beforehand; the rows themselves are read once and not moved
+    for name in ("oversample_users", "oversample_lineitem", "sample_exact_lineitem", "undersample_spread_lang"):
+        if name in plans:
+            assert plans[name].count("FileScan") == 1, name
+            assert not re.search(r"(?<!Broadcast)Exchange hash", plans[name]), name
 
 
-def test_draws_join_is_not_broadcast_beyond_the_bound(spark, monkeypatch):
+def test_draws_are_counted_before_they_meet_the_rows(spark):
     df = _frame(spark, {"a": 30, "b": 7})
-    small = _plan(sample_with_replacement(df, "cls", ["id"], 50))
-    assert re.search(r"BroadcastHashJoin \[cls#\d+, _ec_rank", small) or "BroadcastHashJoin" in small
-    monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)
-    big = _plan(sample_with_replacement(df, "cls", ["id"], 50))
-    # beyond the bound the draws travel with the rows: no broadcast of draws, no second shuffle
-    assert "SortMergeJoin" not in big and "Union" in big
-    assert len(re.findall(r"Exchange hashpartitioning\(cls#\d+, _ec_b", big)) == 1
+    plan = _plan(sample_with_replacement(df, "cls", ["id"], 50))
+    assert "partial_count" in plan                         # draws per (class, rank), with map-side sums
+
+
+def test_draws_of_a_small_class_are_spread(spark, monkeypatch):
+    from equiclass.operators.resample import resample_uniform
+    monkeypatch.setattr(config, "ROWS_PER_TASK", 20_000)
+    monkeypatch.setattr(config, "COPY_CHUNK", 1_000)
+    df = _frame(spark, {"a": 100, "b": 150_000})
+    out = resample_uniform(df, "cls", ["id"], bias=1.0, size_percent=100)
+    per = (out.filter("cls = 'a'").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect())
+    assert sum(r["count"] for r in per) == 75_050
+    assert len(per) >= 4 and max(r["count"] for r in per) < 40_000

@@ -82,14 +82,28 @@ def test_resample_formula(spark):
 
 
 @pytest.mark.parametrize("bucket_rows", [65_536, 4])
-def test_many_draws_single_shuffle_path(spark, monkeypatch, bucket_rows):
+def test_many_draws_same_rows_in_any_layout(spark, monkeypatch, bucket_rows):
     from equiclass import config
     df = _frame(spark, {"a": 40, "b": 9, "c": 2})
     ref = sample_with_replacement(df, "cls", ["id"], 25, seed=3).cache()
     ref.count()
-    monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)      # too many draws to broadcast
+    monkeypatch.setattr(config, "MAX_BROADCAST_ROWS", 10)
     monkeypatch.setattr(config, "RANK_BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(config, "ROWS_PER_TASK", 8)
     got = sample_with_replacement(df, "cls", ["id"], 25, seed=3)
     assert ref.exceptAll(got).count() == 0 and got.exceptAll(ref).count() == 0
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(cls#") >= 1
+
+
+def test_bernoulli_without_ids_decides_row_by_row(spark):
+    df = spark.createDataFrame([("x", 1)] * 1000 + [(None, 2)], "a string, b int")
+    for seed in (1, 2, 3):
+        n = sample_bernoulli(df, None, 0.5, seed=seed).filter("a = 'x'").count()
+        assert 400 < n < 600
+    assert sample_bernoulli(df, None, 1.0).exceptAll(df).count() == 0
+
+
+def test_uniforms_reach_every_rank(spark):
+    from equiclass.functions.keys import uniform01
+    u = spark.range(2000).select(uniform01(1, ["id"]).alias("u"))
+    assert u.filter("floor(u * 4503599627370496) != u * 4503599627370496").count() == 0
+    assert u.filter("floor(u * 4294967296) != u * 4294967296").count() > 1900     # finer than 32 bits

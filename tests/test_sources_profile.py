@@ -11,13 +11,13 @@ from equiclass.operators.profile import (class_counts, class_profile, code_count
 from equiclass.sources.readers import (format_labeled_vectors, parse_labeled_vectors, read_lines,
                                        read_table)
 
-# Stand-ins for the fixtures (FIXTURES.md): a few rows in the same layout.
-F1_ROWS = [
-    "6,148,72,35,0,33.6,0.627,50,1",
-    "1,85,66,29,0,26.6,0.351,31,0",
-    "8,183,64,0,0,23.3,0.672,32,1",
-    "1,89,66,23,94,28.1,0.167,21,0",
-    "0,137,40,35,168,43.1,2.288,33,1",
+# Invented readings of five river gauges: level, flow, a note of the weather, state (the class).
+GAUGE_ROWS = [
+    "1.25,310,dry,ok",
+    "4.80,1905,storm,flood",
+    "1.31,322,dry,ok",
+    "0.40,75,frost,low",
+    "1.02,288,rain,ok",
 ]
 
 
@@ -26,15 +26,14 @@ def files():
     d = tempfile.mkdtemp(prefix="equiclass-fixtures-")
     f1 = os.path.join(d, "f1.csv")
     with open(f1, "w") as fh:
-        fh.write("\n".join(F1_ROWS))
+        fh.write("\n".join(GAUGE_ROWS))
     f2 = os.path.join(d, "f2.csv")
     with open(f2, "w") as fh:
-        fh.write(",".join(f"C{i}" for i in range(1, 10)) + "\n" + "\n".join(F1_ROWS) + "\n")
+        fh.write("level,flow,weather,state\n" + "\n".join(GAUGE_ROWS) + "\n")
     f3 = os.path.join(d, "f3.csv")
     with open(f3, "w") as fh:
-        fh.write(",".join(f"C{i}" for i in range(1, 11)) + "\n")
-        for i, r in enumerate(F1_ROWS[:4]):
-            fh.write(r + ("," + ("jedna" if i % 2 == 0 else "dva")) + "\n")
+        fh.write("station.name,level,watch\n")
+        fh.write("upper mill,1.25,no\nold bridge,4.80,yes\nweir,0.40,yes\nharbour,1.31,no\n")
     f5 = os.path.join(d, "f5.txt")
     with open(f5, "w") as fh:
         fh.write("pos 1:0.5 3:1.5\n\n   \nneg  2:2.0\tfour:1\n".replace("\tfour:1", " 4:1") + "lonely\n")
@@ -43,18 +42,18 @@ def files():
 
 def test_headerless_csv_all_strings(spark, files):
     df, cls = read_table(spark, files["f1"])
-    assert df.columns == [f"_c{i}" for i in range(9)] and cls == "_c8"
+    assert df.columns == ["_c0", "_c1", "_c2", "_c3"] and cls == "_c3"
     assert all(t == "string" for _, t in df.dtypes)
-    assert dict(class_counts(df, cls).collect()) == {"1": 3, "0": 2}
+    assert dict(class_counts(df, cls).collect()) == {"ok": 3, "flood": 1, "low": 1}
 
 
 def test_header_inferred_and_multi_path(spark, files):
     df, cls = read_table(spark, files["f2"], header=True, infer=True)
-    assert cls == "C9" and dict(df.dtypes)["C6"] == "double" and dict(df.dtypes)["C1"] == "int"
+    assert cls == "state" and dict(df.dtypes)["level"] == "double" and dict(df.dtypes)["flow"] == "int"
     twice, _ = read_table(spark, [files["f2"], files["f2"]], header=True)
     assert twice.count() == 10
     text_cls, c = read_table(spark, files["f3"], header=True)
-    assert c == "C10" and dict(class_counts(text_cls, c).collect()) == {"jedna": 2, "dva": 2}
+    assert c == "watch" and dict(class_counts(text_cls, c).collect()) == {"no": 2, "yes": 2}
 
 
 def test_labeled_lines(spark, files):
@@ -78,10 +77,40 @@ def test_libsvm_matches_own_parser(spark):
     assert [(x["label"], x["features"]) for x in a] == [(float(y["label"]), y["features"]) for y in b]
 
 
-def test_malformed_tokens_are_skipped(spark):
-    df = spark.createDataFrame([("a 1:0.5 junk 3:x 2:1e-3 :4",)], "value string")
-    r = parse_labeled_vectors(df, size=3).first()
-    assert r["label"] == "a" and r["indices"] == [0, 1] and r["features"] == [0.5, 0.001, 0.0]
+BAD_LINES = {"a 1:0.5 junk": "malformed", "a 3:x": "malformed", "a :4": "malformed", "a 2:3:4": "malformed",
+             "a 1:0.5 9:5": "out of range", "a 0:7 2:2": "out of range", "a 1:1 1:2": "twice"}
+
+
+@pytest.mark.parametrize("line", sorted(BAD_LINES))
+def test_bad_lines_fail(spark, line):
+    df = spark.createDataFrame([(line,)], "value string")
+    for cols in (["label", "features"], ["features"], ["indices"], ["values"]):
+        with pytest.raises(Exception, match=BAD_LINES[line]):
+            parse_labeled_vectors(df, size=3).select(*cols).collect()
+
+
+def test_bad_lines_in_an_error_column(spark):
+    lines = [(x,) for x in BAD_LINES] + [("b 2:1e-3 1:-2",), ("c",), (None,)]
+    df = spark.createDataFrame(lines, "value string").withColumn("line", F.col("value"))
+    rows = {r["line"]: r for r in parse_labeled_vectors(df, size=3, errors="column").collect()}
+    for line, reason in BAD_LINES.items():
+        r = rows[line]
+        assert reason in r["parse_error"] and r["label"] == "a" and r["features"] is None and r["indices"] is None
+    assert rows["b 2:1e-3 1:-2"]["features"] == [-2.0, 0.001, 0.0] and rows["b 2:1e-3 1:-2"]["parse_error"] is None
+    assert rows["c"]["features"] == [0.0, 0.0, 0.0] and rows["c"]["indices"] == []
+    assert rows[None]["label"] is None and rows[None]["features"] is None
+
+
+def test_code_counts_report_every_code(spark):
+    df = spark.createDataFrame([(0,), (1,), (9,), (-1,), (None,)], "code int")
+    got = [(r["code"], r["n"]) for r in code_counts(df, "code", 3).collect()]
+    assert got == [(None, 1), (-1, 1), (0, 1), (1, 1), (2, 0), (9, 1)]
+
+
+def test_profile_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "c string")
+    out = class_profile(df, "c")
+    assert out.collect() == [] and len(out.columns) == 9
 
 
 def test_format_parse_round_trip(spark):

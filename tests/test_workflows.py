@@ -2,19 +2,19 @@ import os
 import tempfile
 
 from equiclass.plans.workflows import rebalance_csv, resampling_report, smote_lines
-from tests.test_sources_profile import F1_ROWS
+from tests.test_sources_profile import GAUGE_ROWS
 
 
 def test_rebalance_csv_headerless(spark):
     d = tempfile.mkdtemp(prefix="equiclass-wf-")
     p = os.path.join(d, "f1.csv")
     with open(p, "w") as fh:
-        fh.write("\n".join(F1_ROWS + F1_ROWS[:1]))   # a duplicate line is a separate row
+        fh.write("\n".join(GAUGE_ROWS + GAUGE_ROWS[:1]))   # a duplicate line is a separate row
     r = rebalance_csv(spark, p)
-    assert r.class_col == "_c8"
-    assert dict(r.before.collect()) == {"1": 4, "0": 2}
-    assert dict(r.after.collect()) == {"1": 4, "0": 4}
-    assert r.frame.columns == [f"_c{i}" for i in range(9)]
+    assert r.class_col == "_c3"
+    assert dict(r.before.collect()) == {"ok": 4, "flood": 1, "low": 1}
+    assert dict(r.after.collect()) == {"ok": 4, "flood": 4, "low": 4}
+    assert r.frame.columns == ["_c0", "_c1", "_c2", "_c3"]
 
 
 def test_smote_lines(spark):
