@@ -139,10 +139,9 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     # The first document of each range, for the range before it (at most one row per range).
     firsts = rows.groupBy("range").agg(F.min_by(F.struct("doc_id", "tie"), F.struct("doc_id", "tie")).alias("f"))
     order = Window.orderBy("range")
-    last = firsts.agg(F.max("range").alias("last"))
-    firsts = firsts.select("range", "f.doc_id", "f.tie", F.lag("range").over(order).alias("before")).join(
-        F.broadcast(last)).select("doc_id", "tie", "range", F.coalesce("before", "last").alias("before"))
-    firsts = saved(firsts, "cws-firsts")
+    firsts = saved(firsts.select("range", "f.doc_id", "f.tie"), "cws-firsts")
+    last = firsts.agg(F.max("range")).first()[0]
+    firsts = firsts.withColumn("before", F.coalesce(F.lag("range").over(order), F.lit(last)))
     same = (rows["doc_id"].eqNullSafe(firsts["doc_id"]) & (rows["tie"] == firsts["tie"])
             & (rows["range"] == firsts["range"]))
     marked = rows.join(F.broadcast(firsts.select("doc_id", "tie", "range", "before")), same, "left").select(

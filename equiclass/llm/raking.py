@@ -68,15 +68,15 @@ def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("own"))
     sums = sums.withColumn("raised", F.when(F.col("own") > 0, F.pow(F.col("own").cast("double"), F.lit(alpha)))
                            .otherwise(0.0))
-    return sums.join(F.broadcast(sums.agg(F.sum("raised").alias("whole")))).select(
-        dim, F.when(F.col("whole") > 0, F.col("raised") / F.col("whole")).otherwise(0.0).alias("target"))
+    whole = sums.agg(F.sum("raised")).first()[0] or 0.0
+    return sums.select(dim, (F.col("raised") / whole if whole else F.lit(0.0)).alias("target"))
 
 
 def _given(cells: DataFrame, dim: str, shares: Mapping[str | None, float]) -> DataFrame:
     whole = sum(shares.values())
     rows = [(_key(k), v / whole) for k, v in shares.items()]
     given = cells.sparkSession.createDataFrame(rows, f"{dim} string, target double")
-    return cells.select(dim).distinct().join(F.broadcast(given), dim, "left").fillna(0.0, ["target"])
+    return cells.select(dim).distinct().join(given, dim, "left").fillna(0.0, ["target"])
 
 
 def _key(value: str | None) -> str:
@@ -88,9 +88,9 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], sw
 
     Sums to the total of tokens. A marginal value whose cells hold no tokens is left as it is.
     """
-    whole = cells.agg(F.sum("tokens").alias("whole"))
-    marks = {d: saved(targets[d].join(F.broadcast(whole)).select(
-        d, (F.col("target") * F.col("whole")).alias("goal")), f"rake-{d}") for d in dims}
+    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    marks = {d: saved(targets[d].select(d, (F.col("target") * F.lit(whole)).alias("goal")), f"rake-{d}")
+             for d in dims}
     cells = cells.withColumn("weight", F.lit(1.0))
     for _ in range(sweeps):
         for d in dims:
@@ -155,13 +155,11 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
 def _probabilities(raked: DataFrame, keep_share: float | None) -> DataFrame:
     """mix_weight and mix_probability of every cell."""
     dims = ["mix_source", "mix_lang", "mix_topic"]
-    weight = F.when(F.col("tokens") > 0, F.col("weight"))
     if keep_share is None:
-        scaled = raked.join(F.broadcast(raked.agg(F.max(weight).alias("top"))))
-        p = F.col("weight") / F.col("top")
+        top = raked.filter("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
+        p = F.col("weight") / F.lit(top)
     else:
-        sums = raked.agg(F.sum("tokens").alias("own"), F.sum(F.col("tokens") * F.col("weight")).alias("raked"))
-        scaled = raked.join(F.broadcast(sums))
-        p = F.least(F.lit(1.0), F.lit(keep_share) * F.col("own") / F.col("raked") * F.col("weight"))
-    return scaled.select(*dims, F.col("weight").alias("mix_weight"),
-                         F.when(F.col("tokens") > 0, p).otherwise(1.0).alias("mix_probability"))
+        own, weighted = raked.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).first()
+        p = F.least(F.lit(1.0), F.lit(keep_share * float(own or 0) / (weighted or 1.0)) * F.col("weight"))
+    return raked.select(*dims, F.col("weight").alias("mix_weight"),
+                        F.when(F.col("tokens") > 0, p).otherwise(1.0).alias("mix_probability"))
