@@ -8,18 +8,20 @@ of at least the threshold are linked, and linked documents form components.
 2. Signatures of ``bands * rows`` MinHash values; nodes that agree in all rows of a band share
    a bucket. Bands and rows follow from the threshold: as many rows as fit into
    ``MAX_VALUES`` while a pair at the threshold shares no bucket with probability ``MISS``
-   at most.
+   at most. Only the values' low eight bits are kept beside the buckets.
 3. In every bucket each node is compared with pivots: the least node under one of ``PIVOTS``
    orders, by band. The number of comparisons grows with the bucket, not its square.
 4. A comparison looks at batches of ``BATCH`` signature values. After each, with m of n values
    equal, the pair is pruned if its similarity, with a uniform prior, reaches the threshold
    with posterior probability under ``MISS``.
-5. Survivors are verified exactly, on the words of both texts: first each node's best partner,
-   which connects almost all groups; their components are found.
-6. Whatever shares a bucket but not yet a component goes through 4 and 5 as well: every node
-   outside a bucket's largest component against the bucket's nodes of other components. Links
-   within a component change nothing, so the components are those of all links that share
-   a bucket.
+5. Each node's best surviving partner is verified exactly, on the words of both texts. This
+   connects most of every group; the components are found.
+6. What shares a bucket but not yet a component: buckets that hold several components, joined
+   where they share nodes, are families. In each, the nodes outside a bucket's largest
+   component are compared with all others, as in 4, and survivors verified on their full sets.
+   This happens in blocks of ``BLOCK`` by ``BLOCK`` nodes, each in one task; of a node's links to a
+   component one is kept. Links within a component would change nothing, so the components
+   are those of all links that share a bucket.
 
 Hot nodes (a pivot of very many pairs) are dealt out by salted joins. Nothing is collected to
 the driver but counts.
@@ -53,6 +55,8 @@ MISS = 1e-6
 MAX_VALUES = 256
 BATCH = 32
 PIVOTS = 4
+#: Nodes of a family on either side of one block of comparisons.
+BLOCK = 1_000
 #: Pairs of one node that stay together in a join.
 SPREAD = 2_000
 #: Copies of every class row in the join that gives rows their component.
@@ -80,16 +84,17 @@ def shape(threshold: float, miss: float = MISS, most: int = MAX_VALUES) -> tuple
 def least_matches(values: int, threshold: float, miss: float = MISS, batch: int = BATCH) -> list[tuple[int, int]]:
     """(n, m) after each batch: fewer than m equal values among n prune a pair.
 
-    With a uniform prior, m equal of n leave Beta(m + 1, n - m + 1), which exceeds the threshold t
-    with the probability that at most m of n + 1 trials succeed, each with probability t.
+    With a uniform prior, m equal of n leave Beta(m + 1, n - m + 1), which exceeds t with the
+    probability that at most m of n + 1 trials succeed, each with probability t. Bytes of
+    different values are equal in one of 256 cases, so t is the threshold raised by that.
     """
-    out = []
+    out, t = [], threshold + (1 - threshold) / 256
     for n in [*range(batch, values, batch), values]:
         tail, m = 0.0, -1
-        while tail < miss:
+        while tail < miss and m < n:
             m += 1
             tail += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m)
-                             + m * math.log(threshold) + (n + 1 - m) * math.log1p(-threshold))
+                             + m * math.log(t) + (n + 1 - m) * math.log1p(-t)) if t < 1 else float(m == n)
         out.append((n, m))
     return out
 
@@ -127,30 +132,47 @@ def minhash(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.nd
     return least
 
 
-def _signer(size: int, bands: int, rows: int):
+class Signer:
+    """Signatures and bucket keys of shingle sets."""
+
+    def __init__(self, size: int, bands: int, rows: int):
+        random = np.random.default_rng(SEED)
+        n = bands * rows
+        self.size, self.bands, self.rows = size, bands, rows
+        self.factors = random.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.terms = random.integers(0, 1 << 32, n, dtype=np.uint32)
+        self.mix = random.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
+        self.known = WordHashes()
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        return shingle_hashes(words_of(text), self.size, self.known)
+
+    def values(self, hashes: np.ndarray) -> np.ndarray:
+        return minhash(hashes, self.factors, self.terms)
+
+    def buckets(self, values: np.ndarray) -> np.ndarray:
+        keys = np.bitwise_xor.reduce(values.reshape(self.bands, self.rows) * self.mix + (self.mix >> np.uint64(7)), axis=1)
+        keys = (keys ^ (keys >> np.uint64(31)) ^ np.arange(self.bands, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return keys.view(np.int64)
+
+
+def _signed(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        random = np.random.default_rng(SEED)
-        factors = random.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        terms = random.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-        mix = random.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
-        known, node = WordHashes(), TaskContext.get().partitionId() << 33
+        signer, node = Signer(size, bands, rows), TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), []
                 for text in part.column(2):
-                    hashes = shingle_hashes(words_of(text.as_py()), size, known)
+                    hashes = signer.shingles(text.as_py())
                     node += 1
                     if not len(hashes):
                         out.append((node, 0, None, None, None))
                         continue
-                    sig = minhash(hashes, factors, terms)
-                    keys = np.bitwise_xor.reduce(sig.reshape(bands, rows) * mix + (mix >> np.uint64(7)), axis=1)
-                    keys = (keys ^ (keys >> np.uint64(31)) ^ np.arange(bands, dtype=np.uint64)) * np.uint64(
-                        0xBF58476D1CE4E5B9)
+                    values = signer.values(hashes)
                     out.append((node, len(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(),
-                                sig.tobytes(), keys.view(np.int64)))
+                                values.astype(np.uint8).tobytes(), signer.buckets(values)))
                 nodes, n, digests, sigs, keys = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()),
@@ -164,6 +186,17 @@ def _signer(size: int, bands: int, rows: int):
 SIGNED = "doc_id bigint, tie bigint, node bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>"
 
 
+def surviving(one: np.ndarray, two: np.ndarray, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``one`` (or the one row) and ``two`` that no batch prunes, and their equal values."""
+    left, equal, lo = np.arange(len(two)), np.zeros(len(two), dtype=np.int64), 0
+    for n, least in limits:
+        own = one[lo:n] if one.ndim == 1 else one[left, lo:n]
+        equal = equal + (own == two[left, lo:n]).sum(axis=1)
+        on = equal >= least
+        left, equal, lo = left[on], equal[on], n
+    return left, equal
+
+
 def _pruner(values: int, threshold: float, miss: float):
     limits = least_matches(values, threshold, miss)
 
@@ -171,13 +204,9 @@ def _pruner(values: int, threshold: float, miss: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint32).reshape(-1, values)
+            one, two = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, values)
                         for c in (b.column(2), b.column(3)))
-            left, equal, lo = np.arange(b.num_rows), np.zeros(b.num_rows, dtype=np.int64), 0
-            for n, least in limits:
-                equal = equal + (one[left, lo:n] == two[left, lo:n]).sum(axis=1)
-                on = equal >= least
-                left, equal, lo = left[on], equal[on], n
+            left, equal = surviving(one, two, limits)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(left)), b.column(1).take(pa.array(left)), pa.array(equal)],
                 names=["a", "b", "equal"])
@@ -185,6 +214,57 @@ def _pruner(values: int, threshold: float, miss: float):
     return prune
 
 
+def block_links(queries: list[tuple], members: list[tuple], limits, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of queries to members of other components, one per query and component.
+
+    Both are (node, component, sorted set, signature bytes).
+    """
+    sigs = np.stack([m[3] for m in members])
+    nodes, parts = (np.array([m[i] for m in members], dtype=np.int64) for i in (0, 1))
+    sizes = np.array([len(m[2]) for m in members])
+    shingles, owner = np.concatenate([m[2] for m in members]), np.repeat(np.arange(len(members)), sizes)
+    by = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[by], owner[by]
+    for node, part, own, sig in queries:
+        left, _ = surviving(sig, sigs, limits)
+        left = left[parts[left] != part]
+        if not len(left):
+            continue
+        lo, hi = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+        width = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(members))[left]
+        linked = left[100 * both >= percent * (len(own) + sizes[left] - both)]
+        _, first = np.unique(parts[linked], return_index=True)
+        for other in nodes[linked[first]].tolist():
+            yield node, other
+
+
+def _family_links(size: int, bands: int, rows: int, threshold: float, miss: float, percent: int):
+    """Rows (family, i, j, query, node, component, text), sorted by block -> links."""
+    limits = least_matches(bands * rows, threshold, miss)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, block, sides = Signer(size, bands, rows), None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            found = list(block_links(sides[1], sides[0], limits, percent)) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for k, (family, i, j, query, node, component) in enumerate(zip(*columns, strict=True)):
+                if (family, i, j) != block:
+                    yield done()
+                    block, sides = (family, i, j), ([], [])
+                own = signer.shingles(batch.column(6)[k].as_py())
+                sides[query].append((node, component, own, signer.values(own).astype(np.uint8)))
+        yield done()
+
+    return links
+
+
 def _verifier(size: int, percent: int):
     def shingles(text: str) -> set:
         words = words_of(text)
@@ -235,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn(
         "tie", F.xxhash64("text"))
-    signed = saved(texts.select("doc_id", "tie", "text").mapInArrow(_signer(size, bands, rows), SIGNED),
+    signed = saved(texts.select("doc_id", "tie", "text").mapInArrow(_signed(size, bands, rows), SIGNED),
                    "neardup-signed")
 
     # Classes of equal sets, each told by the node of one of its rows.
@@ -254,48 +334,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = saved(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
                   .distinct(), "neardup-pairs")
 
-    def compared(candidates: DataFrame) -> DataFrame:
-        return _attached(candidates, nodes, "sig").mapInArrow(
-            _pruner(bands * rows, threshold, miss), "a bigint, b bigint, equal bigint")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        """a, b, linked; only the texts of the candidates' nodes are shuffled."""
-        needed = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """node, text of the given nodes."""
         needed = saved(nodes.select("node", "doc_id", "tie").join(needed, "node", "left_semi"), "neardup-needed")
-        own = (texts["doc_id"].eqNullSafe(needed["doc_id"])) & (texts["tie"] == needed["tie"])
-        found = texts.join(needed, own).select("node", "text").dropDuplicates(["node"])
-        return saved(_attached(candidates, found, "text").mapInArrow(
-            _verifier(size, percent), "a bigint, b bigint, linked boolean"), "neardup-verified")
+        own = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["tie"] == needed["tie"])
+        return texts.join(needed, own).select("node", "text").dropDuplicates(["node"])
 
-    survivors = saved(compared(pairs), "neardup-survivors")
+    survivors = saved(_attached(pairs, nodes, "sig").mapInArrow(
+        _pruner(bands * rows, threshold, miss), "a bigint, b bigint, equal bigint"), "neardup-survivors")
     best = survivors.groupBy("b").agg(F.max("equal").alias("equal"))
-    best = survivors.join(best, ["b", "equal"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    checked = verified(saved(best, "neardup-best"))
-    links = checked.filter("linked").select("a", "b")
+    best = saved(survivors.join(best, ["b", "equal"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"),
+                 "neardup-best")
+    ends = best.select(F.col("a").alias("node")).union(best.select("b")).distinct()
+    links = saved(_attached(best, texts_of(ends), "text").mapInArrow(
+        _verifier(size, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"),
+        "neardup-links")
     label = saved(components(links), "neardup-components")
 
-    # What shares a bucket but no component: small groups, strangers, rare broken links.
+    # Buckets of several components, and the families that they form.
     placed = members.join(label, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component"))
+        "bucket", "pivot", "node", F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"),
-                                        F.max("n").alias("n")).filter("parts > 1")
-    largest = parts.join(mixed.select("bucket", "n"), ["bucket", "n"]).groupBy("bucket").agg(
+    several = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max("n").alias("n")).filter("parts > 1")
+    largest = parts.join(several.select("bucket", "n"), ["bucket", "n"]).groupBy("bucket").agg(
         F.min("component").alias("largest"))
     placed = saved(placed.join(largest, "bucket"), "neardup-mixed")
-    minor = placed.filter("component != largest").select("bucket", F.col("node").alias("a"),
-                                                         F.col("component").alias("of_a"))
-    others = placed.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    crossing = minor.join(others, "bucket").filter("of_a != of_b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = compared(crossing.join(seen, ["a", "b"], "left_anti")).select("a", "b")
-    # Survivors among the pivots' pairs that weren't anyone's best.
-    ends = label.select(F.col("node"), F.col("component"))
-    open_pairs = (survivors.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-                  .join(ends.toDF("a", "of_a"), "a", "left").join(ends.toDF("b", "of_b"), "b", "left")
-                  .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    late = verified(saved(fresh.unionByName(open_pairs), "neardup-late")).filter("linked").select("a", "b")
+    family = components(placed.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed(
+        "component", "family")
+    kin = placed.groupBy("node", "component").agg(
+        F.max((F.col("component") != F.col("largest")).cast("int")).alias("query")).join(family, "node")
+    kin = saved(kin, "neardup-families")
+    sizes = kin.groupBy("family").agg(
+        F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rows"),
+        F.ceil(F.sum("query") / F.lit(BLOCK)).cast("int").alias("queries"))
+    turn = F.xxhash64("node")
+    dealt = kin.join(sizes, "family").withColumn("sides", F.when(
+        F.col("query") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).withColumn(
+        "side", F.explode("sides"))
+    own_block = F.when(F.col("side") == 1, F.pmod(turn, F.col("queries"))).otherwise(F.pmod(turn, F.col("rows")))
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("rows")).otherwise(F.col("queries")) - 1))
+    dealt = dealt.withColumn("own", own_block.cast("int")).withColumn("other", others).select(
+        "family", F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own")).alias("j"),
+        F.col("side").alias("query"), "node", "component")
+    blocks = dealt.join(texts_of(kin.select("node")), "node").select(
+        "family", "i", "j", "query", "node", "component", "text")
+    late = saved(blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
+        _family_links(size, bands, rows, threshold, miss, percent), "a bigint, b bigint"), "neardup-late")
     if not late.isEmpty():
         label = saved(components(links.unionByName(late)), "neardup-all-components")
 
