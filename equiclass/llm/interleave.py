@@ -3,8 +3,8 @@
 The rows of each source are put in a seeded random order; the row of rank r (from 0) of a
 source of n rows gets the fractional rank (r + u) / n, where u in [0, 1) is the source's own
 seeded offset (without it, all sources of one row would meet at one point). Sorted by
-fractional rank, any stretch of rows holds every source in proportion, to within one row
-a source; the sorted rows are cut into shards whose sizes differ by one row at most. So
+fractional rank, any stretch of it holds every source in proportion to within one row of
+that source; the sorted rows are cut into shards whose sizes differ by one row at most. So
 every shard matches the mixture, and so does every beginning of a shard.
 
 Scale. Only the id, source, size and checksum (and columns asked for) are shuffled. No

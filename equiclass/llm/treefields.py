@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 THRESHOLD = 0.5
-TRAINING_PAGES = 400
-STEPS = 300
+TRAINING_PAGES = 500
+STEPS = 500
 
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +61,8 @@ ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
             "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 
+SECTIONS = frozenset("article main section header footer nav aside form dialog menu".split())
+
 # What words in class, id, role and aria-label speak of.
 LEXICON = {
     "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs crumbs toc pagination pager tabs tab skip",
@@ -224,15 +226,25 @@ def features(page: Page) -> list[list[str]]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         leaves[p] += leaves[i]
-    out = []
+    out: list[list[str]] = []
+    kinds: list[list[str]] = []
+    above: list[tuple[str, ...]] = []  # what a node's ancestors and itself are and speak of
+    within: list[str] = []  # the last two sections around a node, itself included
     for i, tag in enumerate(page.tag):
+        own_kinds = _kinds(page.attributes[i])
+        kinds.append(own_kinds)
+        held = above[page.parent[i]] if i else ()
+        more = [f"under {tag}"] * (tag in SECTIONS) + [f"under one that speaks of {k}" for k in own_kinds]
+        above.append(held + tuple(m for m in more if m not in held) if more else held)
+        around = within[page.parent[i]] if i else ""
+        within.append(f"{around.rpartition('>')[2]}>{tag}" if tag in SECTIONS else around)
         share = "none" if not linked[i] else "all" if linked[i] >= 0.8 * chars[i] else (
             "half" if linked[i] >= 0.3 * chars[i] else "some")
         if tag == "#text":
             text = page.text[i]
             own = ["leaf", f"leaf length {_bin(len(text) // 8)}", f"leaf links {share}",
-                   f"leaf in {page.tag[page.parent[i]]}",
-                   *(f"leaf in one that speaks of {k}" for k in _kinds(page.attributes[page.parent[i]]))]
+                   f"leaf in {page.tag[page.parent[i]]}", f"leaf within {around}",
+                   *(f"leaf in one that speaks of {k}" for k in kinds[page.parent[i]]), *above[i]]
             if text[-1] in ".!?…\"”":
                 own.append("leaf ends a sentence")
             if "©" in text or "rights reserved" in text.lower():
@@ -241,7 +253,7 @@ def features(page: Page) -> list[list[str]]:
             own = ["element", f"tag {tag}", f"links {share}", f"length {_bin(chars[i] // 32)}"]
             if leaves[i] and chars[i] < 40 * leaves[i]:
                 own.append("short leaves")
-            own += [f"speaks of {k}" for k in _kinds(page.attributes[i])]
+            own += [f"speaks of {k}" for k in own_kinds]
         out.append(own)
     return out
 
@@ -324,6 +336,13 @@ OTHERS = (
     '<div class="comments" data-y="0"><h3>{s}</h3><p>{t}</p><p>{t}</p></div>',
     '<section id="comments" data-y="0"><div class="comment"><p>{t}</p></div><div class="comment"><p>{t} {t}</p></div></section>',
     '<ol class="comment-list" data-y="0"><li><p>{t}</p></li><li><p>{t} {t}</p></li></ol>',
+    '<div class="comments" data-y="0"><p>{t}</p></div>', '<div id="comments" data-y="0"><p>{t} {t}</p><p>{t}</p></div>',
+    '<header data-y="0"><p>{t}</p></header>', '<header data-y="0"><h1>{s}</h1></header>', '<form data-y="0"><p>{s}</p><button>{s}</button></form>',
+    '<form data-y="0">{s} <input> {t}</form>', '<aside data-y="0"><p>{t}</p></aside>', '<aside data-y="0">{t}</aside>',
+    '<div class="side-bar" data-y="0"><p>{t}</p></div>', '<div id="sidebar" data-y="0"><p>{s}</p></div>', '<footer data-y="0"><p>{t}</p></footer>',
+    '<nav data-y="0"><p>{s}</p></nav>', '<nav data-y="0">{t}</nav>', '<div class="banner" data-y="0"><p>{t}</p></div>',
+    '<section class="reader-comments" data-y="0"><h2>{s}</h2><blockquote>{t}</blockquote><p>{t}</p></section>',
+    '<div class="comment" data-y="0"><p>{t}</p></div>', '<aside class="notice" data-y="0"><p>{t}</p></aside>', '<dialog data-y="0"><p>{t}</p></dialog>',
     '<div class="share" data-y="0">{links}</div>', '<div class="social" data-y="0"><ul>{links}</ul></div>',
 )
 FORMS_OF_TEXT = ("<p>{t}</p>", "<p>{t} {t}</p>", "<p>{t} {t} {t}</p>", "<p>{t} <a href='#'>{s}</a> {t}</p>", "<p>{s}</p>",
