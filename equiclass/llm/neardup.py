@@ -55,6 +55,8 @@ MISS = 1e-6
 MAX_VALUES = 256
 BATCH = 32
 PIVOTS = 4
+#: Node keys (24 bytes each) at most that are sent to every task to find their texts; more are joined by a shuffle.
+SENT_ROWS = 1_000_000
 #: Nodes of a family on either side of one block of comparisons.
 BLOCK = 1_000
 #: Pairs of one node that stay together in a join.
@@ -334,19 +336,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = saved(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
                   .distinct(), "neardup-pairs")
 
-    def texts_of(needed: DataFrame) -> DataFrame:
-        """node, text of the given nodes."""
-        needed = saved(nodes.select("node", "doc_id", "tie").join(needed, "node", "left_semi"), "neardup-needed")
-        own = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["tie"] == needed["tie"])
-        return texts.join(needed, own).select("node", "text").dropDuplicates(["node"])
+    # The texts of nodes that share a bucket; others are never looked at again.
+    needed = saved(nodes.select("node", "doc_id", "tie").join(
+        members.select("node").distinct(), "node", "left_semi"), "neardup-needed")
+    own = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["tie"] == needed["tie"])
+    few = needed.count() <= SENT_ROWS
+    near = saved(texts.join(F.broadcast(needed) if few else needed, own).select("node", "text")
+                 .dropDuplicates(["node"]), "neardup-texts")
 
     survivors = saved(_attached(pairs, nodes, "sig").mapInArrow(
         _pruner(bands * rows, threshold, miss), "a bigint, b bigint, equal bigint"), "neardup-survivors")
     best = survivors.groupBy("b").agg(F.max("equal").alias("equal"))
     best = saved(survivors.join(best, ["b", "equal"]).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"),
                  "neardup-best")
-    ends = best.select(F.col("a").alias("node")).union(best.select("b")).distinct()
-    links = saved(_attached(best, texts_of(ends), "text").mapInArrow(
+    links = saved(_attached(best, near, "text").mapInArrow(
         _verifier(size, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"),
         "neardup-links")
     label = saved(components(links), "neardup-components")
@@ -377,7 +380,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "family", F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")).alias("i"),
         F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own")).alias("j"),
         F.col("side").alias("query"), "node", "component")
-    blocks = dealt.join(texts_of(kin.select("node")), "node").select(
+    blocks = dealt.join(near, "node").select(
         "family", "i", "j", "query", "node", "component", "text")
     late = saved(blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(
         _family_links(size, bands, rows, threshold, miss, percent), "a bigint, b bigint"), "neardup-late")
