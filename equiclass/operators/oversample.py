@@ -23,12 +23,12 @@ MULT = P + "mult"
 
 
 def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
-               nulls: str = "drop", chunk: int | None = None) -> DataFrame:
+               nulls: str = "drop", chunk: int | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Every class to exactly the majority size M: each row ``M div n`` times, plus the first
     ``M mod n`` rows of the class in hash order of (``seed``, ``id_cols``) once more.
 
     ``id_cols`` identify a row (default: all orderable columns); ``nulls`` is "drop" or
-    "keep".
+    "keep"; ``bucket_rows`` overrides the rows of a rank bucket.
     """
     id_cols = row_keys(df, id_cols)
     cols = df.columns
@@ -45,7 +45,8 @@ def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
     x = table.attach(base, info)
     needing = sum(1 for _, n in table.rows if m % n) if table.local else table.count
     if needing:
-        x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True)
+        x = flag_first(x, table, id_cols, quota=REM, size=N, seed=seed, keep_rest=True,
+                       bucket_rows=bucket_rows)
     else:  # every class size divides M: whole copies only, no ranking needed
         x = x.withColumn(TAKE, F.lit(False))
     x = x.withColumn(MULT, F.col(COPIES) + F.col(TAKE).cast("long"))

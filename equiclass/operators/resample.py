@@ -30,7 +30,7 @@ def default_size_percent(largest: int, total: int, classes: int) -> float:
 
 def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
                      bias: float = 1.0, size_percent: float | None = None, seed: int = 42,
-                     nulls: str = "drop") -> DataFrame:
+                     nulls: str = "drop", bucket_rows: int | None = None) -> DataFrame:
     """Draw ``size_c`` rows with replacement per class (formula in the module text)."""
     id_cols = row_keys(df, id_cols)
     if not 0.0 <= bias <= 1.0:
@@ -52,5 +52,5 @@ def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None =
     else:
         max_size = math.floor(scale * ((1.0 - bias) * table.largest + uniform_part))
         total = max_size * table.count
-    out = draws_with_replacement(base, table, info, SIZE, id_cols, seed, max_size, total)
+    out = draws_with_replacement(base, table, info, SIZE, id_cols, seed, max_size, total, bucket_rows)
     return select_like(out, cols)

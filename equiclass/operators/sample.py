@@ -40,7 +40,7 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
 
 
 def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes: int | Mapping,
-                 seed: int = 42, nulls: str = "drop") -> DataFrame:
+                 seed: int = 42, nulls: str = "drop", bucket_rows: int | None = None) -> DataFrame:
     """The first min(n, m) rows of every class in hash order: an exact sample without replacement."""
     id_cols = row_keys(df, id_cols)
     cols = df.columns
@@ -50,7 +50,8 @@ def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes
         return df.limit(0)
     info = per_class_value(table, sizes, QUOTA)
     x = table.attach(base, info.withColumn(QUOTA, F.least(F.col(N), F.col(QUOTA))))
-    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False)
+    x = flag_first(x, table, id_cols, quota=QUOTA, size=N, seed=seed, keep_rest=False,
+                   bucket_rows=bucket_rows)
     return select_like(x, cols)
 
 
@@ -74,7 +75,8 @@ def sample_bernoulli(df: DataFrame, id_cols: list[str] | None, fraction: float,
 
 
 def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame, size_col: str,
-                           id_cols: list[str], seed: int, max_size: int, total: int) -> DataFrame:
+                           id_cols: list[str], seed: int, max_size: int, total: int,
+                           bucket_rows: int | None = None) -> DataFrame:
     """``size_col`` uniform draws with replacement per class of ``info``.
 
     Draw j of class c hits rank floor(uniform01(seed, c, j) * n) + 1 in the class's hash
@@ -87,13 +89,14 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
                       index_col=DRAW)
     rank = (F.floor(uniform01(seed, [c, DRAW]) * F.col(N)) + 1).cast("long")
     times = draws.select(c, rank.alias(RANK)).groupBy(c, RANK).agg(F.count(F.lit(1)).alias(TIMES))
-    ranked = rank_rows(table.attach(base), table, id_cols, seed, size=N).drop(N)
+    ranked = rank_rows(table.attach(base), table, id_cols, seed, N, bucket_rows).drop(N)
     drawn = join_on_class(ranked, times, c, table.null_safe, "inner", extra_keys=[RANK])
     return replicate(drawn, TIMES, max_size, heavy_out=total)
 
 
 def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] | None,
-                            sizes: int | Mapping, seed: int = 42, nulls: str = "drop") -> DataFrame:
+                            sizes: int | Mapping, seed: int = 42, nulls: str = "drop",
+                            bucket_rows: int | None = None) -> DataFrame:
     """Exactly ``m`` draws per class (or per-class mapping), uniformly with replacement."""
     id_cols = row_keys(df, id_cols)
     cols = df.columns
@@ -107,5 +110,5 @@ def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] |
     else:
         max_size, total = int(sizes), int(sizes) * table.count
     return select_like(
-        draws_with_replacement(base, table, info, SIZE, id_cols, seed, max_size, total), cols
+        draws_with_replacement(base, table, info, SIZE, id_cols, seed, max_size, total, bucket_rows), cols
     )

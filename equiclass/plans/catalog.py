@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import sql_hash_hex, sql_uniform01
 from ..functions.vectors import (common_indices, cosine_similarity, dot, euclidean_distance,
                                  l2_norm, nonzero_indices, union_indices)
+from ..operators.classes import class_rows
 from ..operators.encode import nominal_index
 from ..operators.neighbors import nearest_neighbors
 from ..operators.oversample import oversample
@@ -230,6 +231,44 @@ def q_vector_functions(spark, d):
     )
 
 
+# The same rows through the branches that large inputs take: many rank buckets, many tiles,
+# codes numbered by a shuffle.
+
+def q_oversample_lineitem_bucketed(spark, d):
+    return oversample(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, seed=SEED, bucket_rows=256)
+
+
+def q_sample_exact_lineitem_bucketed(spark, d):
+    return sample_exact(table(spark, d, "lineitem"), "l_returnflag", LINEITEM_IDS, 15000, seed=SEED,
+                        bucket_rows=64)
+
+
+def q_undersample_spread_lang_bucketed(spark, d):
+    return undersample_spread(table(spark, d, "documents"), "lang", ["doc_id"], 1.0, seed=SEED, bucket_rows=16)
+
+
+def q_sample_replace_lang_bucketed(spark, d):
+    return sample_with_replacement(table(spark, d, "documents"), "lang", ["doc_id"], 50, seed=SEED,
+                                   bucket_rows=16)
+
+
+def q_resample_uniform_quality_bucketed(spark, d):
+    return resample_uniform(table(spark, d, "labels"), "quality", ["doc_id"], bias=1.0, seed=SEED, bucket_rows=16)
+
+
+def q_knn_cosine_tiled(spark, d):
+    e = _vectors(spark, d)
+    return nearest_neighbors(e, e, "label", "vec_id", "v", 5, "cosine", tile=16)
+
+
+def q_nominal_index_distributed(spark, d):
+    return nominal_index(table(spark, d, "part"), "p_size", max_local=0)
+
+
+def q_class_rows_german(spark, d):
+    return class_rows(table(spark, d, "documents"), "lang", "de")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_counts_lang": q_class_counts_lang,
     "class_profile_quality": q_class_profile_quality,
@@ -264,6 +303,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sample_exact_events_type": q_sample_exact_events_type,
     "sample_bernoulli_documents": q_sample_bernoulli_documents,
     "resample_uniform_segment": q_resample_uniform_segment,
+    "oversample_lineitem_bucketed": q_oversample_lineitem_bucketed,
+    "sample_exact_lineitem_bucketed": q_sample_exact_lineitem_bucketed,
+    "undersample_spread_lang_bucketed": q_undersample_spread_lang_bucketed,
+    "sample_replace_lang_bucketed": q_sample_replace_lang_bucketed,
+    "resample_uniform_quality_bucketed": q_resample_uniform_quality_bucketed,
+    "knn_cosine_tiled": q_knn_cosine_tiled,
+    "nominal_index_distributed": q_nominal_index_distributed,
+    "class_rows_german": q_class_rows_german,
     "smote_embeddings_euclidean": q_smote_embeddings_euclidean,
 }
 
@@ -484,3 +531,9 @@ SELECT 'resample', class_code,
        CAST(floor(pct / 100.0::DOUBLE * (0.0::DOUBLE * CAST(n AS DOUBLE) + 1.0::DOUBLE * tot / k)) AS BIGINT)
 FROM s, t""",
 }
+
+ORACLE |= {name: ORACLE[name.rsplit("_", 1)[0]] for name in (
+    "oversample_lineitem_bucketed", "sample_exact_lineitem_bucketed", "undersample_spread_lang_bucketed",
+    "sample_replace_lang_bucketed", "resample_uniform_quality_bucketed", "knn_cosine_tiled")}
+ORACLE["nominal_index_distributed"] = ORACLE["nominal_index_psize"]
+ORACLE["class_rows_german"] = "SELECT * FROM documents WHERE lang = 'de'"
