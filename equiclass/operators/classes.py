@@ -19,6 +19,7 @@ from pyspark.sql.types import (BinaryType, BooleanType, DateType, LongType, Nume
 
 from .. import config
 from ..config import P, ensure_checkpoint_dir
+from .naming import any_names
 
 N = P + "n"
 
@@ -50,6 +51,7 @@ def keep_classes(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFram
     raise ValueError(f"nulls must be 'drop' or 'keep', not {nulls!r}")
 
 
+@any_names("class_col")
 def class_rows(df: DataFrame, class_col: str, value) -> DataFrame:
     """The rows of one class (``None``: the rows without a class)."""
     return df.filter(F.col(class_col).eqNullSafe(F.lit(value)))

@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from .. import config
 from ..config import P, ensure_checkpoint_dir
 from .classes import _approx_bytes, local_frame
+from .naming import any_names
 
 PID = P + "pid"
 PCNT = P + "pcnt"
@@ -37,6 +38,7 @@ def _number_distributed(values: DataFrame, col: str, code_col: str) -> DataFrame
             .select(col, (F.col(POFF) + F.row_number().over(within) - 1).cast("int").alias(code_col)))
 
 
+@any_names("col")
 def nominal_index(df: DataFrame, col: str, code_col: str | None = None,
                   max_local: int | None = None) -> DataFrame:
     """Add ``code_col`` (default ``<col>_code``): 0-based rank of the value among distinct values."""

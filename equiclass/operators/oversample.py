@@ -16,12 +16,14 @@ from ..config import P
 from .classes import N, class_table, keep_classes, lit_long, row_keys, select_like
 from .ranking import TAKE, flag_first
 from .replicate import replicate
+from .naming import any_names
 
 COPIES = P + "copies"
 REM = P + "rem"
 MULT = P + "mult"
 
 
+@any_names("class_col", "id_cols")
 def oversample(df: DataFrame, class_col: str, id_cols: list[str] | None = None, seed: int = 42,
                nulls: str = "drop", chunk: int | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Every class to exactly the majority size M: each row ``M div n`` times, plus the first

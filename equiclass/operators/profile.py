@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import round_half_up
 from .classes import N, class_table, lit_long
+from .naming import any_names
 
 
+@any_names("class_col")
 def class_counts(df: DataFrame, class_col: str, count_col: str = "n") -> DataFrame:
     """Rows per class (null is a class here), largest first, ties by class value.
 
@@ -18,6 +20,7 @@ def class_counts(df: DataFrame, class_col: str, count_col: str = "n") -> DataFra
             .orderBy(F.desc(count_col), F.asc_nulls_first(class_col)))
 
 
+@any_names("code_col")
 def code_counts(df: DataFrame, code_col: str, codes: int, count_col: str = "n") -> DataFrame:
     """Rows per integer code: 0..codes-1, zero-filled, and any other code that occurs (null first)."""
     code = F.col(code_col)
@@ -28,6 +31,7 @@ def code_counts(df: DataFrame, code_col: str, codes: int, count_col: str = "n")
             .orderBy(code.asc_nulls_first()))
 
 
+@any_names("class_col")
 def class_profile(df: DataFrame, class_col: str, nulls: str = "drop") -> DataFrame:
     """Per class: n, share in %, and the table-wide size, count, max, min, majority % and
     imbalance ratio (largest / smallest)."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import P
 from .classes import N, class_table, keep_classes, row_keys, select_like
 from .sample import draws_with_replacement
+from .naming import any_names
 
 SIZE = P + "size"
 
@@ -28,6 +29,7 @@ def default_size_percent(largest: int, total: int, classes: int) -> float:
     return math.ceil(majority_pct * classes * 10) / 10
 
 
+@any_names("class_col", "id_cols")
 def resample_uniform(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
                      bias: float = 1.0, size_percent: float | None = None, seed: int = 42,
                      nulls: str = "drop", bucket_rows: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from .classes import (N, ClassTable, class_table, join_on_class, keep_classes, l
                       local_frame, row_keys, select_like)
 from .ranking import RANK, flag_first, rank_rows
 from .replicate import replicate
+from .naming import any_names
 
 QUOTA = P + "quota"
 SIZE = P + "size"
@@ -39,6 +40,7 @@ def per_class_value(table: ClassTable, sizes: int | Mapping, name: str) -> DataF
     return table.frame.select(c, N, lit_long(max(int(sizes), 0)).alias(name))
 
 
+@any_names("class_col", "id_cols")
 def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes: int | Mapping,
                  seed: int = 42, nulls: str = "drop", bucket_rows: int | None = None) -> DataFrame:
     """The first min(n, m) rows of every class in hash order: an exact sample without replacement."""
@@ -55,6 +57,7 @@ def sample_exact(df: DataFrame, class_col: str, id_cols: list[str] | None, sizes
     return select_like(x, cols)
 
 
+@any_names("id_cols")
 def sample_bernoulli(df: DataFrame, id_cols: list[str] | None, fraction: float,
                      seed: int = 42) -> DataFrame:
     """Keep a row when uniform01(seed, ids) < fraction (fraction clamped to [0, 1]); no shuffle.
@@ -94,6 +97,7 @@ def draws_with_replacement(base: DataFrame, table: ClassTable, info: DataFrame,
     return replicate(drawn, TIMES, max_size, heavy_out=total)
 
 
+@any_names("class_col", "id_cols")
 def sample_with_replacement(df: DataFrame, class_col: str, id_cols: list[str] | None,
                             sizes: int | Mapping, seed: int = 42, nulls: str = "drop",
                             bucket_rows: int | None = None) -> DataFrame:

@@ -34,6 +34,7 @@ from ..functions.vectors import as_double_array, interpolate, to_ml_vector
 from .classes import N, ClassTable, class_table, lit_long, local_table
 from .neighbors import NID, SID, nearest_neighbors
 from .ranking import TAKE, flag_first
+from .naming import any_names
 
 ID = P + "id"
 FEAT = P + "features"
@@ -89,6 +90,7 @@ def plan_columns(n: Column, largest: int, k: int, rate: float, ratio: float) ->
 SEEDS_SQL = f"CASE WHEN need > 0 AND r > 0 THEN least({N}, (need + r - 1) div r) ELSE 0L END"
 
 
+@any_names("label_col", "features_col", "id_col")
 def smote(df: DataFrame, label_col: str = "label", features_col: str = "features",
           id_col: str | None = "id", k: int = 5, sampling_rate: float = 0.5,
           ratio_to_max: float = 0.5,
@@ -159,6 +161,7 @@ def _synthesize(base: DataFrame, table: ClassTable, deficient: DataFrame, label_
         F.col(NID).alias("neighbor_id"))
 
 
+@any_names("label_col", "features_col", "id_col")
 def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "features",
                   id_col: str | None = "id", percent: int = 100, k: int = 5, seed: int = 42,
                   class_value=None, metric: str = "euclidean") -> DataFrame:

@@ -13,10 +13,12 @@ from .classes import (N, class_table, keep_classes, lit_long, local_table, row_k
                       select_like)
 from .ranking import flag_first
 from .sample import sample_bernoulli
+from .naming import any_names
 
 TARGET = P + "target"
 
 
+@any_names("class_col", "id_cols")
 def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None = None,
                        spread: float = 1.0, seed: int = 42, nulls: str = "drop",
                        bucket_rows: int | None = None) -> DataFrame:
@@ -44,6 +46,7 @@ def undersample_spread(df: DataFrame, class_col: str, id_cols: list[str] | None
     return select_like(x, cols)
 
 
+@any_names("class_col", "id_cols")
 def undersample_pair(df: DataFrame, class_col: str, id_cols: list[str] | None, key, second_key,
                      ratio: float = 1.0, seed: int = 42, exact: bool = False) -> DataFrame:
     """Keep class ``key`` whole and sample class ``second_key`` to about ``ratio`` x its size.

@@ -74,3 +74,13 @@ def test_smote_vector_output(spark):
     assert isinstance(out.schema["features"].dataType, VectorUDT)
     # b: n=4 -> k_c=2, r=1, need 6 but only 4 seeds: under-fill to 4 new rows
     assert out.count() == 18
+
+
+def test_dotted_column_names(spark):
+    from equiclass import class_counts, class_profile, class_rows, nominal_index, oversample, sample_exact
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], float(i)) for i in range(30)], "`row.id` long, `c.x` string, `a``b` double")
+    out = oversample(df, "c.x", ["row.id"], seed=1)
+    assert out.columns == df.columns and {r["n"] for r in class_counts(out, "c.x").collect()} == {20}
+    assert sample_exact(df, "c.x", None, 4).count() == 8 and class_rows(df, "c.x", "a").count() == 20
+    assert class_profile(df, "c.x").columns[0] == "c.x"
+    assert nominal_index(df, "c.x").columns[-1] == "c.x_code"
