@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Classes of equal sets, each told by the node of one of its rows.
     classes = saved(signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "neardup-classes")
-    nodes = saved(signed.join(classes.select("node"), "node", "left_semi").select(
+    nodes = saved(signed.join(classes.select("node").hint("merge"), "node", "left_semi").select(
         "node", "doc_id", "tie", "n_shingles", "sig", "bands"), "neardup-nodes")
 
     # Buckets of two nodes or more, with their pivot.
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = entries.groupBy("bucket", "mask").agg(
         F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("mask"))).alias("least")).filter(
         "n > 1").select("bucket", F.col("least").bitwiseXOR(F.col("mask")).alias("pivot"))
-    members = saved(entries.select("node", "bucket").join(buckets, "bucket"), "neardup-buckets")
+    members = saved(entries.select("node", "bucket").join(buckets.hint("merge"), "bucket"), "neardup-buckets")
     pairs = saved(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
                   .distinct(), "neardup-pairs")
 
