@@ -25,6 +25,7 @@ same fate as one another. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ from .common import SPACES, saved
 SWEEPS = 8
 ALPHA = 0.7
 SALT = 16
+#: Cells that one task holds while raking.
+CELLS_A_TASK = 100_000
 
 #: Topics by what a text holds, the first that applies; fixed values.
 TOPIC_MARKS = (
@@ -88,17 +91,18 @@ def rake(cells: DataFrame, dims: list[str], targets: Mapping[str, DataFrame], sw
 
     Sums to the total of tokens. A marginal value whose cells hold no tokens is left as it is.
     """
-    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
+    whole, tasks = float(total or 0), max(1, math.ceil(n / CELLS_A_TASK))
     marks = {d: saved(targets[d].select(d, (F.col("target") * F.lit(whole)).alias("goal")), f"rake-{d}")
              for d in dims}
-    cells = cells.withColumn("weight", F.lit(1.0))
+    cells = cells.coalesce(tasks).withColumn("weight", F.lit(1.0))
     for _ in range(sweeps):
         for d in dims:
             sums = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
             factors = sums.join(marks[d], d).select(
                 d, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("factor"))
             cells = cells.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        cells = saved(cells, "rake-sweep")
+        cells = saved(cells.coalesce(tasks), "rake-sweep")
     return cells
 
 
