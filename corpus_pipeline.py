@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample at the target mixture of sources, languages and topics."""
-    return sampled(docs, keep_share=KEEP_SHARE)
+    return sampled(docs, keep_share=KEEP_SHARE, bounded=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

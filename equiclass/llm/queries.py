@@ -55,7 +55,7 @@ def op4_containment(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_raking(spark: SparkSession, d: str) -> DataFrame:
     """Every document's weight, inclusion probability and fate."""
-    return mixed(table(spark, d, "documents"), keep_share=KEEP_SHARE).select(
+    return mixed(table(spark, d, "documents"), keep_share=KEEP_SHARE, bounded=True).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"),
         F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"),
         F.col("mix_kept").alias("kept"))

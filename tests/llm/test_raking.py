@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from equiclass.llm import raking
 from equiclass.llm.queries import KEEP_SHARE, op5_raking
 from equiclass.llm.raking import ALPHA, SWEEPS, mixed, sampled, tokens_of
 from tests.llm.helpers import ROWS, documents, empty
@@ -105,3 +106,43 @@ def test_query_is_native_and_whole(spark, sf001):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     assert found.count() == spark.read.parquet(f"{sf001}/documents.parquet").count()
     assert 0 < KEEP_SHARE <= 1
+
+
+def _shares(rows, name, by):
+    sums = defaultdict(float)
+    for r in rows:
+        sums[r[name]] += r[by[0]] * r[by[1]]
+    return {k: v / sum(sums.values()) for k, v in sums.items()}
+
+
+@pytest.mark.parametrize("driver_cells", [50_000, 0])
+def test_bounded_probabilities_meet_feasible_targets(spark, monkeypatch, driver_cells):
+    monkeypatch.setattr(raking, "DRIVER_CELLS", driver_cells)
+    sizes = {("a", "en"): 400, ("a", "de"): 300, ("b", "en"): 200, ("b", "de"): 100}
+    rows = [(i, " ".join(["w"] * n), lang, s, 1) for i, ((s, lang), n) in enumerate(sizes.items())]
+    goals = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}}
+    found = mixed(documents(spark, rows), targets=goals, keep_share=0.58, bounded=True).collect()
+    assert any(r["mix_probability"] > 0.99 for r in found) and all(0 <= r["mix_probability"] <= 1 for r in found)
+    assert sum(r["mix_tokens"] * r["mix_probability"] for r in found) == pytest.approx(580, rel=1e-3)
+    for name, d in (("source", "source"), ("lang", "lang")):
+        reached = _shares(found, name, ("mix_tokens", "mix_probability"))
+        assert all(reached[k] == pytest.approx(v, abs=2e-4) for k, v in goals[d].items())
+
+
+def test_bounded_keeps_the_share_and_reports_scarce_values(spark, sf01, caplog):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    with caplog.at_level("WARNING"):
+        found = mixed(docs, keep_share=0.8, bounded=True).collect()
+    assert "contact" in caplog.text and "can't be met" in caplog.text
+    whole = sum(r["mix_tokens"] for r in found)
+    assert sum(r["mix_tokens"] * r["mix_probability"] for r in found) == pytest.approx(0.8 * whole, rel=1e-3)
+    for name in ("source", "lang", "mix_topic"):
+        own, kept = defaultdict(float), defaultdict(float)
+        for r in found:
+            own[r[name]] += r["mix_tokens"]
+            kept[r[name]] += r["mix_tokens"] * r["mix_probability"]
+        goal = {k: v ** ALPHA for k, v in own.items()}
+        scale = {k: kept[k] / goal[k] for k in own}
+        free = [k for k in own if kept[k] < own[k] * 0.999]
+        assert free and max(scale[k] for k in free) == pytest.approx(min(scale[k] for k in free), rel=0.02)
+        assert all(scale[k] <= 1.02 * scale[free[0]] for k in own)      # whole values have less than their target
