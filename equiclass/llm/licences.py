@@ -1,14 +1,16 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences; each sentence that speaks of licensing is normalised (comment
-marks, quotes, case, white space) and mapped to a known licence-sentence id by the first
-pattern of ``SENTENCES`` found in it, or to ``unknown`` if it only speaks of licences. The sequence of ids
+marks, quotes, case, white space) and mapped to the known licence-sentence ids whose patterns
+of ``SENTENCES`` are found in it (where they overlap, the first pattern's; in the order of the text), or to
+``unknown`` if it only speaks of licences. The sequence of ids
 is then matched from the left against the ordered ``RULES``: the first rule whose ids
 follow one another there, other licence sentences in between left aside up to ``GAP``,
 gives a licence and uses those sentences up.
 
 Sentences that hold none of ``HINTS`` are skipped; every pattern requires one of them.
-A sentence ends at a full stop, question or exclamation mark or semicolon before white space,
+A sentence ends at a full stop, question or exclamation mark or semicolon before white space
+(but not at the semicolon of "; either version 2 of the License" and "; version 2"),
 at a colon before a line end, at an empty line, and where the text ends; other line ends
 are spaces.
 
@@ -72,6 +74,34 @@ NAMES = (
     (r"(?:cc|creative commons)[- ](?:by|attribution)(?: |-)?(?P<cc_by>[1-4]\.0)", "CC-BY"),
 )
 
+# Notices of the GNU licences: short name, words before "general public license", version, identifier.
+_GNU = (
+    ("agpl", "affero ", "3", "AGPL-3.0"),
+    ("lgpl", "lesser ", "3", "LGPL-3.0"),
+    ("lgpl", "(?:lesser|library) ", "2.1", "LGPL-2.1"),
+    ("lgpl", "(?:lesser|library) ", "2", "LGPL-2.0"),
+    ("gpl", "", "3", "GPL-3.0"),
+    ("gpl", "", "2", "GPL-2.0"),
+)
+
+
+def _gnu() -> tuple[tuple[str, str, str], ...]:
+    """(sentence id, pattern, licence) of the notices, those of later versions first."""
+    found = []
+    for later in (True, False):
+        for short, words, version, licence in _GNU:
+            v = rf"version {version.replace('.', '[.]')}(?:\.0)?(?![.]?\d)(?: of the licen[sc]e)?"
+            kind, fsf = f"gnu {words}general public licen[sc]e", "as published by the free software foundation"
+            tail = r",? or (?:\(?at your option\)?,? )?any later version" if later else ""
+            pattern = (rf"(?:redistribute|copy|distribute|modify)[^.;:]{{0,60}} under the terms (?:and conditions )?of (?:{kind.replace('gnu', 'the gnu', 1)}"
+                       rf"(?:,? {fsf}[;,]?|,)? (?:either |only )?{v}{tail}|(?:the )?{v}{tail} of the {kind})")
+            found.append((f"{short}-redistribute-{version}-{'later' if later else 'only'}", pattern,
+                          f"{licence}-{'or-later' if later else 'only'}"))
+    return tuple(found)
+
+
+GNU = _gnu()
+
 # Licence sentences by id, in the order in which they are tried.
 SENTENCES = (
     ("spdx", r"spdx-license-identifier ?: ?(?P<spdx>[a-z0-9.+-]+)"),
@@ -93,8 +123,7 @@ SENTENCES = (
     ("apache-copy", r"you may obtain a copy of the licen[sc]e at"),
     ("apache-as-is", r"distributed under the licen[sc]e is distributed on an \"?as is\"? basis"),
     ("apache-limits", r"see the licen[sc]e for the specific language governing permissions and limitations"),
-    ("gpl-redistribute-3-later", r"redistribute it and/or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation, either version 3 of the licen[sc]e, or (?:\(at your option\) )?any later version"),
-    ("gpl-redistribute-2-later", r"redistribute it and/or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation, either version 2 of the licen[sc]e, or (?:\(at your option\) )?any later version"),
+    *((key, pattern) for key, pattern, _ in GNU),
     ("gpl-hope", r"in the hope that it will be useful, but without any warranty"),
     ("gpl-received", r"you should have received a copy of the gnu"),
     ("unlicense-grant", r"this is free and unencumbered software released into the public domain"),
@@ -102,7 +131,7 @@ SENTENCES = (
     ("cc0-waiver", r"to the extent possible under law, .{0,120} waived all copyright"),
     ("all-rights", r"all rights reserved"),
     ("mpl-header", r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. ?2\.0"),
-    ("grant", r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|use is governed) (?:to you )?(?:under|by)(?: the terms(?: and conditions)? of)?(?: either)?(?: the| an?)? ?(?P<name>@NAMES@)"),
+    ("grant", r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|use is governed) (?:to you )?(?:under|by)(?: the terms(?: and conditions)? of)?(?: either)?(?: of)?(?: the| an?)? ?(?P<name>@NAMES@)(?P<more>(?:@MORE@)*)"),
     ("name", r"(?:licen[sc]e ?: ?|licen[sc]e (?:is )?(?:the )?)(?P<name>@NAMES@)"),
     ("copyright", r"copyright (?:\(c\) |© )?(?:[12]\d{3})|(?:\(c\)|©) (?:copyright )?[12]\d{3}"),
 )
@@ -122,10 +151,7 @@ RULES = (
     (("zlib-as-is", "zlib-grant"), "Zlib"),
     (("grant:Apache-2.0", "apache-comply", "apache-copy", "apache-as-is", "apache-limits"), "Apache-2.0"),
     (("grant:Apache-2.0", "apache-comply", "apache-copy"), "Apache-2.0"),
-    (("gpl-redistribute-3-later", "gpl-hope", "gpl-received"), "GPL-3.0-or-later"),
-    (("gpl-redistribute-3-later",), "GPL-3.0-or-later"),
-    (("gpl-redistribute-2-later", "gpl-hope", "gpl-received"), "GPL-2.0-or-later"),
-    (("gpl-redistribute-2-later",), "GPL-2.0-or-later"),
+    *(rule for key, _, licence in GNU for rule in (((key, "gpl-hope", "gpl-received"), licence), ((key,), licence))),
     (("unlicense-grant",), "Unlicense"),
     (("mpl-header",), "MPL-2.0"),
     (("cc0-waiver",), "CC0-1.0"),
@@ -141,16 +167,23 @@ RULES = (
 SPDX = {s.lower(): s for s in (
     "MIT", "ISC", "Zlib", "Unlicense", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "BSD-2-Clause", "BSD-3-Clause",
     "BSD-4-Clause", "0BSD", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
-    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")}
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")}
 
+_NAMED = [(re.compile(p), name) for p, name in NAMES]
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|<!--|dnl\b|rem\b|%+|!+)[ \t]*|-->|\*/")
 _QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "`": "'"})
-_ENDS = re.compile(r"[.!?;]+(?=\s)|:(?=\s*\n)|\n[ \t]*\n")
+_ENDS = re.compile(r"[.!?]+(?=\s)|;+(?=\s)(?!\W{1,40}(?i:(?:either|only)\W{1,40})?(?i:version)\W{1,40}\d)|:(?=\s*\n)|\n[ \t]*\n")
+
+
+# Fixed value: a further licence of the same grant.
+MORE = (r"(?: licen[sc]e)?(?: \([^()]{0,80}\))?(?:,? (?:or|and|and/or)|,|/| /)(?: \(?at your option\)?,?)?(?: under)?"
+        r"(?: the terms of)?(?: the| an?)? ?(?:@NAMES@)")
 
 
 def _patterns() -> list[tuple[str, re.Pattern]]:
     unnamed = "|".join(re.sub(r"\(\?P<\w+>", "(?:", p) for p, _ in NAMES)
-    return [(key, re.compile(p.replace("@NAMES@", unnamed))) for key, p in SENTENCES]
+    more = MORE.replace("@NAMES@", unnamed)
+    return [(key, re.compile(p.replace("@MORE@", more).replace("@NAMES@", unnamed))) for key, p in SENTENCES]
 
 
 def _name(found: str) -> str:
@@ -166,18 +199,41 @@ def normalised(sentence: str) -> str:
     return " ".join(plain.split())
 
 
-def sentence_id(sentence: str, patterns) -> str | None:
-    """The id of a normalised sentence; None if it doesn't speak of licensing."""
+def _names(listed: str) -> Iterator[str]:
+    """Identifiers of the licences in a list of names, in its order."""
+    at = 0
+    while at < len(listed):
+        found = next((m for p, _ in _NAMED if (m := p.match(listed, at))), None)
+        if found and (at == 0 or not listed[at - 1].isalnum()):
+            yield _name(found[0])
+            at = found.end()
+        else:
+            at += 1
+
+
+def sentence_ids(sentence: str, patterns) -> list[str]:
+    """The ids of a normalised sentence; none if it doesn't speak of licensing."""
     if not any(h in sentence + "\n" for h in HINTS):
-        return None
+        return []
+    found = []
     for key, pattern in patterns:
-        if m := pattern.search(sentence):
-            if key in ("grant", "name"):
-                return f"{key}:{_name(m['name'])}"
-            if key == "spdx":
-                return f"spdx:{SPDX.get(m['spdx'].rstrip('.'), m['spdx'].rstrip('.'))}"
-            return key
-    return UNKNOWN if any(h in sentence for h in SPEAKS) else None
+        if key == "copyright" and found:      # tells no licence besides others
+            continue
+        for m in pattern.finditer(sentence):
+            if any(m.start() < b and a < m.end() for a, b, _ in found):
+                continue
+            if key == "grant":
+                ids = [f"grant:{name}" for name in (_name(m["name"]), *_names(m["more"]))]
+            elif key == "name":
+                ids = [f"name:{_name(m['name'])}"]
+            elif key == "spdx":
+                ids = [f"spdx:{SPDX.get(m['spdx'].rstrip('.'), m['spdx'].rstrip('.'))}"]
+            else:
+                ids = [key]
+            found.append((m.start(), m.end(), ids))
+    if found:
+        return list(dict.fromkeys(k for _, _, ids in sorted(found) for k in ids))
+    return [UNKNOWN] if any(h in sentence for h in SPEAKS) else []
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -230,7 +286,7 @@ def scan(text: str, patterns) -> tuple[list[tuple[int, int, str]], list[str]]:
         return [], []
     spans = []
     for a, b in sentences(text):
-        if key := sentence_id(normalised(text[a:b]), patterns):
+        for key in sentence_ids(normalised(text[a:b]), patterns):
             spans.append((a + len(text[a:b]) - len(text[a:b].lstrip()), b, key))
     return spans, matched([k for _, _, k in spans])
 

@@ -77,3 +77,50 @@ def test_query_on_the_whole_table(spark, sf001):
         assert want <= set(r["licences"])
         for a, b in zip(r["starts"], r["ends"], strict=True):
             assert docs[r["doc_id"]][a:b].strip()
+
+
+HOPE = """This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{1}General Public License for more details.
+
+You should have received a copy of the GNU {1}General Public License
+along with this {0}; if not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def _header(thing, kind, mark, version):
+    return (f"This {thing} is free software{':' if mark == ',' else ';'} you can redistribute it and/or modify\n"
+            f"it under the terms of the GNU {kind}General Public License as published by\n"
+            f"the Free Software Foundation{mark} {version}\n\n" + HOPE.format(thing, kind))
+
+
+def _later(v):
+    return f"either\nversion {v} of the License, or\n(at your option) any later version."
+
+
+@pytest.mark.parametrize("text,name", [
+    (_header("program", "", ";", _later("2")), "GPL-2.0-or-later"),
+    (_header("program", "", ",", _later("3")), "GPL-3.0-or-later"),
+    (_header("library", "Lesser ", ";", _later("2.1")), "LGPL-2.1-or-later"),
+    (_header("library", "Library ", ";", _later("2")), "LGPL-2.0-or-later"),
+    (_header("program", "Lesser ", ",", _later("3")), "LGPL-3.0-or-later"),
+    (_header("program", "Affero ", ",", _later("3")), "AGPL-3.0-or-later"),
+    (_header("program", "", ";", "version 2 of the License."), "GPL-2.0-only"),
+    (_header("library", "Lesser ", ";", "version 2.1 of the License."), "LGPL-2.1-only"),
+    (_header("program", "Affero ", ",", "version 3 of the License."), "AGPL-3.0-only"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General\n"
+     "Public License version 2 as published by the Free Software Foundation.", "GPL-2.0-only"),
+])
+def test_official_gnu_headers(text, name):
+    for t in (text, "/*\n * " + text.replace("\n", "\n * ") + "\n */", "# " + text.replace("\n", "\n# ")):
+        assert scan(t, _patterns())[1] == [name]
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Licensed under either the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("The code is released under the MIT License, the text is licensed under CC BY-SA 4.0.", ["MIT", "CC-BY-SA-4.0"]),
+])
+def test_every_licence_of_a_sentence(text, names):
+    assert scan(text, _patterns())[1] == names
