@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from equiclass.llm.bitplanes import read_tokens, write_tokens
 from equiclass.llm.common import saved, table, work_path
 from equiclass.llm.containment import without_leaks
-from equiclass.llm.neardup import without_near_duplicates
+from equiclass.llm.neardup import one_of_each_component
 from equiclass.llm.queries import KEEP_SHARE, tokenizer_file
 from equiclass.llm.raking import sampled
 from equiclass.llm.toxicity import without_toxic
@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return without_near_duplicates(docs)
+    return one_of_each_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,7 +322,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Classes of equal sets, each told by the node of one of its rows.
     classes = saved(signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "neardup-classes")
+        F.min("node").alias("node"), F.min("doc_id").alias("least_id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie", "node")).alias("first_row")),
+        "neardup-classes")
     nodes = saved(signed.join(classes.select("node").hint("merge"), "node", "left_semi").select(
         "node", "doc_id", "tie", "n_shingles", "sig", "bands"), "neardup-nodes")
 
@@ -389,23 +391,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # Components by their least id, then back to every row.
     owned = classes.join(label, "node", "left").select(
-        "digest", "least_id", F.coalesce("component", "node").alias("component"))
-    least = owned.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        "digest", "least_id", "first_row", F.coalesce("component", "node").alias("component"))
+    least = owned.groupBy("component").agg(F.min("least_id").alias("component_id"),
+                                           F.min("first_row").getField("node").alias("first_node"))
     owned = owned.join(least, "component").select(
-        "digest", "component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        "digest", "component", "component_id", "first_node", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     every = signed.select("doc_id", "tie", "node", "n_shingles", "digest",
                           F.pmod("node", F.lit(SALT)).cast("int").alias("salt"))
     found = every.join(owned, ["digest", "salt"], "left").withColumn(
         "component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return found.select("doc_id", "tie", "n_shingles", "component_id",
-                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                        (F.col("digest").isNull() | (F.col("node") == F.col("first_node"))).alias("first"))
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                             size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component.
+    """The rows of ``docs`` whose id is the least of their component.
 
-    Rows equal in id and text count as one and stay together.
+    Rows equal in id and text count as one and stay together; see ``one_of_each_component``.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, threshold=threshold)
     gone = saved(found.filter(~F.col("kept")).select(
@@ -413,3 +417,26 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     tie = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(gone["gone_id"])
                      & (tie == gone["gone_tie"]), "left_anti")
+
+
+def one_of_each_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                          size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each component, whatever ids repeat or are null; rows without words all stay.
+
+    Of rows equal in id and text, the one with the least hash of all columns (but maps) stays.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, threshold=threshold)
+    marks = found.filter("n_shingles > 0").groupBy("doc_id", "tie").agg(
+        F.max("first").alias("first"), F.count("*").alias("n")).filter("not first or n > 1")
+    marks = saved(marks.select(F.col("doc_id").alias("mark_id"), F.col("tie").alias("mark_tie"), "first"),
+                  "neardup-marks")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    tie = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    same = own_id.eqNullSafe(marks["mark_id"]) & (tie == marks["mark_tie"])
+    single, repeated = docs.join(marks, same, "left_anti"), marks.filter("first")
+    if repeated.isEmpty():
+        return single
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    several = docs.join(repeated, same, "left_semi").groupBy(own_id.alias("own_id"), tie.alias("own_tie")).agg(
+        F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*hashed)).alias("row"))
+    return single.unionByName(several.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))

@@ -6,8 +6,8 @@ import pytest
 
 from equiclass.llm import neardup
 from equiclass.llm.graph import components
-from equiclass.llm.neardup import (Signer, block_links, least_matches, near_duplicates, shape, surviving,
-                                   without_near_duplicates, words_of)
+from equiclass.llm.neardup import (Signer, block_links, least_matches, near_duplicates, one_of_each_component,
+                                   shape, surviving, without_near_duplicates, words_of)
 from equiclass.llm.queries import op10_bayes_neardup
 from tests.llm.helpers import ROWS, documents, empty, prose
 
@@ -135,3 +135,17 @@ def test_query_on_the_whole_table(spark, sf001):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text").collect()]
     got = op10_bayes_neardup(spark, sf001).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == _brute(rows, 3, 85)
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = prose(60, 31), prose(60, 32)
+    rows = [(1, a, "en", "a", 1)] * 3 + [(1, a + " more", "en", "a", 1), (2, a, "en", "a", 1)]   # repeated rows and ids
+    rows += [(None, b, "en", "a", 1)] * 4 + [(None, b + " more", "en", "a", 1)]                   # copies without any id
+    rows += [(7, prose(60, 33), "en", "a", 1), (8, "", "en", "a", 1), (8, "", "en", "a", 1), (9, None, "en", "a", 1)]
+    got = near_duplicates(documents(spark, rows)).collect()
+    assert Counter(r["component_id"] for r in got if r["first"] and r["n_shingles"]) == {1: 1, None: 1, 7: 1}
+    clean = one_of_each_component(documents(spark, rows))
+    assert clean.columns == documents(spark, rows).columns
+    ids = sorted((r["doc_id"] for r in clean.collect()), key=str)
+    assert ids == sorted([1, None, 7, 8, 8, 9], key=str)
+    assert one_of_each_component(empty(spark)).count() == 0
