@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SAMPLES = 16
+SAMPLES = 64
 RANGE_ROWS = 1_024
 MAX_RANGES = 65_536
 EMPTY = "empty"

@@ -85,3 +85,12 @@ def test_query_on_the_whole_table(spark, sf001):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     errors, _ = _check(found.collect(), rows)
     assert abs(sum(errors) / len(errors)) < 0.03 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.5 / SAMPLES ** 0.5
+
+
+def test_production_signature_length(spark, sf001):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text").collect()]
+    errors, prints = _check(op9_weighted_sampling(spark, sf001).collect(), rows)
+    assert max(map(len, prints.values())) >= 8 * 64
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.0625
+    # over 0.15 off: 1 % at similarity 0.5 with 64 samples, 21 % with 16
+    assert sum(abs(e) > 0.15 for e in errors) < 0.03 * len(errors)
