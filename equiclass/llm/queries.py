@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment
 from .bitplanes import read_tokens, write_tokens
 from .common import table, work_path
 from .containment import leaks
@@ -32,6 +33,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file() -> str:
+    """The second vocabulary's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_bitplane_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Every text's ids through the bit-plane store; from what was read back."""
     path = work_path(spark, "bitplane-tokens")
@@ -86,6 +94,10 @@ def op10_bayes_neardup(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_galloping_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment(table(spark, d, "documents"), tokenizer_file(), piece_file())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
     "op2_ppm_scores": op2_ppm_scores,
@@ -97,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_fields": op8_tree_fields,
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_bayes_neardup": op10_bayes_neardup,
+    "op11_galloping_alignment": op11_galloping_alignment,
 }
 
 ORACLE: dict[str, str] = {}
