@@ -20,8 +20,8 @@ tokens fall into groups; within a group the tokens whose byte ranges overlap are
 
 Null and empty texts, and texts whose tokens' bytes joined aren't the text's (by the second
 tokenizer's own normalisation), have no tokens: zeros and an empty digest. Special tokens'
-strings inside texts are plain text. Very long texts are aligned ``SLICE`` units at a time;
-what is kept of one are its distinct pairs. Repeated rows and ids are separate documents. An
+strings inside texts are plain text. Very long texts are aligned ``SLICE`` units at a time; a
+task holds one text's units and its distinct pairs. Repeated rows and ids are separate documents. An
 empty table gives an empty result. Only the id and the text are read.
 """
 
@@ -32,7 +32,6 @@ import os
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,10 @@ from .common import saved
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of units that a task remembers, as estimated by ``UNIT_BYTES`` and their contents.
-MEMORY = 48 << 20
+MEMORY = 96 << 20
 UNIT_BYTES = 350
+#: Texts whose new units are learnt together.
+TEXTS = 128
 #: Units of one text that are aligned at once.
 SLICE = 200_000
 #: Pairs (17 bytes each) whose counts are sent to the tasks.
@@ -112,8 +113,13 @@ class Vocabulary:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(rb"\S[ \n]|\n.", x, re.S) for i, x in enumerate(self.b_bytes) if not self.b.is_byte(i)):
             raise ValueError("a piece crosses the end of a unit")
+        self.space = self.b.piece_to_id("▁")
         self.a_len = np.array([*map(len, self.a_bytes)], dtype=np.int64)
         self.b_len = np.array([*map(len, self.b_bytes)], dtype=np.int64)
+        # Every id's decimal digits behind each mark: first of a unit, within a side, A to B, next group.
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.digits = np.array([mark + str(i) for mark in ("", ",", "|", ";") for i in range(most)], dtype=object)
+        self.widths = np.array([*map(len, self.digits)], dtype=np.int64)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -121,7 +127,7 @@ class Vocabulary:
 
 
 class Aligner:
-    """Aligned units, remembered; ``unit`` is (ids of A, ids of B, groups as text).
+    """Aligned units, remembered; a unit is (ids of A, ids of B, groups as text).
 
     The ids' highest bit marks the last token of a group. None: the bytes aren't the text's.
     """
@@ -131,58 +137,84 @@ class Aligner:
         self.known: dict[str, tuple[bytes, bytes, bytes] | None] = {}
         self.before: dict[str, tuple[bytes, bytes, bytes] | None] = {}
 
-    def _aligned(self, literal: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes] | None:
-        if not a or not b:
-            return None
-        one, two = self.v.a_bytes, self.v.b_bytes
-        if b"".join([one[i] for i in a]) != literal or b"".join([two[i] for i in b]) != literal:
-            return None
-        ends, at = ([], []), 0
-        for side, ids, octets in ((0, a, one), (1, b, two)):
-            at = 0
-            for i in ids:
-                at += len(octets[i])
-                ends[side].append(at)
-        if len(a) <= len(b):
-            common = gallop(ends[0], ends[1])
-        else:
-            common = [(i, j) for j, i in gallop(ends[1], ends[0])]
-        groups, i0, j0 = [], 0, 0
-        x, y = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
-        for i, j in common:
-            groups.append(f"{','.join(map(str, a[i0:i + 1]))}|{','.join(map(str, b[j0:j + 1]))}")
-            i0, j0 = i + 1, j + 1
-            x[i] |= LAST
-            y[j] |= LAST
-        return x.tobytes(), y.tobytes(), ";".join(groups).encode()
-
     def learn(self, keys: Iterable[str]) -> None:
+        """Align the units that aren't known: encoded, and their ends intersected, all in one."""
         new = []
         for key in keys:
             if key in self.before:
                 self._keep(key, self.before.pop(key))
             else:
                 new.append(key)
-        lines = [key[:1] == "\n" for key in new]
+        if not new:
+            return
         bare = [key.lstrip(SPACE) for key in new]
-        whole = [k if line else " " + k for k, line in zip(bare, lines, strict=True)]
-        a = self.v.a.encode_batch(whole, add_special_tokens=False)
-        b = self.v.b.encode(bare, num_threads=1)
-        for key, line, literal, one, two in zip(new, lines, whole, a, b, strict=True):
-            # The model puts a space before every text but the empty one; before a line end it is a piece
-            # of its own.
-            two = two or [self.v.b.piece_to_id("▁")]
-            space = line and two and self.v.b_bytes[two[0]] == b" "
-            self._keep(key, self._aligned(literal.encode(), one.ids, two[1:] if space else two))
+        whole = [key if key[:1] == "\n" else " " + k for key, k in zip(new, bare, strict=True)]
+        a = [x.ids for x in self.v.a.encode_batch_fast(whole, add_special_tokens=False)]
+        # The model puts a space before every text but the empty one; before a line end it is a
+        # piece of its own.
+        b = [x[1:] if key[:1] == "\n" else x or [self.v.space]
+             for key, x in zip(new, self.v.b.encode(bare, num_threads=1), strict=True)]
+        literal = [*map(str.encode, whole)]
+        if not self._same(literal, a, b):
+            good = [self._same([x], [y], [z]) for x, y, z in zip(literal, a, b, strict=True)]
+            for key, ok in zip(new, good, strict=True):
+                if not ok:
+                    self._keep(key, None)
+            new, a, b = ([x for x, ok in zip(side, good, strict=True) if ok] for side in (new, a, b))
+            if not new:
+                return
+        for key, unit in zip(new, self._aligned(a, b), strict=True):
+            self._keep(key, unit)
+
+    def _same(self, literal: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+        whole = b"".join(literal)
+        return (all(a) and all(b) and whole == b"".join([self.v.a_bytes[i] for x in a for i in x])
+                and whole == b"".join([self.v.b_bytes[i] for x in b for i in x]))
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """Units from their ids. Every unit's end is common, so one intersection serves all."""
+        sides, ends, starts = [], [], []
+        for ids, lengths in ((a, self.v.a_len), (b, self.v.b_len)):
+            flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
+            sides.append(flat)
+            ends.append(np.cumsum(lengths[flat]))
+            starts.append(np.r_[0, np.cumsum([*map(len, ids)])])
+        short, long = (0, 1) if len(ends[0]) <= len(ends[1]) else (1, 0)
+        common = np.array(gallop(ends[short].tolist(), ends[long].tolist()), dtype=np.int64)
+        last, first, group = [None, None], [None, None], [None, None]
+        for side, column in ((short, 0), (long, 1)):
+            n = len(sides[side])
+            last[side] = np.zeros(n, dtype=np.int64)
+            last[side][common[:, column]] = 1
+            first[side] = np.r_[1, last[side][:-1]]
+            group[side] = np.cumsum(last[side]) - last[side]
+        # The groups' text: A's ids of a group, then B's; a mark before each.
+        most, n = len(self.v.digits) // 4, len(common)
+        sizes = [np.bincount(g, minlength=n) for g in group]
+        at = [np.arange(len(group[0])) + (np.cumsum(sizes[1]) - sizes[1])[group[0]],
+              np.arange(len(group[1])) + np.cumsum(sizes[0])[group[1]]]
+        marked = np.zeros(len(group[0]) + len(group[1]), dtype=np.int64)
+        marks = np.where(first[0] == 1, 3, 1)
+        marks[starts[0][:-1]] = 0
+        marked[at[0]] = sides[0] + most * marks
+        marked[at[1]] = sides[1] + most * np.where(first[1] == 1, 2, 1)
+        text = "".join(self.v.digits[marked].tolist()).encode()
+        cuts = np.r_[0, np.cumsum(self.v.widths[marked])][(starts[0] + starts[1])].tolist()
+        x, y = ((sides[k] | (last[k] << 31)).astype(np.uint32).tobytes() for k in (0, 1))
+        p, q = ((4 * s).tolist() for s in starts)
+        for i in range(len(a)):
+            yield x[p[i]:p[i + 1]], y[q[i]:q[i + 1]], text[cuts[i]:cuts[i + 1]]
 
     def _keep(self, key: str, unit: tuple[bytes, bytes, bytes] | None) -> None:
         self.known[key] = unit
         self.held += UNIT_BYTES + len(key) + sum(map(len, unit or ()))
 
-    def units(self, keys: list[str]) -> list[tuple[bytes, bytes, bytes]] | None:
-        """The units of the keys; None if one can't be aligned."""
+    def forget(self) -> None:
         if 2 * self.held > self.memory:  # the older half goes
             self.before, self.known, self.held = self.known, {}, 0
+
+    def units(self, keys: list[str]) -> list[tuple[bytes, bytes, bytes]] | None:
+        """The units of the keys; None if one can't be aligned."""
         try:
             found = [*map(self.known.__getitem__, keys)]
         except KeyError:
@@ -211,14 +243,23 @@ class Aligner:
         at = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(width.sum())
         return len(a), len(b), n, (np.repeat(a, width) << 32) | b[at]
 
-    def document(self, text: str | None) -> tuple:
-        """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, their occurrences."""
+    def documents(self, texts: list[str | None]) -> list[tuple]:
+        """Each text's result; the units that they share are learnt once."""
+        self.forget()
+        keys = [units_of(text) if text else [] for text in texts]
+        self.learn({k for own in keys for k in own if k not in self.known})
+        return [*map(self.document, keys)]
+
+    def document(self, keys: list[str]) -> tuple:
+        """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs, their occurrences of a text's units."""
         none = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32))
-        if not text:
+        if not keys:
             return none
-        keys, digest, sums, pairs, times = iter(units_of(text)), hashlib.sha256(), [0, 0, 0, 0], [], []
-        while part := list(islice(keys, SLICE)):
-            units = self.units(part)
+        digest, sums, pairs, times = hashlib.sha256(), [0, 0, 0, 0], [], []
+        for at in range(0, len(keys), SLICE):
+            if at:
+                self.forget()
+            units = self.units(keys[at:at + SLICE])
             if units is None:
                 return none
             digest.update((b";" if pairs else b"") + b";".join([u[2] for u in units]))
@@ -248,9 +289,9 @@ def _aligned(byte_file: str, piece_file: str):
 
         aligner, node = Aligner(Vocabulary(byte_file, piece_file)), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [aligner.document(text.as_py()) for text in part.column(1)]
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                rows = aligner.documents(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(range(node, node + len(rows)), pa.int64()),
                      *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)),

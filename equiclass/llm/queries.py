@@ -15,6 +15,7 @@ from .cws import fingerprints
 from .interleave import interleave
 from .licences import licence_scan
 from .neardup import near_duplicates
+from .partenum import jaccard_components
 from .ppm import ppm_scores
 from .raking import mixed
 from .toxicity import toxicity_scores
@@ -98,6 +99,10 @@ def op11_galloping_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment(table(spark, d, "documents"), tokenizer_file(), piece_file())
 
 
+def op12_partenum_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_components(table(spark, d, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
     "op2_ppm_scores": op2_ppm_scores,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weighted_sampling": op9_weighted_sampling,
     "op10_bayes_neardup": op10_bayes_neardup,
     "op11_galloping_alignment": op11_galloping_alignment,
+    "op12_partenum_join": op12_partenum_join,
 }
 
 ORACLE: dict[str, str] = {}

@@ -33,10 +33,15 @@ def plain(v, text):
             at += len(octets[i])
         spans.append(own)
     common = {s[1] for s in spans[0]} & {s[1] for s in spans[1]}
-    groups, start = [], 0
-    for end in sorted(common):
-        groups.append([[i for s, e, i in side if s >= start and e <= end] for side in spans])
-        start = end
+    sides = []
+    for side in spans:
+        own = [[]]
+        for _, e, i in side:
+            own[-1].append(i)
+            if e in common:
+                own.append([])
+        sides.append(own[:-1])
+    groups = list(zip(*sides, strict=True))
     links, first = [], 0
     for s, e, i in spans[0]:
         while spans[1][first][1] <= s:
@@ -81,7 +86,7 @@ PARTS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", " ", "　", " ", "\x1c", "a",
 @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
 def test_units_give_what_whole_texts_give(vocabulary, text):
     a, b, groups, links = plain(vocabulary, text)
-    n_a, n_b, n_groups, n_links, sha, pairs, times = Aligner(vocabulary).document(text)
+    n_a, n_b, n_groups, n_links, sha, pairs, times = Aligner(vocabulary).documents([text])[0]
     assert (n_a, n_b, n_groups, n_links, sha) == (len(a), len(b), len(groups), len(links), digest(groups))
     assert dict(zip([(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs], times.tolist(), strict=True)) == Counter(links)
 
@@ -92,7 +97,7 @@ def test_small_memory_and_slices(vocabulary, monkeypatch):
     monkeypatch.setattr(module, "SLICE", 7)
     rng = random.Random(3)
     text = " ".join(rng.choice(["alpha", "Beta-2", "gamma\ndelta", "don't", "ßtraße"]) for _ in range(400))
-    got = Aligner(vocabulary, memory=1000).document(text)
+    got = Aligner(vocabulary, memory=1000).documents([text])[0]
     a, b, groups, links = plain(vocabulary, text)
     assert got[:5] == (len(a), len(b), len(groups), len(links), digest(groups))
     assert got[6].sum() == len(links) and len(got[5]) == len(set(links))
