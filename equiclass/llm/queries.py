@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .alignment import alignment
 from .bitplanes import read_tokens, write_tokens
+from .collocations import collocations, collocations_sql
 from .common import table, work_path
 from .containment import leaks
 from .cws import fingerprints
@@ -103,6 +104,10 @@ def op12_partenum_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(table(spark, d, "documents"), size=4, percent=85)
 
 
+def op13_automata_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bitplane_tokens": op1_bitplane_tokens,
     "op2_ppm_scores": op2_ppm_scores,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bayes_neardup": op10_bayes_neardup,
     "op11_galloping_alignment": op11_galloping_alignment,
     "op12_partenum_join": op12_partenum_join,
+    "op13_automata_collocations": op13_automata_collocations,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_automata_collocations": collocations_sql()}
