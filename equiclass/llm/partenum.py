@@ -210,7 +210,8 @@ def _with_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     hot = classes.filter(F.col("n") * HOT >= F.lit(total))
     few = F.broadcast(hot.limit(HOT))
     return rows.join(few, "digest").unionByName(
-        rows.join(few, "digest", "left_anti").join(classes.filter(F.col("n") * HOT < F.lit(total)), "digest"))
+        rows.join(few, "digest", "left_anti").join(
+            classes.filter(F.col("n") * HOT < F.lit(total)).hint("merge"), "digest"))
 
 
 def block_links(queries: list[tuple], members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
@@ -283,7 +284,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                    "partenum-shared")
     held = saved(entries.join(shared.hint("merge"), "cell").select("bucket", "node"), "partenum-held")
     # Copies of a class have the same signatures; its representative is a row of them.
-    held = held.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+    # Sides that grow with the documents are shuffled at every size.
+    held = held.join(classes.select(F.col("rep").alias("node")).hint("merge"), "node", "left_semi")
     least = held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("k")).filter(
         "k > 1").select("bucket", "pivot")
     members = saved(held.join(least.hint("merge"), "bucket"), "partenum-members")
@@ -295,7 +297,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     needed = saved(rows.filter("node = rep").join(members.select("node").distinct(), "node", "left_semi").select(
         "node", "doc_id", "tie", "n_shingles"), "partenum-needed")
     own = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["tie"] == needed["tie"])
-    near = saved(texts.join(needed, own).select("node", "text").dropDuplicates(["node"]), "partenum-texts")
+    near = saved(texts.join(needed.hint("merge"), own).select("node", "text").dropDuplicates(["node"]), "partenum-texts")
     links = saved(_attached(best, near, "text").mapInArrow(
         _verifier(size, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"),
         "partenum-links")
