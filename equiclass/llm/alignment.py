@@ -44,7 +44,7 @@ from .common import saved
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of units that a task remembers, as estimated by ``UNIT_BYTES`` and their contents.
-MEMORY = 96 << 20
+MEMORY = 256 << 20
 UNIT_BYTES = 350
 #: Texts whose new units are learnt together.
 TEXTS = 128
