@@ -102,12 +102,12 @@ def least_matches(values: int, threshold: float, miss: float = MISS, batch: int
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of words; up to 100,000 (about 14 MB) are remembered."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
