@@ -22,8 +22,10 @@ then the planes. Integers are little-endian.
 Shards are ranges of (doc_id, text hash) in ascending order, null ids first, so that the
 order of ids is the order of documents; one shard is what one task writes. Equal ids
 with different texts may fall into neighbouring shards; they are ordered by the hash.
-Null texts count as empty: they hold the end id alone. An empty table gives an empty
-store. Columns other than the id and the text are not read.
+Null texts count as empty: they hold the end id alone. A text that holds the string of a
+special token is encoded by the library as a whole, which gives it that token's id. A very
+long text goes slice by slice; its ids are held until the blocks they fill are written. An
+empty table gives an empty store. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +48,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"BPL1"
 KINDS = ("byte", "bit")
 BLOCK_IDS = 65_536
-#: Pieces of text whose ids a worker remembers.
-CACHE = 1_000_000
+#: Bytes of the pieces of text whose ids a task remembers, and what one takes beside its ids.
+CACHE = 48 << 20
+PIECE_BYTES = 170
 #: Pieces looked up at once.
 SLICE = 200_000
 # White space of the tokenizer's split pattern: the common two, and the others.
@@ -108,6 +111,7 @@ class PieceEncoder:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         ws = COMMON_WS + OTHER_WS
         self.runs = re.compile(f"[{ws}]*[^{ws}]+|[{ws}]+")
@@ -156,12 +160,16 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids; a very long text goes slice by slice."""
+        if any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         out, keys, get = [], iter(self.keys(text)), self.known.get
-        if len(self.known) > CACHE:
-            self.known.clear()
         while part := list(islice(keys, SLICE)):
             found = [*map(get, part)]
             if None in found:
+                if len(self.known) * PIECE_BYTES > CACHE:
+                    self.known.clear()
+                    found = [None] * len(part)
                 self.learn({k for k, v in zip(part, found, strict=True) if v is None})
                 found = [*map(get, part)]
             out.append(b"".join(found))
@@ -171,13 +179,7 @@ class PieceEncoder:
 def _encoder(tokenizer_path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
-    # One tokenizer and one memory of pieces per Python worker, kept from task to task.
-    kept = sys.modules.setdefault("_equiclass_encoders", type(sys)("_equiclass_encoders")).__dict__
-    if tokenizer_path not in kept:
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        kept[tokenizer_path] = PieceEncoder(tokenizer)
-    return kept[tokenizer_path]
+    return PieceEncoder(Tokenizer.from_file(tokenizer_path))
 
 
 def _writer(tokenizer_path: str, end_id: int, block_ids: int, kind: str, level: int):

@@ -15,9 +15,7 @@ from tests.llm.helpers import ROWS, documents, empty
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def _expected(tokenizer, rows):
@@ -41,6 +39,22 @@ def test_block_round_trip(kind, n):
         unpack_block(b"XXXX" + payload[4:], None)
 
 
+def test_a_small_memory_gives_the_same_ids(tokenizer, monkeypatch):
+    import equiclass.llm.bitplanes as module
+
+    monkeypatch.setattr(module, "CACHE", 2_000)
+    monkeypatch.setattr(module, "SLICE", 50)
+    encoder = PieceEncoder(tokenizer)
+    for _, text, *_ in ROWS:
+        ids = np.frombuffer(encoder.encode(text or ""), dtype="<u4").tolist()
+        assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_special_strings_are_what_the_library_makes_of_them(tokenizer):
+    ids = np.frombuffer(PieceEncoder(tokenizer).encode("a <|endoftext|> b"), dtype="<u4").tolist()
+    assert ids == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids and 50256 in ids
+
+
 def test_pieces_are_exact(tokenizer):
     encoder = PieceEncoder(tokenizer)
     texts = [r[1] or "" for r in ROWS] + [
