@@ -48,7 +48,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"BPL1"
 KINDS = ("byte", "bit")
 BLOCK_IDS = 65_536
-#: Bytes of the pieces of text whose ids a task remembers, and what one takes beside its ids.
+#: Bytes of the pieces of text whose ids a worker remembers, and what one takes beside its ids.
 CACHE = 48 << 20
 PIECE_BYTES = 170
 #: Pieces looked up at once.
@@ -179,7 +179,11 @@ class PieceEncoder:
 def _encoder(tokenizer_path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
 
-    return PieceEncoder(Tokenizer.from_file(tokenizer_path))
+    # One tokenizer and one memory of pieces (``CACHE``) per Python worker, kept from task to task.
+    kept = sys.modules.setdefault("_equiclass_encoders", type(sys)("_equiclass_encoders")).__dict__
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = PieceEncoder(Tokenizer.from_file(tokenizer_path))
+    return kept[tokenizer_path]
 
 
 def _writer(tokenizer_path: str, end_id: int, block_ids: int, kind: str, level: int):
