@@ -122,3 +122,32 @@ def interpolate(x: str | Column, y: str | Column,
     return let(_as_col(y), lambda yc: F.transform(
         _as_col(x), lambda v, i: v + gap(i) * (F.element_at(yc, i + 1) - v)
     ))
+
+
+def sparse_interpolate(x: tuple[str | Column, str | Column], y: tuple[str | Column, str | Column],
+                       gap: Callable[[Column], Column]) -> Column:
+    """x + gap(index) * (y - x) of two sparse vectors, as array<struct<i int, v double>>.
+
+    Each is (ascending distinct indices, values). The result holds every index of either, in
+    order, and is never made dense: the entries of both are sorted together and neighbours with
+    the same index merged; an index that only one has is zero in the other. Null if either
+    is null; ``gap`` is asked per index, so it can be the same for a dense twin.
+    """
+
+    def entries(sparse: tuple[str | Column, str | Column], side: int) -> Column:
+        return F.zip_with(_as_col(sparse[0]), _as_col(sparse[1]), lambda i, v: F.struct(
+            i.cast("int").alias("i"), F.lit(side).alias("side"), v.cast("double").alias("v")))
+
+    def merged(both: Column) -> Column:
+        def entry(e: Column, k: Column) -> Column:
+            after = F.get(both, k + 1)
+            second = F.when(after["i"] == e["i"], after["v"]).otherwise(F.lit(0.0))
+            one = F.when(e["side"] == 0, e["v"]).otherwise(F.lit(0.0))
+            two = F.when(e["side"] == 0, F.coalesce(second, F.lit(0.0))).otherwise(e["v"])
+            return F.struct(e["i"].alias("i"), (one + gap(e["i"]) * (two - one)).alias("v"),
+                            ((k == 0) | (F.get(both, k - 1)["i"] != e["i"])).alias("first"))
+
+        return F.transform(F.filter(F.transform(both, entry), lambda e: e["first"]),
+                           lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v")))
+
+    return let(F.array_sort(F.concat(entries(x, 0), entries(y, 1))), merged)

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import sql_hash_hex, sql_uniform01
 from ..functions.vectors import (common_indices, cosine_similarity, dot, euclidean_distance,
-                                 l2_norm, nonzero_indices, union_indices)
+                                 l2_norm, nonzero_indices, sparse_interpolate, union_indices)
 from ..operators.classes import class_rows
 from ..operators.encode import nominal_index
 from ..operators.neighbors import nearest_neighbors
 from ..operators.oversample import oversample
 from ..operators.profile import (class_counts, class_profile, code_counts, compare_profiles,
                                  feature_stats)
+from ..operators.pruned import pruned_neighbors
 from ..operators.resample import resample_uniform
 from ..operators.sample import sample_bernoulli, sample_exact, sample_with_replacement
 from ..operators.smote import smote, smote_percent
 from ..operators.undersample import undersample_pair, undersample_spread
 from ..sources.readers import format_labeled_vectors, parse_labeled_vectors
+from ..sources.textrows import csv_line, parse_csv, stored_lines
 from . import oracle
 from .workflows import resampling_report
 
@@ -261,6 +263,11 @@ def q_knn_cosine_tiled(spark, d):
     return nearest_neighbors(e, e, "label", "vec_id", "v", 5, "cosine", tile=16)
 
 
+def q_knn_cosine_pruned(spark, d):
+    e = _vectors(spark, d)
+    return pruned_neighbors(e, e, "label", "vec_id", "v", 5, "cosine", tile=64)
+
+
 def q_nominal_index_distributed(spark, d):
     return nominal_index(table(spark, d, "part"), "p_size", max_local=0)
 
@@ -269,6 +276,59 @@ def q_class_rows_german(spark, d):
     return class_rows(table(spark, d, "documents"), "lang", "de")
 
 
+def q_text_lines(spark, d):
+    """Non-blank lines of every stored text, with their positions."""
+    return stored_lines(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def q_csv_strings_customer(spark, d):
+    """Headerless lines, all strings, class = last column: rows per class."""
+    lines = table(spark, d, "customer").select(csv_line(*CUSTOMER).alias("value"))
+    rows, cls = parse_csv(lines, len(CUSTOMER))
+    return class_counts(rows, cls)
+
+
+def q_csv_typed_orders(spark, d):
+    """Typed lines; every order of a customer whose key ends in 7 has a price that is no number."""
+    price = F.when(F.col("o_custkey") % 10 == 7, F.lit("n/a, unknown")).otherwise(F.col("o_totalprice").cast("string"))
+    lines = table(spark, d, "orders").withColumn("o_totalprice", price).select(
+        "o_orderkey", csv_line("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority").alias("value"))
+    rows, _ = parse_csv(lines, "key bigint, customer int, price double, priority string",
+                        keep=["o_orderkey"], corrupt_col="bad")
+    return rows.select("o_orderkey", "key", "customer", "price", "priority", F.col("bad").isNotNull().alias("is_bad"))
+
+
+def q_csv_header_customer(spark, d):
+    """One file per nation, each with its header line; class = last column."""
+    customer = table(spark, d, "customer")
+    head = customer.select("c_nationkey").distinct().select(
+        "c_nationkey", F.lit(0).alias("position"), F.lit(",".join(CUSTOMER)).alias("value"))
+    lines = head.unionByName(customer.select(
+        "c_nationkey", F.lit(1).alias("position"), csv_line(*CUSTOMER).alias("value")))
+    schema = "c_custkey bigint, c_name string, nation int, c_acctbal double, c_mktsegment string"
+    rows, _ = parse_csv(lines, schema, header=True, position_col="position", keep=["c_nationkey"])
+    return rows
+
+
+def q_csv_repeated_supplier(spark, d):
+    """An input given three times is read three times: rows per class."""
+    lines = table(spark, d, "supplier").select(csv_line("s_suppkey", "s_name", "s_nationkey").alias("value"))
+    rows, cls = parse_csv(lines.unionAll(lines).unionAll(lines), "s_suppkey bigint, s_name string, s_nationkey int")
+    return class_counts(rows, cls)
+
+
+def q_sparse_interpolation(spark, d):
+    """Positive entries of every vector, a quarter of the way to the next id's; long form."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.expr(
+        "filter(transform(embedding, (v, i) -> struct(i, cast(v as double) as v)), e -> e.v > 0)").alias("own"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("next"))
+    pairs = rows.join(after, "vec_id")
+    found = sparse_interpolate((F.col("own.i"), F.col("own.v")), (F.col("next.i"), F.col("next.v")),
+                               lambda i: F.lit(0.25))
+    return pairs.select("vec_id", F.explode(found).alias("e")).select(
+        "vec_id", F.col("e.i").alias("dim"), F.col("e.v").alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_counts_lang": q_class_counts_lang,
     "class_profile_quality": q_class_profile_quality,
@@ -311,6 +371,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_cosine_tiled": q_knn_cosine_tiled,
     "nominal_index_distributed": q_nominal_index_distributed,
     "class_rows_german": q_class_rows_german,
+    "knn_cosine_pruned": q_knn_cosine_pruned,
+    "text_lines": q_text_lines,
+    "csv_strings_customer": q_csv_strings_customer,
+    "csv_typed_orders": q_csv_typed_orders,
+    "csv_header_customer": q_csv_header_customer,
+    "csv_repeated_supplier": q_csv_repeated_supplier,
+    "sparse_interpolation": q_sparse_interpolation,
     "smote_embeddings_euclidean": q_smote_embeddings_euclidean,
 }
 
@@ -537,3 +604,31 @@ ORACLE |= {name: ORACLE[name.rsplit("_", 1)[0]] for name in (
     "sample_replace_lang_bucketed", "resample_uniform_quality_bucketed", "knn_cosine_tiled")}
 ORACLE["nominal_index_distributed"] = ORACLE["nominal_index_psize"]
 ORACLE["class_rows_german"] = "SELECT * FROM documents WHERE lang = 'de'"
+ORACLE |= {
+    "knn_cosine_pruned": ORACLE["knn_cosine"],
+    "text_lines": """
+SELECT doc_id, CAST(i AS INTEGER) AS line_no, lines[i] AS value
+FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+  SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines
+  FROM documents WHERE text IS NOT NULL) q) r
+WHERE trim(lines[i], ' ') <> ''""",
+    "csv_strings_customer": """
+SELECT c_mktsegment AS _c4, count(*) AS n FROM customer GROUP BY c_mktsegment""",
+    "csv_typed_orders": """
+SELECT o_orderkey, o_orderkey AS key, CAST(o_custkey AS INTEGER) AS customer,
+       CASE WHEN o_custkey % 10 = 7 THEN NULL ELSE o_totalprice END AS price,
+       o_orderpriority AS priority, o_custkey % 10 = 7 AS is_bad FROM orders""",
+    "csv_header_customer": """
+SELECT c_nationkey, c_custkey, c_name, c_nationkey AS nation, c_acctbal, c_mktsegment FROM customer""",
+    "csv_repeated_supplier": "SELECT s_nationkey, 3 * count(*) AS n FROM supplier GROUP BY s_nationkey",
+    "sparse_interpolation": """
+WITH s AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v
+           FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings) q
+           WHERE embedding[i + 1] > 0),
+p AS (SELECT a.vec_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+x AS (SELECT s.* FROM s JOIN p USING (vec_id)),
+y AS (SELECT p.vec_id, s.i, s.v FROM p JOIN s ON s.vec_id = p.vec_id + 1)
+SELECT coalesce(x.vec_id, y.vec_id) AS vec_id, CAST(coalesce(x.i, y.i) AS INTEGER) AS dim,
+       coalesce(x.v, 0::DOUBLE) + 0.25::DOUBLE * (coalesce(y.v, 0::DOUBLE) - coalesce(x.v, 0::DOUBLE)) AS value
+FROM x FULL OUTER JOIN y ON x.vec_id = y.vec_id AND x.i = y.i""",
+}
