@@ -15,7 +15,9 @@ few hundred and fitted on the driver in some seconds, whatever the size of the t
 Parsing follows HTML's habits: void elements, elements that end where their parent or the next
 of their kind begins, unmatched end tags, comments, raw text of scripts and styles,
 unquoted attributes, and pages cut off anywhere. Character references are decoded once.
-What a browser doesn't show (head, script, style, template, ...) and form controls are no text at all.
+What a browser doesn't show (head, script, style, template, ...) and form controls are no text at all;
+like formulas, whose text is content, they don't end the block around them. Quotes in a tag count only
+where a value begins.
 Inside a block white space becomes one space and is trimmed; a line break counts as white
 space. Blocks are joined in page order by an empty line.
 
@@ -48,8 +50,14 @@ STEPS = 500
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes title textarea select option"
-                   " button svg math object canvas audio video datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark"
+                   " button svg object canvas audio video datalist annotation annotation-xml".split())
+# Elements inside a line of text whose own text isn't shown there.
+EMBEDDED = frozenset("script style template noscript iframe noembed noframes svg object canvas audio video datalist"
+                     " annotation annotation-xml".split())
+FORMULA = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts"
+                    " mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover"
+                    " semantics".split())
+INLINE = EMBEDDED | FORMULA | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark"
                    " meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
                    " button select textarea".split())
 # An element of the first kind ends an open one of the second, within the boundary.
@@ -83,9 +91,10 @@ LEXICON = {
 WORD_OF = {w: kind for kind, words in LEXICON.items() for w in words.split()}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(\Z))"
+                    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)|\Z)|[^>=])*+)(?:>|(\Z))"
                     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|(\Z))", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|data-y)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPEAKING = frozenset("class id role aria-label".split())
 _WORDS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 
 
@@ -125,11 +134,15 @@ def parse(source: str) -> Page:
 
     def close(at: int) -> None:
         nonlocal unseen, links
-        if any(page.tag[n] not in INLINE for n in stack[at:]):
-            flush()
         for n in stack[at:]:
             unseen -= page.tag[n] in UNSEEN
             links -= page.tag[n] == "a"
+        inside = unseen
+        for n in stack[at:]:
+            if page.tag[n] not in INLINE and not inside:
+                flush()
+                break
+            inside += page.tag[n] in UNSEEN
         del stack[at:]
 
     def open_index(tags, boundary) -> int | None:
@@ -164,14 +177,15 @@ def parse(source: str) -> Page:
                     run.append(" ")
                 continue
             boundary = {"table", "td", "th"} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else ()
-            if tag in INLINE:
+            if tag in INLINE and tag not in EMBEDDED:
                 boundary = CLOSES_P - {"p"} | {"td", "th", "li"}
             i = open_index({tag}, boundary)
             if i is not None:
                 # Inline elements left open inside stay open for what follows only in a browser's look.
                 close(i)
             continue
-        if tag in CLOSES_P and (i := open_index({"p"}, {"table", "td", "th", "button", "article", "section", "div"})) is not None:
+        if tag in CLOSES_P and (i := open_index({"p"}, {"table", "td", "th", "button", "article", "section", "div",
+                                                                "template", "object", "svg", "math"})) is not None:
             close(i)
         if tag in ENDED_BY and (i := open_index(*ENDED_BY[tag])) is not None:
             close(i)
@@ -180,13 +194,13 @@ def parse(source: str) -> Page:
         if tag == "br":
             run.append(" ")
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not unseen:
                 flush()
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and not unseen:
             flush()
         node = page.add(tag, stack[-1], rest or "")
-        if rest and rest.endswith("/") and tag in ("svg", "path", "use"):
+        if rest and rest.endswith("/") and (tag in ("svg", "math") or any(page.tag[n] in ("svg", "math") for n in stack)):
             continue
         if tag in RAW:
             over = re.compile(f"</{tag}\\s*(?:>|\\Z)", re.I).search(source, at)
@@ -209,7 +223,7 @@ def _kinds(attributes: str) -> list[str]:
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         if name.lower() == "hidden":
             out.add("hidden")
-        elif name.lower() != "data-y":
+        elif name.lower() in _SPEAKING:
             out |= {WORD_OF[w] for w in map(str.lower, _WORDS.findall(next((v for v in values if v), "")))
                     if w in WORD_OF}
     return sorted(out)

@@ -98,3 +98,32 @@ def test_query_on_the_whole_table(spark, sf001):
         ad = pages[r["page_id"]].split('<div class="ad">')[1].split("</div>")[0] if "<article>" in pages[r["page_id"]] else ""
         assert not r["text"].startswith(ad) or not ad
         assert bool(r["text"]) == ("<article>" in pages[r["page_id"]])
+
+
+@pytest.mark.parametrize("inner,want", [
+    ("<svg viewBox='0 0 1 1'><g><path d='M0'/><circle r=1 /><text>no</text></g></svg>", "Hello world of words."),
+    ("<svg/>", "Hello world of words."), ("<script>let a = '<p>';</script>", "Hello world of words."),
+    ("<style>p > b {}</style>", "Hello world of words."), ("<template><div>no<hr></div></template>", "Hello world of words."),
+    ("<svg><foreignObject><div>no</div></foreignObject></svg>", "Hello world of words."),
+    ("<math><mi>x</mi><mo>=</mo><mfrac><mn>2</mn><mn>3</mn></mfrac></math>", "Hello x=23 world of words."),
+    ("<math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math>", "Hello x world of words."),
+    ("<b title=it's>bold</b>", "Hello bold world of words."), ("<b title = \"a > b\" lang='e>n'>bold</b>", "Hello bold world of words."),
+    ("<b data-x=a\"b=c' y=>bold</b>", "Hello bold world of words."),
+])
+def test_what_is_inside_a_line_does_not_end_it(model, inner, want):
+    page = f"{TOP}<article><h1>Heading</h1><p class=it's>Hello {inner} world of words.</p><p>{prose(30, 3)}.</p></article>"
+    assert extract(page, model) == ["Heading", want, prose(30, 3) + "."]
+
+
+def test_names_inside_values_are_no_attributes():
+    from equiclass.llm.treefields import _kinds
+
+    assert _kinds(' title="class=menu id=ads" data-id="footer" aria-hidden="true" data-class=sidebar') == []
+    assert _kinds(' CLASS = "Menu" id=it\'s-ads role=\'form\' hidden') == ["advert", "form", "hidden", "menu"]
+    assert _kinds(" =x class=footer/") == ["bottom"]
+
+
+def test_tags_that_never_end_take_no_exponential_time():
+    page = parse("<p " + "a=bc'd " * 20000 + "=\"")
+    assert not page.text
+    assert parse("<p>x</p><p " + "a='b " * 2000)
