@@ -10,10 +10,14 @@ gives a licence and uses those sentences up.
 
 Sentences that hold none of ``HINTS`` are skipped; every pattern requires one of them.
 A sentence ends at a full stop, question or exclamation mark or semicolon before white space
-(but not at the semicolon of "; either version 2 of the License" and "; version 2"),
+(but not at the semicolon of "; either version 2 of the License" and "; version 2", nor after the "v." of "v. 2.0"
+and the initial of a name),
 at a colon before a line end, at an empty line, and where the text ends; other line ends
 are spaces.
 
+A grant that is denied ("is not licensed under") has the id ``denied`` and gives no licence. An SPDX
+expression gives an id for each of its licences, with its exception if it has one.
+
 Null and empty texts have no sentences and no licences. Repeated rows and ids are scanned
 one by one; an empty table gives an empty result. Only the id and text are read. Every text
 is scanned whole, by itself, in one pass without a shuffle.
@@ -34,6 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GAP = 2
 UNKNOWN = "unknown"
+DENIED = "denied"
 
 # A sentence that holds none of these can't match anything below.
 HINTS = ("licen", "copyright", "permission", "redistribut", "warrant", "domain", "spdx", "reserved", "commons",
@@ -56,7 +61,7 @@ NAMES = (
     (r"(?:gnu general public licen[sc]e|gnu gpl|gpl),? ?(?:version|v\.?)? ?2(?:\.0)?", "GPL-2.0-only"),
     (r"apache licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?|apache[- ]2(?:\.0)?(?: licen[sc]e)?", "Apache-2.0"),
     (r"mozilla public licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?|mpl[- ]2(?:\.0)?", "MPL-2.0"),
-    (r"eclipse public licen[sc]e,? ?(?:-|version|v\.?)? ?2(?:\.0)?|epl[- ]2(?:\.0)?", "EPL-2.0"),
+    (r"eclipse public licen[sc]e,? ?(?:- ?)?(?:version|v\.?)? ?2(?:\.0)?|epl[- ]2(?:\.0)?", "EPL-2.0"),
     (r"boost software licen[sc]e", "BSL-1.0"),
     (r"mit licen[sc]e|mit/expat licen[sc]e|expat licen[sc]e", "MIT"),
     (r"isc licen[sc]e", "ISC"),
@@ -104,11 +109,16 @@ GNU = _gnu()
 
 # Licence sentences by id, in the order in which they are tried.
 SENTENCES = (
-    ("spdx", r"spdx-license-identifier ?: ?(?P<spdx>[a-z0-9.+-]+)"),
+    ("spdx", r"spdx-license-identifier ?: ?(?P<spdx>[( ]*[a-z0-9.:+-]+(?:[) ]* (?:or|and|with) [( ]*(?:@SPDX@)(?![a-z0-9+-]))*)"),
+    ("wtfpl", r"do what the fuck you want to public licen[sc]e"),
+    ("boost-grant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("boost-notice", r"the copyright notices in the software and this entire statement"),
+    ("mit-0-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.{0,600} furnished to do so\.?$"),
     ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies"),
     ("mit-as-is", r"the software is provided \"?as is\"?,? without warranty of any kind"),
     ("mit-liable", r"in no event shall the authors or copyright holders be liable"),
+    ("0bsd-grant", r"permission to use, copy, modify,? and/?(?: ?or)? distribute this software for any purpose with or without fee is hereby granted\.?$"),
     ("isc-grant", r"permission to use, copy, modify,? and/?(?: ?or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("isc-as-is", r"the software is provided \"?as is\"? and the author disclaims all warranties"),
     ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
@@ -117,7 +127,7 @@ SENTENCES = (
     ("bsd-endorse", r"may be used to endorse or promote products derived from this software"),
     ("bsd-advert", r"all advertising materials mentioning features or use of this software must display"),
     ("bsd-as-is", r"this software is provided by .{0,80}\"?as is\"? and any express or implied warranties"),
-    ("zlib-as-is", r"this software is provided \"?as[- ]is\"?,? without any express or implied warranty"),
+    ("zlib-as-is", r"this software is provided [\"']?as[- ]is[\"']?,? without any express or implied warranty"),
     ("zlib-grant", r"permission is granted to anyone to use this software for any purpose"),
     ("apache-comply", r"you may not use this file except in compliance with the licen[sc]e"),
     ("apache-copy", r"you may obtain a copy of the licen[sc]e at"),
@@ -146,8 +156,16 @@ RULES = (
     (("mit-grant", "mit-notice", "mit-as-is", "mit-liable"), "MIT"),
     (("mit-grant", "mit-notice", "mit-as-is"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
+    (("mit-0-grant", "mit-as-is", "mit-liable"), "MIT-0"),
+    (("mit-0-grant", "mit-as-is"), "MIT-0"),
+    (("boost-grant", "boost-notice", "mit-as-is"), "BSL-1.0"),
+    (("boost-grant", "boost-notice"), "BSL-1.0"),
+    (("wtfpl", "wtfpl"), "WTFPL"),
+    (("wtfpl",), "WTFPL"),
+    (("0bsd-grant", "isc-as-is"), "0BSD"),
+    (("0bsd-grant", "mit-as-is"), "0BSD"),
     (("isc-grant", "isc-as-is"), "ISC"),
-    (("isc-grant", "mit-as-is"), "0BSD"),
+    (("isc-grant", "mit-as-is"), "ISC"),
     (("zlib-as-is", "zlib-grant"), "Zlib"),
     (("grant:Apache-2.0", "apache-comply", "apache-copy", "apache-as-is", "apache-limits"), "Apache-2.0"),
     (("grant:Apache-2.0", "apache-comply", "apache-copy"), "Apache-2.0"),
@@ -167,12 +185,20 @@ RULES = (
 SPDX = {s.lower(): s for s in (
     "MIT", "ISC", "Zlib", "Unlicense", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "BSD-2-Clause", "BSD-3-Clause",
     "BSD-4-Clause", "0BSD", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
-    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")}
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "MIT-0", "WTFPL", "EPL-1.0", "EUPL-1.2", "CDDL-1.0", "Artistic-2.0", "PostgreSQL", "OFL-1.1", "Python-2.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+    "Classpath-exception-2.0", "LLVM-exception", "GCC-exception-3.1", "Linux-syscall-note", "Bison-exception-2.2")}
+# The deprecated identifiers of the GNU licences.
+SPDX |= {f"{kind}-{v}{mark}".lower(): f"{kind}-{v}-{now}" for kind, v in (
+    ("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))
+    for mark, now in (("", "only"), ("+", "or-later"))}
 
 _NAMED = [(re.compile(p), name) for p, name in NAMES]
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|<!--|dnl\b|rem\b|%+|!+)[ \t]*|-->|\*/")
 _QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "`": "'"})
-_ENDS = re.compile(r"[.!?]+(?=\s)|;+(?=\s)(?!\W{1,40}(?i:(?:either|only)\W{1,40})?(?i:version)\W{1,40}\d)|:(?=\s*\n)|\n[ \t]*\n")
+_DENIES = re.compile(r"(?:\b(?:not|never|nor|cannot|no longer)|n't)(?! only\b)(?: (?!only\b)\w+){0,2} ?\Z")
+_ENDS = re.compile(r"[.!?]+(?=\s)(?!(?<=\b[vV]\.)\W{1,40}\d|(?<=\b[A-Z]\.)\W{1,40}[A-Z])|;+(?=\s)(?!\W{1,40}(?i:(?:either|only)\W{1,40})?(?i:version)\W{1,40}\d)|:(?=\s*\n)|\n[ \t]*\n")
 
 
 # Fixed value: a further licence of the same grant.
@@ -183,7 +209,9 @@ MORE = (r"(?: licen[sc]e)?(?: \([^()]{0,80}\))?(?:,? (?:or|and|and/or)|,|/| /)(?
 def _patterns() -> list[tuple[str, re.Pattern]]:
     unnamed = "|".join(re.sub(r"\(\?P<\w+>", "(?:", p) for p, _ in NAMES)
     more = MORE.replace("@NAMES@", unnamed)
-    return [(key, re.compile(p.replace("@MORE@", more).replace("@NAMES@", unnamed))) for key, p in SENTENCES]
+    spdx = "|".join([*(re.escape(k) for k in sorted(SPDX, key=len, reverse=True)), r"[a-z.+-]*\d[a-z0-9.+-]*",
+                     r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"])
+    return [(key, re.compile(p.replace("@SPDX@", spdx).replace("@MORE@", more).replace("@NAMES@", unnamed))) for key, p in SENTENCES]
 
 
 def _name(found: str) -> str:
@@ -211,6 +239,23 @@ def _names(listed: str) -> Iterator[str]:
             at += 1
 
 
+def _expression(found: str) -> list[str]:
+    """The licences of an SPDX expression in lower case, each with its exception."""
+    names: list[str] = []
+    joined = ""
+    for word in found.replace("(", " ").replace(")", " ").split():
+        if word in ("or", "and", "with") and names:
+            joined = word
+            continue
+        name = SPDX.get(word.rstrip("."), word.rstrip("."))
+        if joined == "with":
+            names[-1] += f" WITH {name}"
+        else:
+            names.append(name)
+        joined = ""
+    return names
+
+
 def sentence_ids(sentence: str, patterns) -> list[str]:
     """The ids of a normalised sentence; none if it doesn't speak of licensing."""
     if not any(h in sentence + "\n" for h in HINTS):
@@ -222,12 +267,14 @@ def sentence_ids(sentence: str, patterns) -> list[str]:
         for m in pattern.finditer(sentence):
             if any(m.start() < b and a < m.end() for a, b, _ in found):
                 continue
-            if key == "grant":
+            if key == "grant" and _DENIES.search(sentence, 0, m.start()):
+                ids = [DENIED]
+            elif key == "grant":
                 ids = [f"grant:{name}" for name in (_name(m["name"]), *_names(m["more"]))]
             elif key == "name":
                 ids = [f"name:{_name(m['name'])}"]
             elif key == "spdx":
-                ids = [f"spdx:{SPDX.get(m['spdx'].rstrip('.'), m['spdx'].rstrip('.'))}"]
+                ids = [f"spdx:{name}" for name in _expression(m["spdx"])]
             else:
                 ids = [key]
             found.append((m.start(), m.end(), ids))
