@@ -207,8 +207,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     chosen = telling(table, rows, selected)
     ratios = log_ratios(table[:, chosen], rows)
     share = spark.sparkContext.broadcast
-    fitted = (fit_rows.mapInArrow(_feature_rows(share(chosen)), "turn long, toxic int, present array<int>")
-              .coalesce(1).mapInArrow(_fit(share(ratios)), "bias double, weights binary").collect()[0])
+    # Features are built in FIT_TASKS tasks; one task reads their numbers.
+    features = saved(fit_rows.mapInArrow(_feature_rows(share(chosen)), "turn long, toxic int, present array<int>"),
+                     "toxicity-features")
+    fitted = (features.coalesce(1).mapInArrow(_fit(share(ratios)), "bias double, weights binary").collect()[0])
     weights[chosen] = np.frombuffer(fitted["weights"])
     return weights, fitted["bias"] + float(np.log(rates[0]) - np.log(rates[1]))
 
