@@ -15,9 +15,11 @@ missed with at most (1 - that)**c. ``extra`` is the least number that keeps this
 
 Candidates are verified exactly: their shingles are compared as strings.
 
-Words are runs of letters and digits, lower-cased; shingles take ``WORDS`` of them. A text
-with fewer words is one shingle, the whole sequence; one without words has none and matches
-nothing. Null texts count as empty. Repeated items are matched one by one; rows repeated in
+Words are runs of letters and digits, lower-cased; shingles take ``WORDS`` of them. An item
+with fewer words is one shingle, its whole sequence, and is found where a document has those
+words next to one another: its hash is looked up among the document's windows of that many
+words (only lengths that some item has are looked up), the words themselves are compared. A
+text without words has no shingles and matches nothing. Null texts count as empty. Repeated items are matched one by one; rows repeated in
 every column are too. An empty table gives an empty result. Only the ids and texts are read.
 
 Scale. All work on a document's shingles happens within its row, up to the explode of its
@@ -110,6 +112,10 @@ def _matches(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: st
     tests = items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_col}`").alias("item_id"),
                          F.col(f"`{item_text_col}`").cast("string").alias("text"))
     tests = saved(tests, "leak-items")
+    n_words = F.size(words(F.col("text")))
+    short = tests.filter((n_words > 0) & (n_words < size))
+    lengths = sorted(r[0] for r in short.select(n_words).distinct().collect())    # fewer than ``size`` numbers
+    tests = tests.filter(n_words >= size)
     exact = saved(string_shingles(tests, "text", size, ["item", "item_id"]), "leak-item-shingles")
     sizes = exact.groupBy("item").agg(F.count("*").alias("item_shingles"))
     n_exact, smallest = exact.count(), sizes.agg(F.min("item_shingles")).first()[0]
@@ -136,8 +142,32 @@ def _matches(rows: DataFrame, items: DataFrame, item_col: str, item_text_col: st
     shared = held.join(F.broadcast(tested) if n_exact <= sent_rows else tested, "shingle").join(
         pairs, ["doc_key", "item"], "left_semi")
     counted = shared.groupBy("doc_key", "doc_id", "item", "item_id").agg(F.count("*").alias("shared"))
-    return counted.join(F.broadcast(sizes) if n_exact <= sent_rows else sizes, "item").withColumn(
+    found = counted.join(F.broadcast(sizes) if n_exact <= sent_rows else sizes, "item").withColumn(
         "containment", F.col("shared") / F.col("item_shingles")).filter(F.col("containment") >= F.lit(threshold))
+    for n in lengths:
+        found = found.unionByName(_held_short(rows, short.filter(n_words == n), n, sent_rows))
+    return found
+
+
+def _held_short(rows: DataFrame, items: DataFrame, n: int, sent_rows: int) -> DataFrame:
+    """The pairs of documents and items of ``n`` words that stand in them."""
+    marks = saved(hashed_shingles(items, "text", n, "hashes").select(
+        "item", "item_id", F.col("text").alias("item_text"), F.col("hashes")[0].alias("window")), "leak-short-items")
+    lookup = marks.select("window").distinct()
+    few = marks.count() <= sent_rows
+    windows = hashed_shingles(rows, "text", n, "hashes").select(
+        "doc_key", F.explode(F.array_distinct("hashes")).alias("window"))
+    pairs = saved(windows.join(F.broadcast(lookup) if few else lookup, "window").distinct(), "leak-short-candidates")
+    texts = rows.join(pairs.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    held = pairs.join(F.broadcast(marks) if few else marks, "window").join(texts, "doc_key")
+
+    def sequence(text: str) -> Column:
+        return F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
+
+    one = F.lit(1).cast("long")
+    return held.filter(F.contains(sequence("text"), sequence("item_text"))).select(
+        "item", "doc_key", "doc_id", "item_id", one.alias("shared"), one.alias("item_shingles"),
+        F.lit(1.0).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

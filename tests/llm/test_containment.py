@@ -20,7 +20,11 @@ def _brute(rows, items, threshold=0.8):
         own = _shingles(text)
         for k, item in items:
             s = _shingles(item)
-            if s and len(s & own) / len(s) >= threshold:
+            n = min(map(len, s), default=0)
+            if 0 < n < 5:
+                if s <= _shingles(text, n):
+                    out.add((i, k, 1, 1))
+            elif s and len(s & own) / len(s) >= threshold:
                 out.add((i, k, len(s & own), len(s)))
     return out
 
@@ -38,7 +42,8 @@ def _corpus():
         rows.append((100 + i, f"{prose(2000, i)} {part}. {prose(3000, 50 + i)}", "en", "hot", 1))
     rows += [(200 + i, f"{prose(10, 900 + i)} {passage}", "en", "hot", 1) for i in range(40)]
     items = [(1, passage), (2, None), (3, ""), (4, "!?"), (5, "word"), (6, " ".join(BASE)), (7, prose(6, 4)),
-             (1, passage), (None, prose(30, 6)), (8, "below zero " + prose(40, 6)), (9, ROWS[0][1])]
+             (1, passage), (None, prose(30, 6)), (8, "below zero " + prose(40, 6)), (9, ROWS[0][1]),
+             (10, "Lazy, dog"), (11, "dog lazy"), (12, "text with words and"), (13, "over the lazy"), (14, "nowhere")]
     return rows, items
 
 
@@ -57,6 +62,15 @@ def test_matches_brute_force(spark, sent):
     assert clean.columns == documents(spark, rows).columns
 
 
+def test_items_shorter_than_a_shingle(spark):
+    docs = documents(spark, [(1, "one two three four five six seven", "en", "a", 1), (2, "four three", "en", "a", 1),
+                             (3, "three four", "en", "a", 1), (3, "three four", "en", "a", 1)])
+    items = spark.createDataFrame([(7, "three FOUR five", 1, 1), (8, "three four", 1, 1), (9, "seven one", 1, 1)], ITEMS)
+    assert _got(leaks(docs, items)) == {(1, 7, 1, 1), (1, 8, 1, 1), (3, 8, 1, 1)}
+    assert leaks(docs, items).count() == 3
+    assert [r["doc_id"] for r in without_leaks(docs, items).collect()] == [2]
+
+
 def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f", 1, 1)], ITEMS)
     none = spark.createDataFrame([], ITEMS)
