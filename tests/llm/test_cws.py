@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from equiclass.llm.cws import EMPTY, SAMPLES, fingerprints, signatures, with_next
+from equiclass.llm.cws import EMPTY, SAMPLES, _placed, fingerprints, signatures, with_next
 from equiclass.llm.queries import op9_weighted_sampling
 from tests.llm.helpers import ROWS, documents, empty
 
@@ -64,6 +64,19 @@ def test_ranges_hand_over_to_one_another(spark):
         assert key == got[0]["key"] and ring == sorted(ring)
 
 
+def test_rows_without_ids_have_ranges_of_their_own(spark):
+    rows = [(None if i < 30 else i, f"text number {i} " * (1 + i % 3), "en", "a", 1) for i in range(40)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    assert _placed(docs, 3).filter("doc_id is null").select("range").distinct().count() > 5
+    at = {r["key"]: r for r in with_next(docs, 3).collect()}
+    key, ring = min(at), []
+    for _ in range(40):
+        assert at[key]["next_text"] == at[at[key]["next_key"]]["text"]
+        ring.append(at[key]["doc_id"])
+        key = at[key]["next_key"]
+    assert key == min(at) and ring == [None] * 30 + list(range(30, 40))
+
+
 def test_collision_rate_is_generalised_jaccard(spark):
     texts = ["a a a b c d e f", "a b b c d e g h", "a a a b c d e f i j", "x y z"]
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
