@@ -25,8 +25,12 @@ HEAVY_COPIES = 8
 ROWS_PER_TASK = 1_000_000
 # Largest number of copies of one input row produced inside one task.
 COPY_CHUNK = 100_000
-# Rows per side of one neighbour-search tile.
+# Rows per side of one neighbour-search tile. A class of more than BLOCK_SIDE tiles a side is cut
+# into BLOCK_SIDE blocks a side instead, or into more once these hold BLOCK_ROWS rows: every row
+# is sent to all opposite blocks, so their number must not grow with small tiles.
 TILE_ROWS = 1024
+BLOCK_SIDE = 8
+BLOCK_ROWS = 16_384
 # Internal column prefix; operators never return such columns.
 P = "_ec_"
 

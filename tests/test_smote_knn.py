@@ -149,3 +149,53 @@ def test_smote_without_id_column(spark):
     assert out.filter("is_synthetic").count() == out.filter("is_synthetic").count()   # stable ids
     pct = smote_percent(no_id, "label", "features", None, percent=100, k=3)
     assert pct.filter("is_synthetic").count() == 6
+
+
+def _all_pairs(sv, sid, cv, cid, k, metric):
+    """Every pair's score as a left fold, all of them sorted."""
+    out = []
+    for i, x in enumerate(sv):
+        own = []
+        for j, y in enumerate(cv):
+            if sid[i] == cid[j]:
+                continue
+            d = nx = ny = e = 0.0
+            for a, b in zip(x, y):
+                d, nx, ny, e = d + a * b, nx + a * a, ny + b * b, e + (a - b) * (a - b)
+            nx, ny = np.sqrt(nx), np.sqrt(ny)
+            if metric == "cosine":
+                score = d / (nx * ny) if nx != 0 and ny != 0 else 0.0
+            else:
+                score = np.sqrt(e)
+            if np.isfinite(score):
+                own.append((-score if metric == "cosine" else score, int(cid[j]), float(score)))
+        out += [(i, j, s) for _, j, s in sorted(own)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_pairs_of_odd_vectors_equal_all_pairs(metric, monkeypatch):
+    """Copies, ties, zero, huge, tiny and infinite vectors, repeated ids: value by value."""
+    from equiclass.operators import neighbors
+    rng = np.random.default_rng(4)
+    for case in range(8):
+        monkeypatch.setattr(neighbors, "PIECE", [1, 200, 1 << 18][case % 3])
+        x = rng.normal(size=(60, 3)) if case % 2 else rng.integers(-1, 2, size=(60, 3)).astype(float)
+        x[rng.integers(0, 60, 4)] = 0.0
+        x[10:14] *= 10.0 ** np.array([170, 120, -120, -180])[:, None]
+        x[20], x[21, 1] = np.inf, np.nan
+        x[30:50] = x[30]
+        sid, cid = rng.permutation(60), rng.integers(0, 40, 60)
+        with np.errstate(all="ignore"):
+            want = _all_pairs(x, sid, x, cid, 4, metric)
+        rows, cols, score = neighbors.top_pairs(x, sid, x, cid, 4, metric)
+        assert list(zip(rows.tolist(), cid[cols].tolist(), score.tolist())) == want
+
+
+def test_small_tiles_do_not_multiply_blocks():
+    """A row is sent to every opposite block: their number stays bounded until blocks are full."""
+    from equiclass.config import BLOCK_ROWS, BLOCK_SIDE
+    from equiclass.operators.neighbors import block_count
+    assert block_count(40, 16) == 3
+    assert block_count(100_000, 16) == max(BLOCK_SIDE, -(-100_000 // BLOCK_ROWS))
+    assert block_count(BLOCK_ROWS * 100, 1024) == 100
