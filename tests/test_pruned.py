@@ -47,3 +47,28 @@ def test_null_vectors_and_labels_are_left_out(spark):
     got = pruned_neighbors(odd, odd, "label", "id", "vec", 2, "cosine", tile=30, pivots=4)
     want = pruned_neighbors(df, df, "label", "id", "vec", 2, "cosine", tile=30, pivots=4)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_are_sent_to_few_bins(spark):
+    """Small tiles of vectors without clusters: a row goes to each bin once, not to each sub-block."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(rng.normal(size=(1500, 24)).tolist())],
+                               "id long, label string, vec array<double>")
+    got, sent = _searched(df, df, "label", "id", "vec", 3, "cosine", 10, 64)
+    assert sum(one.count() for one, _ in sent) <= 12 * 1500
+    assert sum(two.count() for _, two in sent) <= 4 * 1500
+    want = nearest_neighbors(df, df, "label", "id", "vec", 3, "cosine")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_seeds_in_the_plane_visit_their_surroundings(spark):
+    """Points of two values: fewer than two bins a seed, however many cells and bins there are."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "a", [float(x), float(i % 25)]) for i, x in enumerate(rng.uniform(-999, 9999, 3000).round(2))]
+    rows += [(3000, "a", [float("nan"), 1.0]), (3001, "a", [5.0, float("inf")]), (3002, "a", [5.0, None])]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    got, sent = _searched(df, df, "label", "id", "vec", 5, "euclidean", 50, 512, True)
+    assert sent[1][0].count() < 2 * 3000
+    want = nearest_neighbors(df, df, "label", "id", "vec", 5, "euclidean", with_vectors=True)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
