@@ -33,6 +33,7 @@ from ..functions.keys import hash_hex, uniform01
 from ..functions.vectors import as_double_array, interpolate, to_ml_vector
 from .classes import N, ClassTable, class_table, lit_long, local_table
 from .neighbors import NID, SID, nearest_neighbors
+from .pruned import pruned_neighbors
 from .ranking import TAKE, flag_first
 from .naming import any_names
 
@@ -198,9 +199,9 @@ def smote_percent(df: DataFrame, label_col: str = "label", features_col: str = "
     if n_seeds < n:
         seeds = flag_first(rows.withColumn(QUOTA, lit_long(n_seeds)), table1, [ID], quota=QUOTA,
                            size=N, seed=seed, keep_rest=False).drop(TAKE, QUOTA)
-    nn = nearest_neighbors(seeds.select(label_col, ID, FEAT), rows.select(label_col, ID, FEAT),
-                           label_col, ID, FEAT, k=kc, metric=metric, with_vectors=True,
-                           counts=[(class_value, n_seeds, n)])
+    nn = pruned_neighbors(seeds.select(label_col, ID, FEAT), rows.select(label_col, ID, FEAT),
+                          label_col, ID, FEAT, k=kc, metric=metric, with_vectors=True,
+                          counts=[(class_value, n_seeds, n)])
     # Draw j of a seed takes the neighbour of rank floor(u(seed, j) * k) + 1; each
     # neighbour row finds the draws that hit it in place, so no join is needed.
     hits = F.filter(F.sequence(F.lit(1), F.lit(int(per_seed))),

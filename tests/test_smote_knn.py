@@ -199,3 +199,14 @@ def test_small_tiles_do_not_multiply_blocks():
     assert block_count(40, 16) == 3
     assert block_count(100_000, 16) == max(BLOCK_SIDE, -(-100_000 // BLOCK_ROWS))
     assert block_count(BLOCK_ROWS * 100, 1024) == 100
+
+
+def test_smote_percent_of_a_large_class_equals_the_search_of_all_tiles(spark, monkeypatch):
+    from equiclass.operators import smote as smote_module
+    rng = np.random.default_rng(8)
+    rows = [(i, "a", [float(x), float(i % 25)]) for i, x in enumerate(rng.uniform(-999, 9999, 2500).round(2))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(str, smote_percent(df, "label", "features", "id", percent=150).collect()))
+    monkeypatch.setattr(smote_module, "pruned_neighbors", nearest_neighbors)
+    assert got == sorted(map(str, smote_percent(df, "label", "features", "id", percent=150).collect()))
+    assert len(got) == 5000
