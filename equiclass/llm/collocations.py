@@ -45,9 +45,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LONGEST = 4
 LEAST, TOP, INSIDE = 30, 2000, 80
-#: Words of a shard, and windows of a part.
+#: Words of a shard, and windows of a part: a task holds the automata of all shards in its part at once.
 SHARD = 1_000_000
-PART = 2_000_000
+PART = 1_000_000
 #: A prefix with this share of the windows (one in ...) is dealt by one word more.
 FREQUENT = 2000
 #: Phrases of one partition when parts are looked up.

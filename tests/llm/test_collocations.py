@@ -110,3 +110,21 @@ def test_automata():
 
 def test_empty_table(spark):
     assert collocations(empty(spark)).count() == 0
+
+
+def test_parts_of_six_tasks_fit_half_an_executor():
+    """Memory of counting a part, measured on a smaller one: six at once take less than 1500 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from equiclass.llm.collocations import PART, _counted
+    rng, n = np.random.default_rng(1), 100_000
+    names = [b"w%05d" % i for i in range(5000)]
+    shards = [Paths.of(names, rng.integers(0, 5000, size=(n // 10, 4)).astype(np.int32)).pack() for _ in range(10)]
+    table = pa.table({"lang": ["en"] * 10, "paths": pa.array(shards, pa.binary())})
+    tracemalloc.start()
+    _counted(30, [np.zeros(0, dtype=np.int64)] * 3)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 6 * PART * peak / n < 1.5e9
