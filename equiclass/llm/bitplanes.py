@@ -58,6 +58,9 @@ COMMON_WS = " \n"
 OTHER_WS = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 # Characters that are letters in every version of the Unicode tables.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# A full stop or comma that ends a piece behind a letter, and the mark that cuts it off.
+STOP = re.compile("[.,](?<=[A-Za-zÀ-ÖØ-öø-ɏ][.,])(?=[ \n]|$)")
+CUT = "\x01"
 
 
 def pack_block(ids: np.ndarray, kind: str, compress) -> bytes:
@@ -96,6 +99,27 @@ def unpack_block(payload: bytes, decompress) -> np.ndarray:
     return np.ascontiguousarray(octets.T).view("<u4").reshape(n)
 
 
+class Pieces(dict):
+    """Ids of pieces by key, learnt when first asked for.
+
+    Two generations: when the first is half of ``CACHE``, it becomes the second, which is dropped.
+    What is asked for again moves to the first, so frequent pieces stay, whatever rare ones come by.
+    """
+
+    def __init__(self, learn):
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        if 2 * PIECE_BYTES * len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of whole texts from the ids of their pieces.
 
@@ -106,13 +130,16 @@ class PieceEncoder:
     run is one space or line end, the pieces come from ``str.split``.
 
     A piece's key is itself without its space; itself, if it begins with a line end; else
-    (where a text begins, or after longer runs) itself behind a space.
+    (where a text begins, or after longer runs) itself behind a space. A full stop or comma
+    that ends a piece behind a letter is a token of its own: in the common case it is a piece
+    too, its key itself behind ``CUT``.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.learn)
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(32)]
         ws = COMMON_WS + OTHER_WS
         self.runs = re.compile(f"[{ws}]*[^{ws}]+|[{ws}]+")
         # The byte-level alphabet: printable Latin-1 characters stand for their own byte,
@@ -120,59 +147,56 @@ class PieceEncoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in own]
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.space = self.alphabet[32]
 
     def keys(self, text: str) -> Iterable[str]:
-        if not any(c in text for c in OTHER_WS):
-            first, *rest = text.replace("\n", " \n").split(" ")
+        if not any(c in text for c in OTHER_WS + CUT):
+            first, *rest = STOP.sub(f" {CUT}\\g<0>", text).replace("\n", " \n").split(" ")
             if "" not in rest and "\n" not in rest:
                 return [" " + first, *rest] if first else rest
         return (" " + m.group() for m in self.runs.finditer(text))
 
+    def _word(self, octets: str) -> bytes:
+        """Ids of one word for the model, given in its byte-level alphabet."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(octets)]
+        return self.packs[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
     def _split(self, literal: str) -> bytes:
         """Ids of a literal piece: letters (after one space) are one word for the model."""
+        if literal.isascii() and literal.isalpha():   # its own byte-level form
+            return self._word(literal)
         word = literal[1:] if literal[0] == " " else literal
         if LETTERS.fullmatch(word):
-            octets = literal.encode().decode("latin-1").translate(self.alphabet)
-            ids = [t.id for t in self.tokenizer.model.tokenize(octets)]
-        else:
-            ids = self.tokenizer.encode(literal, add_special_tokens=False).ids
+            return self._word(literal.encode().decode("latin-1").translate(self.alphabet))
+        ids = self.tokenizer.encode(literal, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, keys: Iterable[str]) -> None:
-        for key in keys:
-            if key[0] == "\n" and LETTERS.match(key, 1):  # a line end is a token of its own
-                start = self._kept(" \n")
-                key, body = key, " " + key[1:]
-                self.known[key] = start + self._ended(body)
-            else:
-                self.known[key] = self._ended(key)
-
-    def _kept(self, key: str) -> bytes:
-        if key not in self.known:
-            self.known[key] = self._split(key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key)
-        return self.known[key]
+    def learn(self, key: str) -> bytes:
+        if key.isascii() and key.isalpha():
+            return self._word(self.space + key)
+        if key[0] == CUT and key[1:] in (".", ","):
+            return self._split(key[1:])
+        if key[0] == "\n" and LETTERS.match(key, 1):  # a line end is a token of its own
+            return self.known[" \n"] + self._ended(" " + key[1:])
+        return self._ended(key)
 
     def _ended(self, key: str) -> bytes:
         """A full stop or comma behind a letter is a token of its own."""
         if key[-1] in ".," and LETTERS.fullmatch(key[-2:-1]):
-            return self._kept(key[:-1]) + self._kept(" " + key[-1])
+            return self._kept(key[:-1]) + self.known[" " + key[-1]]
         return self._kept(key)
 
+    def _kept(self, key: str) -> bytes:
+        return self._split(key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key)
+
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids; a very long text goes slice by slice."""
         if any(s in text for s in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        out, keys, get = [], iter(self.keys(text)), self.known.get
+        out, keys, ids_of = [], iter(self.keys(text)), self.known.__getitem__
         while part := list(islice(keys, SLICE)):
-            found = [*map(get, part)]
-            if None in found:
-                if len(self.known) * PIECE_BYTES > CACHE:
-                    self.known.clear()
-                    found = [None] * len(part)
-                self.learn({k for k, v in zip(part, found, strict=True) if v is None})
-                found = [*map(get, part)]
-            out.append(b"".join(found))
+            out.append(b"".join(map(ids_of, part)))
         return b"".join(out)
 
 

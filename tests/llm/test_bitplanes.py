@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -50,6 +51,40 @@ def test_a_small_memory_gives_the_same_ids(tokenizer, monkeypatch):
         assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+class Counting:
+    """A tokenizer that counts the words it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.inner, self.model, self.words = tokenizer, self, Counter()
+        self.encode, self.get_added_tokens_decoder = tokenizer.encode, tokenizer.get_added_tokens_decoder
+
+    def tokenize(self, word):
+        self.words[word] += 1
+        return self.inner.model.tokenize(word)
+
+
+def test_frequent_pieces_stay_whatever_rare_ones_come_by(tokenizer, monkeypatch):
+    import equiclass.llm.bitplanes as module
+
+    monkeypatch.setattr(module, "CACHE", 40 * module.PIECE_BYTES)
+    counting = Counting(tokenizer)
+    encoder = PieceEncoder(counting)
+    rare = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(1000, 1500)]
+    for word in rare:
+        text = f"so common, {word}, common."
+        ids = np.frombuffer(encoder.encode(text), dtype="<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert counting.words["\u0120common"] == 1
+    assert all(counting.words["\u0120" + word] == 1 for word in rare)
+
+
+def test_a_mark_in_a_text_is_no_cut(tokenizer):
+    encoder = PieceEncoder(tokenizer)
+    for text in ("a\x01, b", "a \x01. b \x01", "\x01,", "a, b.\nc, .\x01"):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == want
+
+
 def test_special_strings_are_what_the_library_makes_of_them(tokenizer):
     ids = np.frombuffer(PieceEncoder(tokenizer).encode("a <|endoftext|> b"), dtype="<u4").tolist()
     assert ids == tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids and 50256 in ids
