@@ -55,7 +55,7 @@ MISS = 1e-6
 MAX_VALUES = 256
 BATCH = 32
 PIVOTS = 4
-#: Node keys (24 bytes each) at most that are sent to every task to find their texts; more are joined by a shuffle.
+#: Row keys (24 bytes each) at most that are sent to every task to find their texts; more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 #: Nodes of a family on either side of one block of comparisons.
 BLOCK = 1_000
@@ -303,6 +303,11 @@ def _attached(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
         "a", "b", f"{value}_a", f"{value}_b")
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """Saved keys as the other side of a join with texts, which stay where they are if the keys are few."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
                     threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles, component_id, kept, first of every row.
@@ -342,8 +347,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     needed = saved(nodes.select("node", "doc_id", "tie").join(
         members.select("node").distinct(), "node", "left_semi"), "neardup-needed")
     own = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["tie"] == needed["tie"])
-    few = needed.count() <= SENT_ROWS
-    near = saved(texts.join(F.broadcast(needed) if few else needed, own).select("node", "text")
+    near = saved(texts.join(_sent(needed), own).select("node", "text")
                  .dropDuplicates(["node"]), "neardup-texts")
 
     survivors = saved(_attached(pairs, nodes, "sig").mapInArrow(
@@ -415,7 +419,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     gone = saved(found.filter(~F.col("kept")).select(
         F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).distinct(), "neardup-gone")
     tie = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(gone["gone_id"])
+    return docs.join(_sent(gone), F.col(f"`{id_col}`").cast("long").eqNullSafe(gone["gone_id"])
                      & (tie == gone["gone_tie"]), "left_anti")
 
 
@@ -433,7 +437,8 @@ def one_of_each_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     own_id = F.col(f"`{id_col}`").cast("long")
     tie = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     same = own_id.eqNullSafe(marks["mark_id"]) & (tie == marks["mark_tie"])
-    single, repeated = docs.join(marks, same, "left_anti"), marks.filter("first")
+    few = _sent(marks)
+    single, repeated = docs.join(few, same, "left_anti"), few.filter("first")
     if repeated.isEmpty():
         return single
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]

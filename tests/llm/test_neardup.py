@@ -149,3 +149,19 @@ def test_one_row_of_each_component_stays(spark):
     ids = sorted((r["doc_id"] for r in clean.collect()), key=str)
     assert ids == sorted([1, None, 7, 8, 8, 9], key=str)
     assert one_of_each_component(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_marks_find_their_rows_without_a_shuffle_of_texts(spark, monkeypatch, few):
+    rows = [(i, prose(40, i % 20) + (" again" if i >= 20 else ""), "en", "a", 1) for i in range(30)]
+    if not few:
+        monkeypatch.setattr(neardup, "SENT_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")    # as if the marks were beyond it
+    try:
+        for found in (one_of_each_component(documents(spark, rows)), without_near_duplicates(documents(spark, rows))):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange hashpartitioning" in plan) != few
+            assert sorted(r["doc_id"] for r in found.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
