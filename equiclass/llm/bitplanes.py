@@ -30,15 +30,17 @@ empty table gives an empty store. Columns other than the id and the text are not
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import sys
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,17 +52,59 @@ KINDS = ("byte", "bit")
 BLOCK_IDS = 65_536
 #: Bytes of the pieces of text whose ids a worker remembers, and what one takes beside its ids.
 CACHE = 48 << 20
-PIECE_BYTES = 170
-#: Pieces looked up at once.
+PIECE_BYTES = 160
+#: Pieces looked up at once, of a text that is cut on its own.
 SLICE = 200_000
-# White space of the tokenizer's split pattern: the common two, and the others.
-COMMON_WS = " \n"
-OTHER_WS = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of the texts that are cut into pieces at once.
+SLICE_BYTES = 2 << 20
+# White space of the tokenizer's split pattern: the ASCII characters, and the others.
+ASCII_WS = " \t\n\x0b\x0c\r"
+OTHER_WS = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 # Characters that are letters in every version of the Unicode tables.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-# A full stop or comma that ends a piece behind a letter, and the mark that cuts it off.
-STOP = re.compile("[.,](?<=[A-Za-zÀ-ÖØ-öø-ɏ][.,])(?=[ \n]|$)")
-CUT = "\x01"
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+LETTERS = re.compile(f"[{LETTER}]+")
+# A line end or space, letters, and marks up to the end of a piece.
+WORD = re.compile(f"([ \n]?)([{LETTER}]+)([!-/:-@\\[-`{{-~]*)")
+
+
+def _byte_table(characters: str) -> np.ndarray:
+    found = np.zeros(256, dtype=bool)
+    found[list(characters.encode())] = True
+    return found
+
+
+IS_WS = _byte_table(ASCII_WS)
+IS_STOP = _byte_table(".,")
+IS_ASCII_LETTER = _byte_table("".join(map(chr, [*range(65, 91), *range(97, 123)])))
+#: Last bytes of the other white space, as one number.
+WS_CODES = np.array([int.from_bytes(c.encode(), "big") for c in OTHER_WS])
+
+
+def piece_starts(octets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, of the texts' UTF-8 bytes and the texts' own (distinct) starts.
+
+    A piece begins where a text does, where a run of white space does, and at a full stop or comma
+    behind a letter and before such a place. Two pieces are one where white space that isn't ASCII is
+    involved: they stay whole.
+    """
+    begins = IS_WS[octets]
+    begins[1:] &= ~begins[:-1]
+    padded = np.concatenate([np.zeros(3, dtype=np.uint8), octets])  # octets[p - 1] is padded[p + 2]
+    runs = np.flatnonzero(begins)
+    wide = runs[padded[runs + 2] >= 0x80]
+    if len(wide):
+        two = (padded[wide + 1].astype(np.int64) << 8) | padded[wide + 2]
+        three = (padded[wide].astype(np.int64) << 16) | two
+        begins[wide[np.isin(two, WS_CODES) | np.isin(three, WS_CODES)]] = False
+    begins[starts] = True
+    ends = np.append(np.flatnonzero(begins), len(octets))
+    stops = ends[IS_STOP[padded[ends + 2]]] - 1
+    # The character before the stop: an ASCII letter, or two bytes from U+00C0 to U+024F.
+    last, two = padded[stops + 2], (padded[stops + 1].astype(np.int64) << 8) | padded[stops + 2]
+    letter = IS_ASCII_LETTER[last] | (((last & 0xC0) == 0x80) & (two >= 0xC380) & (two <= 0xC98F)
+                                      & (two != 0xC397) & (two != 0xC3B7))
+    begins[stops[letter]] = True
+    return np.flatnonzero(begins)
 
 
 def pack_block(ids: np.ndarray, kind: str, compress) -> bytes:
@@ -109,7 +153,7 @@ class Pieces(dict):
     def __init__(self, learn):
         self.learn, self.before = learn, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
         ids = self.before.get(key)
         if ids is None:
             ids = self.learn(key)
@@ -126,79 +170,99 @@ class PieceEncoder:
     A byte-level BPE with the usual split pattern never lets a token cross from a
     character that isn't white space into white space. A text is therefore the
     concatenation of independent pieces, each a run of white space and what follows up to
-    the next run. Pieces repeat, so their ids are kept. In the common case, where every
-    run is one space or line end, the pieces come from ``str.split``.
+    the next run. Pieces repeat, so their ids are kept, by the piece's UTF-8 bytes.
 
-    A piece's key is itself without its space; itself, if it begins with a line end; else
-    (where a text begins, or after longer runs) itself behind a space. A full stop or comma
-    that ends a piece behind a letter is a token of its own: in the common case it is a piece
-    too, its key itself behind ``CUT``.
+    Many texts are cut at once (``piece_starts``), and each distinct piece is looked up once
+    for all of them. Letters, and marks behind them up to the piece's end, are tokens apart.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.known = Pieces(self.learn)
         self.packs = [struct.Struct(f"<{n}I").pack for n in range(32)]
-        ws = COMMON_WS + OTHER_WS
+        ws = ASCII_WS + OTHER_WS
         self.runs = re.compile(f"[{ws}]*[^{ws}]+|[{ws}]+")
         # The byte-level alphabet: printable Latin-1 characters stand for their own byte,
         # the other bytes follow from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in own]
-        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.space = self.alphabet[32]
-
-    def keys(self, text: str) -> Iterable[str]:
-        if not any(c in text for c in OTHER_WS + CUT):
-            first, *rest = STOP.sub(f" {CUT}\\g<0>", text).replace("\n", " \n").split(" ")
-            if "" not in rest and "\n" not in rest:
-                return [" " + first, *rest] if first else rest
-        return (" " + m.group() for m in self.runs.finditer(text))
-
-    def _word(self, octets: str) -> bytes:
-        """Ids of one word for the model, given in its byte-level alphabet."""
-        ids = [t.id for t in self.tokenizer.model.tokenize(octets)]
+        alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.alphabet = "".join(alphabet[b] for b in range(256))
+
+    def _word(self, octets: bytes) -> bytes:
+        """Ids of one word for the model, which takes it in its byte-level alphabet."""
+        ids = [t.id for t in self.model.tokenize(codecs.charmap_decode(octets, "strict", self.alphabet)[0])]
         return self.packs[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _split(self, literal: str) -> bytes:
-        """Ids of a literal piece: letters (after one space) are one word for the model."""
-        if literal.isascii() and literal.isalpha():   # its own byte-level form
-            return self._word(literal)
-        word = literal[1:] if literal[0] == " " else literal
-        if LETTERS.fullmatch(word):
-            return self._word(literal.encode().decode("latin-1").translate(self.alphabet))
+    def learn(self, piece: bytes) -> bytes:
+        if piece.isalpha() or piece[:1] == b" " and piece[1:].isalpha():
+            return self._word(piece)
+        literal = piece.decode()
+        if m := WORD.fullmatch(literal):
+            ws, letters, marks = (x.encode() for x in m.groups())
+            if ws != b"\n" and not marks:
+                return self._word(piece)
+            # A line end before letters is a token of its own, and so are marks behind them.
+            head = self.known[ws] + self.known[letters] if ws == b"\n" else self.known[ws + letters]
+            return head + self.known[marks] if marks else head
         ids = self.tokenizer.encode(literal, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, key: str) -> bytes:
-        if key.isascii() and key.isalpha():
-            return self._word(self.space + key)
-        if key[0] == CUT and key[1:] in (".", ","):
-            return self._split(key[1:])
-        if key[0] == "\n" and LETTERS.match(key, 1):  # a line end is a token of its own
-            return self.known[" \n"] + self._ended(" " + key[1:])
-        return self._ended(key)
-
-    def _ended(self, key: str) -> bytes:
-        """A full stop or comma behind a letter is a token of its own."""
-        if key[-1] in ".," and LETTERS.fullmatch(key[-2:-1]):
-            return self._kept(key[:-1]) + self.known[" " + key[-1]]
-        return self._kept(key)
-
-    def _kept(self, key: str) -> bytes:
-        return self._split(key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key)
-
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids; a very long text goes slice by slice."""
         if any(s in text for s in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        out, keys, ids_of = [], iter(self.keys(text)), self.known.__getitem__
-        while part := list(islice(keys, SLICE)):
+        out, pieces, ids_of = [], (m.group().encode() for m in self.runs.finditer(text)), self.known.__getitem__
+        while part := list(islice(pieces, SLICE)):
             out.append(b"".join(map(ids_of, part)))
         return b"".join(out)
 
+    def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text; those of no bytes, or null, have no ids."""
+        at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        octets = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]]
+        at -= at[0]
+        cuts = piece_starts(octets, np.unique(at[:-1][np.diff(at) > 0]))
+        if not len(cuts):
+            yield from (b"" for _ in range(len(texts)))
+            return
+        offsets = np.append(cuts, len(octets)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(octets)])
+        pieces = pieces.dictionary_encode()
+        codes, keys = pieces.indices.to_numpy(), pieces.dictionary
+        held = memoryview(keys.buffers()[2]).tobytes()
+        bounds = np.frombuffer(keys.buffers()[1], dtype=np.int32, count=len(keys) + 1).tolist()
+        found = [*map(self.known.__getitem__, (held[a:b] for a, b in zip(bounds, bounds[1:])))]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        begins, n = np.cumsum(counts) - counts, counts[codes]
+        ends = np.cumsum(n)
+        own = ids[np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        # Ids before each text's first piece.
+        ends = np.append(0, ends)[np.searchsorted(cuts, at)].tolist()
+        yield from (own[4 * a:4 * b] for a, b in zip(ends, ends[1:]))
+
+    def encode_many(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text (null: empty), some ``SLICE_BYTES`` of them at a time."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        alone = sizes > SLICE_BYTES
+        for s in self.special:
+            alone = alone | pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        first = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if alone[i] or held + size > SLICE_BYTES:
+                yield from self._encode_slice(texts.slice(first, i - first)) if i > first else ()
+                first, held = i, 0
+                if alone[i]:
+                    yield self.encode(texts[i].as_py())
+                    first = i + 1
+                    continue
+            held += size
+        if len(texts) > first:
+            yield from self._encode_slice(texts.slice(first))
+
 
 def _encoder(tokenizer_path: str) -> PieceEncoder:
     from tokenizers import Tokenizer
@@ -218,7 +282,7 @@ def _writer(tokenizer_path: str, end_id: int, block_ids: int, kind: str, level:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = _encoder(tokenizer_path).encode
+        encode = _encoder(tokenizer_path).encode_many
         compress = zstandard.ZstdCompressor(level=level).compress
         end = struct.pack("<I", end_id)
         ids, docs = bytearray(), []  # ids from `base` on; documents that aren't over
@@ -239,8 +303,8 @@ def _writer(tokenizer_path: str, end_id: int, block_ids: int, kind: str, level:
                 "doc_tokens": [d[2] for d in held]}], schema=BLOCK_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encode(text.as_py() or "") + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                own += end
                 docs.append((doc_id, total, len(own) // 4))
                 total += len(own) // 4
                 ids += own

@@ -139,3 +139,27 @@ def test_empty_table_and_damage(spark):
         read_tokens(spark, bad).collect()
     with pytest.raises(ValueError):
         write_tokens(documents(spark), path, tokenizer_file(), planes="nibble")
+
+
+def test_many_texts_at_once_look_up_each_distinct_piece_once(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    import equiclass.llm.bitplanes as module
+
+    texts = ["so it is, so it was. So", None, "", "é. ×. ß, a.b.\nWord!\n\nx  y \t z.", "a  b 　 c.",
+             ". , .", "don't stop's", "so <|endoftext|> so", "à la fin.", "Ünï,", "\n", " ", "\x01 \x85x", "so"] * 3
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(module, "SLICE_BYTES", size)
+        found = PieceEncoder(tokenizer).encode_many(pa.array(["left out", *texts]).slice(1))
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == expected
+    encoder, asked = PieceEncoder(tokenizer), Counter()
+
+    class Known(dict):
+        def __getitem__(self, key):
+            asked[key] += 1
+            return encoder.learn(key)
+
+    encoder.known = Known()
+    list(encoder.encode_many(pa.array(["one two one two", "one two two"] * 5)))
+    assert asked == {b"one": 1, b" two": 1, b" one": 1}
