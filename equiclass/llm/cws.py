@@ -48,11 +48,13 @@ EMPTY = "empty"
 LIMIT, SCALE = 128.0, float(1 << 23)
 
 
-def terms(text: Column) -> Column:
-    """The words of a text as even hashes, with repetitions."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+def terms(text: Column, mark: int = 0) -> Column:
+    """The words of a text as even hashes, odd ones with ``mark`` 1, with repetitions."""
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
     words = F.array_remove(F.split(spaced, " "), "")
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(mark)))
 
 
 def weighted(df: DataFrame, text: Column, other: Column, keep: list[str]) -> DataFrame:
@@ -62,28 +64,27 @@ def weighted(df: DataFrame, text: Column, other: Column, keep: list[str]) -> Dat
     one weight.
     """
     # Odd hashes mark the other text, so its words follow the text's equal ones.
-    odd = F.transform(terms(other), lambda h: h.bitwiseOR(F.lit(1)))
-    df = df.select(*keep, F.sort_array(F.concat(terms(text), odd)).alias("hashes"))
-    last = F.size("hashes") - 1
-    own, bounds = F.col("hashes"), F.col("bounds")
-    df = df.withColumn("firsts", F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))))
-    df = df.withColumn("bounds", F.concat(F.col("firsts"), F.array(F.size(own))))
-
-    def run(at: Column, j: Column) -> Column:
-        """A run of equal hashes; null where the run before has told it."""
-        h, end = F.get(own, at), F.get(bounds, j + 1)
-        weight = end - at
-        is_other = h.bitwiseAND(F.lit(1)) == 1
-        told = is_other & (F.get(own, at - 1) == h - 1) & (at - F.get(bounds, j - 1) == weight)
-        both = (F.get(own, end) == h.bitwiseOR(F.lit(1))) & (F.get(bounds, j + 2) - end == weight)
-        part = F.when(is_other, 2).when(both, 3).otherwise(1)
-        return F.when(~F.coalesce(told, F.lit(False)), F.struct(
-            h.bitwiseAND(F.lit(-2)).alias("term"), weight.alias("weight"), part.alias("part")))
-
-    runs = F.filter(F.transform("firsts", run), lambda r: r.isNotNull())
-    return df.select(*keep, F.explode_outer(runs).alias("run")).select(*keep, "run.*")
+    df = df.select(*keep, F.sort_array(F.concat(terms(text), terms(other, 1))).alias("hashes"))
+    # One row per word; no function of an array's elements, which Spark interprets.
+    df = df.select("*", F.posexplode_outer("hashes").alias("at", "hash"))
+    own, at, h = F.col("hashes"), F.col("at"), F.col("hash")
+
+    def equal(i: Column, hash_: Column) -> Column:
+        return F.coalesce(F.get(own, i) == hash_, F.lit(False))
+
+    df = df.filter(at.isNull() | ~equal(at - 1, h))  # the first of each run of equal hashes
+    weight = F.when(h.isNull(), None)
+    for n in (1, 2, 3):
+        weight = weight.when(~equal(at + n, h), n)
+    df = df.withColumn("weight", weight.otherwise(F.size(own) - F.size(F.array_remove(own, h))))
+    weight = F.col("weight")
+    is_other = h.bitwiseAND(F.lit(1)) == 1
+    # A run of the other text that the text's run before it, as long, has told.
+    told = is_other & equal(at - 1, h - 1) & equal(at - weight, h - 1) & ~equal(at - weight - 1, h - 1)
+    end = at + weight
+    both = equal(end, h + 1) & equal(end + weight - 1, h + 1) & ~equal(end + weight, h + 1)
+    part = F.when(h.isNull(), None).when(is_other, 2).when(both, 3).otherwise(1)
+    return df.filter(h.isNull() | ~told).select(*keep, h.bitwiseAND(F.lit(-2)).alias("term"), "weight", part.alias("part"))
 
 
 def _units(h: Column) -> tuple[Column, Column]:
