@@ -221,6 +221,7 @@ class PieceEncoder:
 
     def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
         """``encode`` of each text; those of no bytes, or null, have no ids."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         at = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         octets = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0]:at[-1]]
         at -= at[0]
